@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, warc
+from . import chat, langid, minhash, mixing, packing, quality, warc
 from .common import scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,17 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.render(chat.fold(chat.log_of_turns(rows))))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.OrdinalModel | None:
+    labels = table(spark, sf_dir, "labels")
+    graded = labels.select("doc_id", quality.grade_of_labels(F.col("quality"), F.col("toxic")).alias("grade"))
+    return quality.train(table(spark, sf_dir, "documents"), graded, top=2)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade of every document (0 poor, 1 toxic, 2 good) and the probability of the best one."""
+    return quality.grade(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir), at_least=2)
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC archives, revisits resolved, and the archives read back."""
     path = scratch(spark, "warc")
@@ -39,8 +50,22 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose three-word shingles are 85 % alike."""
+    docs = table(spark, sf_dir, "documents")
+    return minhash.near_duplicates(docs, words_per_shingle=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = lambda key: F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    found = langid.identify(docs, langid.train(docs.where(~held_out(F.col("doc_id")))))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op3_warc_revisits, op4_packing, op5_source_mixing)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_warc_revisits, op4_packing, op5_source_mixing, op9_minhash_near_dedup, op10_language_id)
 }
 
 ORACLE_SQL = {
