@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .textarrays import NO_LETTER, bytes_of, mix64, slices, words
 
-BITS = 16
+BITS = 22
+#: Words count whole and by so many first bytes.
+STEMS = (4, 6)
 _UPPER = np.isin(np.arange(256), range(65, 91))
 _DIGIT = np.isin(np.arange(256), range(48, 58))
 _GAP = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -32,12 +34,12 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each distinct feature: its letter words, and steps of what it is made of (capitals, marks, digits, lines, repeats)."""
+    """(text, bucket) of each distinct feature: its letter words, their stems, and steps of what it is made of (capitals, marks, digits, lines, repeats)."""
     n = len(offsets) - 1
-    hashes, begins, ends = words(data, offsets, NO_LETTER)
+    hashes, begins, _, *stems = words(data, offsets, NO_LETTER, STEMS)
     edges = np.searchsorted(begins, offsets)
-    which = np.repeat(np.arange(n), np.diff(edges))
-    keys = np.unique(which.astype(np.uint64) << np.uint64(BITS) | hashes >> np.uint64(64 - BITS))
+    which = np.repeat(np.arange(n, dtype=np.uint64), np.diff(edges)) << np.uint64(BITS)
+    keys = np.unique(which | hashes >> np.uint64(64 - BITS))
     size = np.maximum(np.diff(offsets), 1)
     letters = np.maximum(_per_text(~NO_LETTER[data], offsets), 1)
     total = np.maximum(np.diff(edges), 1)
@@ -46,7 +48,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         _per_text(_UPPER[data], offsets) / letters, _per_text(_MARK[data], offsets) / size, _per_text(_DIGIT[data], offsets) / size,
         _per_text(_GAP[data], offsets) / size, 10 * _per_text(_LINE[data], offsets) / total, distinct / total, _per_text(~NO_LETTER[data], offsets) / total / 20, np.log2(total + 1) / 16,
     ]
-    made = [keys]
+    made = [keys, *(np.unique(which | mix64(h + np.uint64(k)) >> np.uint64(64 - BITS)) for k, h in zip(STEMS, stems, strict=True))]
     for kind, share in enumerate(shares):
         step = np.searchsorted(_STEPS, share).astype(np.uint64)
         name = mix64(np.uint64(1000 * kind + 77) + step) >> np.uint64(64 - BITS)
@@ -65,37 +67,39 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 250, least_rows: int = 4, decay: float = 2e-3) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 300, least_rows: int = 20, decay: float = 1e-3) -> OrdinalModel:
     """The likeliest weights and thresholds (Adam, weights decay), every grade with the same weight in all.
 
     A bucket that fewer than least_rows rows have gets no weight. Thresholds are a first one and positive gaps, so that
     they stay ordered.
     """
-    sizes = np.array([len(r) for r in rows])
-    bucket, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
-    often = np.bincount(bucket, minlength=1 << BITS) >= least_rows
-    bucket, row = bucket[often[bucket]], row[often[bucket]]
+    bucket, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names, place, often = np.unique(bucket, return_inverse=True, return_counts=True)
+    new = np.cumsum(often >= least_rows) - 1
+    kept = often[place] >= least_rows
+    names, bucket, row = names[often >= least_rows], new[place[kept]], row[kept]
+    n, at = len(names), np.arange(len(rows))
     each = 1 / np.maximum(np.bincount(grades, minlength=top + 1), 1) / max(1, len(np.unique(grades)))
     share = each[grades]
-    theta = np.zeros((1 << BITS) + top)
-    theta[1 << BITS] = -1.0
+    theta = np.zeros(n + top)
+    theta[n] = -1.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, steps + 1):
-        w, first, gaps = theta[: 1 << BITS], theta[1 << BITS], np.exp(theta[(1 << BITS) + 1 :])
+        w, first, gaps = theta[:n], theta[n], np.exp(theta[n + 1 :])
         cut = first + np.concatenate([[0.0], np.cumsum(gaps)])
         score = np.bincount(row, weights=w[bucket], minlength=len(rows))
         p = 1 / (1 + np.exp(np.clip(cut[None] - score[:, None], -40, 40)))  # P(grade > k)
         full = np.hstack([np.ones((len(rows), 1)), p, np.zeros((len(rows), 1))])
-        at = np.arange(len(rows))
         chance = np.maximum(full[at, grades] - full[at, grades + 1], 1e-9)
         slope = full * (1 - full)
         g_score = -share * (slope[at, grades] - slope[at, grades + 1]) / chance
-        g_cut = np.array([(share * (slope[:, k + 1] * (grades == k + 1) - slope[:, k + 1] * (grades == k)) / chance).sum() for k in range(top)])
-        g = np.concatenate([np.bincount(bucket, weights=g_score[row], minlength=1 << BITS) + decay * w / len(rows), [g_cut.sum()], [g_cut[k:].sum() * gaps[k - 1] for k in range(1, top)]])
+        g_cut = np.array([(share * slope[:, k + 1] * ((grades == k + 1).astype(float) - (grades == k)) / chance).sum() for k in range(top)])
+        g = np.concatenate([np.bincount(bucket, weights=g_score[row], minlength=n) + decay * w, [g_cut.sum()], [g_cut[k:].sum() * gaps[k - 1] for k in range(1, top)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-    gaps = np.exp(theta[(1 << BITS) + 1 :])
-    return OrdinalModel(theta[: 1 << BITS].astype(np.float32), theta[1 << BITS] + np.concatenate([[0.0], np.cumsum(gaps)]))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[names] = theta[:n]
+    return OrdinalModel(weights, theta[n] + np.concatenate([[0.0], np.cumsum(np.exp(theta[n + 1 :]))]))
 
 
 def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 2500) -> OrdinalModel | None:

@@ -64,8 +64,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * STEP
             at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, begins, ends) of the words of all texts, A-Z lower-cased; equal words have equal hashes. gaps: the bytes between words."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hashes, begins, ends) of the words of all texts, A-Z lower-cased; equal words have equal hashes.
+
+    gaps: the bytes between words. For each of prefixes follows an array of hashes of the words' first so many bytes.
+    """
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     found, at = [], 0
@@ -82,10 +85,11 @@ def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tu
         power, inverse = powers(len(part))
         sums = np.zeros(len(part) + 1, np.uint64)
         np.cumsum((LOWER[part].astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-        found.append((mix64((sums[end] - sums[begin]) * inverse[begin]), begin + at, end + at))
+        hashed = lambda stop, b=begin, s=sums, i=inverse: mix64((s[stop] - s[b]) * i[b])
+        found.append((hashed(end), begin + at, end + at, *(hashed(np.minimum(begin + k, end)) for k in prefixes)))
         at = to
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), *(np.zeros(0, np.uint64) for _ in prefixes)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
