@@ -67,17 +67,29 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 300, least_rows: int = 20, decay: float = 1e-3) -> OrdinalModel:
+def _telling(place: np.ndarray, grade_of: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature, the likelihood-ratio statistic (G) against the grades, and how often as frequent one grade has it as another."""
+    seen = np.stack([np.bincount(place[grade_of == k], minlength=n) for k in range(len(sizes))], axis=1).astype(float)
+    expected = seen.sum(axis=1, keepdims=True) * sizes / sizes.sum()
+    unseen, unexpected = sizes - seen, sizes - expected
+    term = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0.0)
+    rate = (seen + 0.5) / (sizes + 1)
+    return 2 * (term(seen, expected) + term(unseen, unexpected)).sum(axis=1), rate.max(axis=1) / rate.min(axis=1)
+
+
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 300, least_g: float = 30.0, least_lift: float = 12.0, decay: float = 2e-4) -> OrdinalModel:
     """The likeliest weights and thresholds (Adam, weights decay), every grade with the same weight in all.
 
-    A bucket that fewer than least_rows rows have gets no weight. Thresholds are a first one and positive gaps, so that
-    they stay ordered.
+    Only features that tell the grades apart beyond chance (least_g) and are several times as frequent in one as in another (least_lift) get a weight: what only follows a
+    text's length is in all of them. Thresholds are a first one and positive
+    gaps, so that they stay ordered.
     """
     bucket, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, place, often = np.unique(bucket, return_inverse=True, return_counts=True)
-    new = np.cumsum(often >= least_rows) - 1
-    kept = often[place] >= least_rows
-    names, bucket, row = names[often >= least_rows], new[place[kept]], row[kept]
+    names, place = np.unique(bucket, return_inverse=True)
+    g, lift = _telling(place, grades[row], np.maximum(np.bincount(grades, minlength=top + 1), 1).astype(float), len(names))
+    telling = (g >= least_g) & (lift >= least_lift)
+    new, kept = np.cumsum(telling) - 1, telling[place]
+    names, bucket, row = names[telling], new[place[kept]], row[kept]
     n, at = len(names), np.arange(len(rows))
     each = 1 / np.maximum(np.bincount(grades, minlength=top + 1), 1) / max(1, len(np.unique(grades)))
     share = each[grades]
@@ -102,7 +114,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 300,
     return OrdinalModel(weights, theta[n] + np.concatenate([[0.0], np.cumsum(np.exp(theta[n + 1 :]))]))
 
 
-def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 2500) -> OrdinalModel | None:
+def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 3000) -> OrdinalModel | None:
     """A model from graded (doc_id, grade in 0..top): the per_grade rows of each grade with the least hash of doc_id.
 
     None without graded documents. Null grades and grades outside are left out; the sample doesn't follow the corpus.
