@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, mixing, packing, quality, warc
+from . import chat, langid, minhash, mixing, packing, quality, suffixes, warc
 from .common import scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a repeated string of 400 bytes covers."""
+    return suffixes.removal(table(spark, sf_dir, "documents"), length=400)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose three-word shingles are 85 % alike."""
     docs = table(spark, sf_dir, "documents")
@@ -65,7 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_warc_revisits, op4_packing, op5_source_mixing, op9_minhash_near_dedup, op10_language_id)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_warc_revisits, op4_packing, op5_source_mixing, op6_suffix_dedup, op9_minhash_near_dedup, op10_language_id)
 }
 
 ORACLE_SQL = {
