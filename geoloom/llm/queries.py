@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, mixing, packing, quality, suffixes, warc
+from . import chat, langid, minhash, mixing, packing, pivotperm, quality, suffixes, voronoi, warc
 from .common import scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,16 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removal(table(spark, sf_dir, "documents"), length=400)
 
 
+def op7_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other rows for every fiftieth vector."""
+    return voronoi.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op8_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with a cosine of 0.93 or more."""
+    return pivotperm.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose three-word shingles are 85 % alike."""
     docs = table(spark, sf_dir, "documents")
@@ -70,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_warc_revisits, op4_packing, op5_source_mixing, op6_suffix_dedup, op9_minhash_near_dedup, op10_language_id)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_warc_revisits, op4_packing, op5_source_mixing, op6_suffix_dedup, op7_voronoi_topk, op8_pivot_permutation, op9_minhash_near_dedup, op10_language_id)
 }
 
 ORACLE_SQL = {
@@ -96,6 +106,15 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM d""",
+    "op7_voronoi_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.v, x.v) AS BIGINT) AS score
+  FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id AND len(q.v) = len(x.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_source_mixing": r"""
 WITH s AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
