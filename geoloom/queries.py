@@ -1,4 +1,6 @@
 """All queries of the library's own operators."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import filters  # noqa: F401
+from .plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
