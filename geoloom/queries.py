@@ -1,6 +1,6 @@
 """All queries of the library's own operators."""
 
-from .plans import aggregates, filters, metrics  # noqa: F401
+from .plans import aggregates, filters, joins, metrics, windows  # noqa: F401
 from .plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
