@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words in every operator here: space, and \t \n \v \f \r.
@@ -22,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Arrow batches to and from Python hold most bytes at most, so that long texts in a batch don't add up in a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/geoloom/{label}-{uuid.uuid4().hex}"
@@ -43,5 +50,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def least_hashed(rows: DataFrame, group: str, key: str, most: int, seed: int) -> DataFrame:
+    """The most rows of each group with the least hash of key (then the least key): a sample that every run draws alike.
+
+    Counts first give a hash below which about four times as many lie, so that the window that ranks them gets rows by the
+    sample's size, not by the group's.
+    """
+    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    counts = rows.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_all"))
+    near = rows.join(counts, F.col(group) == F.col("_group")).withColumn("_draw", draw).where(F.col("_draw") * F.col("_all") <= 4 * most)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_draw", key))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_group", "_all", "_draw", "_rank")

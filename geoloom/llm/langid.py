@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, least_hashed
 from .textarrays import LOWER, STEP, bytes_of, slices
 
 #: Texts counted at once: each has a row of buckets.
@@ -101,8 +102,8 @@ def train(docs: DataFrame, per_lang: int = 600, buckets: int = 4096) -> Language
     Rows of null lang or text are left out; None if nothing is left. The sample's size doesn't follow the corpus, and Spark
     cuts it per task before the shuffle.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
-    ids = docs.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(f"_n <= {int(per_lang)}").select("doc_id", "lang").distinct()
+    bounded_batches(docs.sparkSession)
+    ids = least_hashed(docs.where("lang is not null").select("doc_id", "lang"), "lang", "doc_id", per_lang, 1).distinct()
     chosen = docs.join(ids, ["doc_id", "lang"], "left_semi").where("text is not null").select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +127,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, least_lead: float = 0
     `und` with score 0 for a null text, one without a letter, or without a model. ambiguous: the best language leads the
     next by less than least_lead. Rows that repeat are predicted each.
     """
+    bounded_batches(docs.sparkSession)
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     buckets = len(model.weights)

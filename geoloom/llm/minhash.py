@@ -1,9 +1,10 @@
 """Near duplicates by MinHash: universal hash minima, banding, signature verification, full-set confirmation, components.
 
-Texts with the same words are one class from the start. A bucket (equal minima in a band) doesn't give all its pairs:
-first every member is held against the bucket's least class only; the links found are joined into components; then only
-members of one bucket that still lie in different components are held against each other, which adds what the first pass
-couldn't see. When no such pair is left the components are those of all pairs of the buckets.
+Texts with the same words are one class from the start. A bucket (equal minima in a band) doesn't give all its pairs.
+In a few rounds every member is held against some leaders of its buckets only, and links are joined into components; a
+bucket whose members all lie in one component is done. Of the buckets that stay mixed, blocks of members are compared by
+signature inside a task, and only plausible pairs of different components come out and are confirmed. So the components
+are those of all pairs that share a bucket, while the rows made follow the number of members.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .components import components
 from .textarrays import bytes_of, mix64, shingles, slices, words
 
 #: A group of pairs with one first member is dealt out in parts of about this many.
 PART = 256
+#: Rounds of leaders before blocks are compared; members of a bucket that one task compares with as many others.
+ROUNDS, BLOCK = 3, 1024
 
 
 def _hashes(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +95,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(agreeing, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Each text travels once for each pair, a's once for each part."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. b's text travels once for each pair, a's once for each part."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, first = None, None
@@ -113,12 +117,63 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, pe
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).alias("_parts"))
     members = pairs.join(sizes, "a").withColumn("_part", F.pmod(F.xxhash64("b"), F.col("_parts")))
     firsts = members.select("a", F.col("a").alias("b"), "_parts", "_part").distinct()
-    texts = docs.select(row_id().alias("rid"), "text")
-    wanted = members.select("a", "b", "_parts", "_part").union(firsts).join(classes.select(F.col("key").alias("b"), "rid"), "b").join(texts, "rid")
+    wanted = members.select("a", "b", "_parts", "_part").union(firsts).join(texts.withColumnRenamed("key", "b"), "b")
     ordered = wanted.select("a", "_part", "b", "text").repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("a") != F.col("b"), "b")
     return ordered.mapInArrow(linked, "a long, b long")
 
 
+def _leaders(members: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's leader and each member of another component; which member leads differs by round and by a third of the bands."""
+    order = F.xxhash64("key", F.pmod(F.col("band").bitwiseAND(255), F.lit(3)), F.lit(number))
+    leading = members.groupBy("band").agg(F.min_by(F.struct("key", "label"), order).alias("_lead"))
+    met = members.join(leading, "band").where("label <> _lead.label").select(F.col("_lead.key").alias("a"), F.col("key").alias("b"))
+    return met.distinct()
+
+
+def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """(band, key, label) of the buckets whose members lie in several components; label is a class's component."""
+    labelled = members.select("band", "key").join(joined, F.col("key") == F.col("node"), "left").select("band", "key", F.coalesce("component", "key").alias("label"))
+    apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
+    return written(labelled.join(apart, "band", "left_semi"), "mixed")
+
+
+def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float, bands: int, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of mixed buckets: each plausible pair is confirmed in the first band it shares.
+
+    A bucket is compared in blocks of BLOCK members that meet pairwise, signatures first; a task holds the texts of two
+    blocks. A pair whose components a link of the task has joined already is left out, so a task gives fewer links than
+    it has members.
+    """
+
+    def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        band, low, high = key
+        sketch = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(group), -1)
+        keys, labels, blocks = group["key"].to_numpy(), group["label"].to_numpy().copy(), group["block"].to_numpy()
+        data, offsets = bytes_of(pa.array(group["text"], pa.large_string()))
+        hashes, begins, _ = words(data, offsets)
+        sets = list(shingles(hashes, begins, offsets, n))
+        second, out = np.flatnonzero(blocks == high), []
+        for i in np.flatnonzero(blocks == low).tolist():
+            others = second[(labels[second] != labels[i]) & ((low != high) | (keys[second] > keys[i]))]
+            equal = sketch[others] == sketch[i]
+            likely = equal.mean(axis=1) >= least
+            shared = equal[likely].reshape(-1, bands, sketch.shape[1] // bands).all(axis=2)
+            for j in others[likely][shared.argmax(axis=1) == (band & 255)].tolist():
+                if labels[j] != labels[i]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        out.append((keys[i], keys[j]))
+                        labels[labels == labels[j]] = labels[i]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    sizes = mixed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = mixed.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    met = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
+    full = met.join(classes.select("key", "sketch").join(texts, "key"), "key").select("band", "low", "high", "block", "key", "label", "sketch", "text")
+    return full.groupBy("band", "low", "high").applyInPandas(compared, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, seed: int = 11) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable, itself included), kept, rid (see row_id), representative.
 
@@ -129,6 +184,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     bands * rows minima: a pair at the threshold misses all buckets with probability (1 - s**rows)**bands, below 1e-8 at
     0.85 and below 1e-5 at 0.8. No bucket is capped.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5
@@ -136,21 +192,24 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     # One class for each word sequence; everything up to the result is about classes.
     classes = written(signed.where("key is not null").groupBy("key").agg(F.first(F.struct("rid", "bands", "sketch")).alias("c")).select("key", "c.*"), "classes")
     banded = classes.select("key", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("a")).where("n > 1").select("band", "a")
-    members = written(banded.join(buckets, "band"), "members")
-    pairs = written(_plausible(members.where("a <> key").select("a", F.col("key").alias("b")).distinct(), classes, least), "pairs")
-    links = written(_confirmed(pairs, classes, docs, words_per_shingle, percent), "links")
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Members of one bucket that are still apart.
-    labelled = members.join(joined, members["key"] == joined["node"], "left").select("band", "key", F.coalesce("component", "key").alias("label"))
-    apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    mixed = written(labelled.join(apart, "band", "left_semi"), "mixed")
-    x, y = (mixed.select("band", F.col("key").alias(k), F.col("label").alias(f"_{k}")) for k in "ab")
-    rest = x.join(y, "band").where("_a <> _b and a < b").select("a", "b").distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    rest = written(_plausible(rest, classes, least), "rest")
-    if not rest.isEmpty():
-        links = written(links.union(_confirmed(rest, classes, docs, words_per_shingle, percent)), "links")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    members = written(banded.join(buckets, "band", "left_semi"), "members")
+    wanted = members.select("key").distinct().join(classes.select("key", "rid"), "key")
+    texts = written(docs.select(row_id().alias("rid"), "text").join(wanted, "rid").dropDuplicates(["key"]).select("key", "text"), "texts")
+    mixed, checked, links, joined = members.withColumn("label", F.col("key")), None, None, None
+    for number in range(ROUNDS + 1):
+        if number < ROUNDS:
+            pairs = _leaders(mixed, number)
+            pairs = written(_plausible(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), classes, least), "pairs")
+            checked = pairs if checked is None else checked.union(pairs)
+            new = _confirmed(pairs, texts, words_per_shingle, percent)
+        else:
+            new = _across(mixed, classes, texts, least, bands, words_per_shingle, percent)
+        links = written(new if links is None else links.union(new), "links")
         joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        mixed = _mixed(mixed, joined) if number < ROUNDS else None
+        if mixed is None or mixed.isEmpty():
+            break
     label = F.coalesce("component", "key", F.xxhash64("rid", F.lit("none")))
     rows_ = signed.select("rid", "doc_id", "key", "n_shingles").join(joined, F.col("key") == F.col("node"), "left").withColumn("label", label)
     # Documents without words stand alone; the others get the least of their group, found by an aggregate.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _encoders: dict[str, Callable[[str], np.ndarray]] = {}
@@ -117,6 +117,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, r
     without gaps, and each one is filled from offset 0 without gaps.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     pieces = written(cut(docs, tokenizer, window, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # window rows at most
     bins = max(1, sum(counts.values()) // rows_per_bin)

@@ -11,9 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, least_hashed
 from .textarrays import NO_LETTER, bytes_of, mix64, slices, words
 
 BITS = 22
@@ -119,9 +120,9 @@ def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 3000) -
 
     None without graded documents. Null grades and grades outside are left out; the sample doesn't follow the corpus.
     """
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id")
+    bounded_batches(docs.sparkSession)
     known = graded.where(F.col("grade").between(0, top)).select("doc_id", F.col("grade").cast("int").alias("grade")).distinct()
-    sample = known.withColumn("_n", F.row_number().over(order)).where(f"_n <= {int(per_grade)}").select("doc_id", "grade")
+    sample = least_hashed(known, "grade", "doc_id", per_grade, 3)
     chosen = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "grade")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +144,7 @@ def grade(docs: DataFrame, model: OrdinalModel | None, at_least: int, least: flo
 
     A null text is scored as an empty one. Without a model nothing is known: null grade and tail, kept true.
     """
+    bounded_batches(docs.sparkSession)
     if model is None:
         return docs.select("doc_id", F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail"), F.lit(True).alias("kept"))
 
@@ -158,6 +160,7 @@ def grade(docs: DataFrame, model: OrdinalModel | None, at_least: int, least: flo
 
 def kept(docs: DataFrame, model: OrdinalModel | None, at_least: int, least: float = 0.5) -> DataFrame:
     """The rows of docs, all columns, whose tail is least or more. Runs where the documents are read, without a join."""
+    bounded_batches(docs.sparkSession)
     if model is None:
         return docs
     at = docs.columns.index("text")
