@@ -42,7 +42,7 @@ def read_placemarks(spark: SparkSession, path: str, row_tag: str, coordinates: s
 def validated(layer: DataFrame, valid: Column, geom_type: str, bounds: Sequence[str]) -> DataFrame:
     """The valid rows of layer; fails if none is left, a bound is infinite (beyond 1e100) or types mix (a type and its Multi are one)."""
     kept = layer.where(valid)
-    s = kept.agg(F.count("*").alias("n"), F.collect_set(F.regexp_replace(geom_type, "^Multi", "")).alias("kinds"), F.max(F.greatest(*[F.abs(F.col(b).cast("double")) for b in bounds])).alias("far")).first()
+    s = kept.agg(F.count("*").alias("n"), F.collect_set(F.regexp_replace(geom_type, "^Multi", "")).alias("kinds"), F.max(F.array_max(F.array(*[F.abs(F.col(b).cast("double")) for b in bounds]))).alias("far")).first()
     if not s["n"]:
         raise ValueError("the layer has no valid geometry")
     if s["far"] is None or s["far"] >= 1e100:
