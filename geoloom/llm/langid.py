@@ -97,10 +97,9 @@ def fit(counts: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 3
 
 
 def train(docs: DataFrame, per_lang: int = 600, buckets: int = 4096) -> LanguageModel | None:
-    """A model of the languages of docs (doc_id, text, lang), from the per_lang rows of each with the least hash of doc_id and text.
+    """A model of the languages of docs (doc_id, text, lang), from the per_lang rows of each with the least hash of doc_id.
 
-    Rows of null lang or text are left out; None if nothing is left. The sample's size doesn't follow the corpus, and Spark
-    cuts it per task before the shuffle.
+    Rows of null lang or text are left out; None if nothing is left. The sample's size doesn't follow the corpus.
     """
     bounded_batches(docs.sparkSession)
     ids = least_hashed(docs.where("lang is not null").select("doc_id", "lang"), "lang", "doc_id", per_lang, 1).distinct()

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, least_hashed
+from .common import bounded_batches, least_hashed, written
 from .textarrays import NO_LETTER, bytes_of, mix64, slices, words
 
 BITS = 22
@@ -34,22 +34,31 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of each distinct feature: its letter words, their stems, and steps of what it is made of (capitals, marks, digits, lines, repeats)."""
+def features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of each distinct feature: its letter words, their stems, and steps of what it is made of (capitals, marks, digits, lines, repeats).
+
+    wanted: which buckets to look for; the others are left out before anything is sorted.
+    """
     n = len(offsets) - 1
     hashes, begins, _, *stems = words(data, offsets, NO_LETTER, STEMS)
     edges = np.searchsorted(begins, offsets)
     which = np.repeat(np.arange(n, dtype=np.uint64), np.diff(edges)) << np.uint64(BITS)
-    keys = np.unique(which | hashes >> np.uint64(64 - BITS))
+
+    def distinct(names: np.ndarray) -> np.ndarray:
+        if wanted is None:
+            return np.unique(which | names)
+        hit = wanted[names]
+        return np.unique(which[hit] | names[hit])
+
     size = np.maximum(np.diff(offsets), 1)
     letters = np.maximum(_per_text(~NO_LETTER[data], offsets), 1)
     total = np.maximum(np.diff(edges), 1)
-    distinct = np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=n)
+    different = np.bincount((np.unique(which | hashes >> np.uint64(64 - BITS)) >> np.uint64(BITS)).astype(np.int64), minlength=n)
     shares = [
         _per_text(_UPPER[data], offsets) / letters, _per_text(_MARK[data], offsets) / size, _per_text(_DIGIT[data], offsets) / size,
-        _per_text(_GAP[data], offsets) / size, 10 * _per_text(_LINE[data], offsets) / total, distinct / total, _per_text(~NO_LETTER[data], offsets) / total / 20, np.log2(total + 1) / 16,
+        _per_text(_GAP[data], offsets) / size, 10 * _per_text(_LINE[data], offsets) / total, different / total, letters / total / 20, np.log2(total + 1) / 16,
     ]
-    made = [keys, *(np.unique(which | mix64(h + np.uint64(k)) >> np.uint64(64 - BITS)) for k, h in zip(STEMS, stems, strict=True))]
+    made = [distinct(hashes >> np.uint64(64 - BITS)), *(distinct(mix64(h + np.uint64(k)) >> np.uint64(64 - BITS)) for k, h in zip(STEMS, stems, strict=True))]
     for kind, share in enumerate(shares):
         step = np.searchsorted(_STEPS, share).astype(np.uint64)
         name = mix64(np.uint64(1000 * kind + 77) + step) >> np.uint64(64 - BITS)
@@ -60,37 +69,50 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class OrdinalModel:
+    buckets: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights by bucket and which there are, made once a process."""
+        if not hasattr(self, "_made"):
+            table = np.zeros(1 << BITS, np.float32)
+            table[self.buckets] = self.weights
+            self._made = table, table != 0
+        return self._made
+
+    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The weighted sum of each text's features."""
+        table, wanted = self._tables()
+        which, bucket = features(data, offsets, wanted)
+        return np.bincount(which, weights=table[bucket], minlength=len(offsets) - 1)
+
     def above(self, score: np.ndarray) -> np.ndarray:
         """P(grade > k) for k = 0, 1, ...; falls with k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -40, 40)))
 
 
-def _telling(place: np.ndarray, grade_of: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each feature, the likelihood-ratio statistic (G) against the grades, and how often as frequent one grade has it as another."""
-    seen = np.stack([np.bincount(place[grade_of == k], minlength=n) for k in range(len(sizes))], axis=1).astype(float)
+def telling(counts: np.ndarray, sizes: np.ndarray, least_g: float = 30.0, least_lift: float = 12.0) -> np.ndarray:
+    """Which features (rows of counts, a column a grade) tell grades of these sizes apart.
+
+    Their likelihood-ratio statistic (G) is beyond chance, and one grade has them several times as often as another: what
+    only follows a text's length is in all of them.
+    """
+    seen, sizes = counts.astype(float), np.maximum(sizes, 1).astype(float)
     expected = seen.sum(axis=1, keepdims=True) * sizes / sizes.sum()
-    unseen, unexpected = sizes - seen, sizes - expected
     term = lambda o, e: np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0.0)
+    g = 2 * (term(seen, expected) + term(sizes - seen, sizes - expected)).sum(axis=1)
     rate = (seen + 0.5) / (sizes + 1)
-    return 2 * (term(seen, expected) + term(unseen, unexpected)).sum(axis=1), rate.max(axis=1) / rate.min(axis=1)
+    return (g >= least_g) & (rate.max(axis=1) / rate.min(axis=1) >= least_lift)
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 300, least_g: float = 30.0, least_lift: float = 12.0, decay: float = 2e-4) -> OrdinalModel:
-    """The likeliest weights and thresholds (Adam, weights decay), every grade with the same weight in all.
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 300, decay: float = 2e-4) -> OrdinalModel:
+    """The likeliest weights of the features in rows and thresholds (Adam, weights decay), every grade with the same weight in all.
 
-    Only features that tell the grades apart beyond chance (least_g) and are several times as frequent in one as in another (least_lift) get a weight: what only follows a
-    text's length is in all of them. Thresholds are a first one and positive
-    gaps, so that they stay ordered.
+    Thresholds are a first one and positive gaps, so that they stay ordered.
     """
-    bucket, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, place = np.unique(bucket, return_inverse=True)
-    g, lift = _telling(place, grades[row], np.maximum(np.bincount(grades, minlength=top + 1), 1).astype(float), len(names))
-    telling = (g >= least_g) & (lift >= least_lift)
-    new, kept = np.cumsum(telling) - 1, telling[place]
-    names, bucket, row = names[telling], new[place[kept]], row[kept]
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    names, bucket = np.unique(np.concatenate(rows).astype(np.int64), return_inverse=True)
     n, at = len(names), np.arange(len(rows))
     each = 1 / np.maximum(np.bincount(grades, minlength=top + 1), 1) / max(1, len(np.unique(grades)))
     share = each[grades]
@@ -110,9 +132,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 300,
         g = np.concatenate([np.bincount(bucket, weights=g_score[row], minlength=n) + decay * w, [g_cut.sum()], [g_cut[k:].sum() * gaps[k - 1] for k in range(1, top)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[names] = theta[:n]
-    return OrdinalModel(weights, theta[n] + np.concatenate([[0.0], np.cumsum(np.exp(theta[n + 1 :]))]))
+    return OrdinalModel(names, theta[:n].astype(np.float32), theta[n] + np.concatenate([[0.0], np.cumsum(np.exp(theta[n + 1 :]))]))
 
 
 def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 3000) -> OrdinalModel | None:
@@ -131,10 +151,24 @@ def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 3000) -
             edges = np.searchsorted(which, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(edges), pa.array(bucket.astype(np.int32)))], names=["doc_id", "grade", "buckets"])
 
-    got = chosen.mapInArrow(made, "doc_id long, grade int, buckets array<int>").toArrow()
-    if not got.num_rows:
+    found = written(chosen.mapInArrow(made, "doc_id long, grade int, buckets array<int>"), "features")
+    sizes = np.array([r["n"] for r in found.groupBy("grade").agg(F.count("*").alias("n")).join(found.sparkSession.range(top + 1), F.col("grade") == F.col("id"), "right").orderBy("id").select(F.coalesce("n", F.lit(0)).alias("n")).collect()])
+    if not sizes.sum():
         return None
-    got = got.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    each = found.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*[F.count_if(F.col("grade") == k).alias(f"g{k}") for k in range(top + 1)])
+    # Buckets number 2 ** BITS at most, and few are frequent enough to tell anything.
+    counts = each.where(" + ".join(f"g{k}" for k in range(top + 1)) + " >= 8").toArrow()
+    if counts.num_rows:
+        names = np.asarray(counts.column("bucket"))[telling(np.stack([np.asarray(counts.column(f"g{k}")) for k in range(top + 1)], axis=1), sizes)]
+    else:
+        names = np.zeros(0, np.int32)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x[np.isin(x, names)] for x in (np.asarray(v.values) for v in batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "grade", "buckets"])
+
+    got = found.mapInArrow(cut, found.schema).toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
     rows = [np.asarray(x.values) for x in got.column("buckets").combine_chunks()]
     return fit(rows, np.asarray(got.column("grade")).astype(np.int64), top)
 
@@ -150,8 +184,7 @@ def grade(docs: DataFrame, model: OrdinalModel | None, at_least: int, least: flo
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            which, bucket = features(*bytes_of(batch.column(1)))
-            p = model.above(np.bincount(which, weights=model.weights[bucket], minlength=batch.num_rows))
+            p = model.above(model.score(*bytes_of(batch.column(1))))
             tail = p[:, at_least - 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), pa.array(tail), pa.array(tail >= least)], names=["doc_id", "expected_grade", "tail", "kept"])
 
@@ -167,8 +200,7 @@ def kept(docs: DataFrame, model: OrdinalModel | None, at_least: int, least: floa
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, at):
-            which, bucket = features(*bytes_of(batch.column(at)))
-            p = model.above(np.bincount(which, weights=model.weights[bucket], minlength=batch.num_rows))
+            p = model.above(model.score(*bytes_of(batch.column(at))))
             yield batch.filter(pa.array(p[:, at_least - 1] >= least))
 
     return docs.mapInArrow(chosen, docs.schema)

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes worked on at once; the arrays of one step are a few times as large.
-STEP = 1 << 19
+#: Bytes worked on at once; all arrays of one step together are some fifty times as large.
+STEP = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WRAP = 1 << 64
 _powers: list[np.ndarray] = []
@@ -53,7 +53,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * STEP, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = STEP, rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
     """The batches again, in parts of at most so many rows whose texts hold limit bytes at most, or a single text."""
     for batch in batches:
         _, offsets = bytes_of(batch.column(column))
