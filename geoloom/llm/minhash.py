@@ -81,13 +81,28 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> Dat
     return docs.select(row_id().alias("rid"), "doc_id", "text").mapInArrow(signed, "rid long, doc_id long, key long, n_shingles long, bands array<long>, sketch binary")
 
 
+def _agreement(equal: np.ndarray) -> np.ndarray:
+    """How many of each row's flags are set; eight flags are added at a time."""
+    if equal.shape[1] % 8 or equal.shape[1] > 255:
+        return np.count_nonzero(equal, axis=1)
+    lanes = np.ascontiguousarray(equal).view(np.uint64).sum(axis=1)
+    return (lanes * np.uint64(0x0101010101010101) >> np.uint64(56)).astype(np.int64)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets; a stable sort merges two sorted runs."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of classes whose signatures agree in a share of least or more."""
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(bytes_of(batch.column(i))[0], "<u2").reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1)) for i in (2, 3))
-            keep = (x == y).mean(axis=1) >= least
+            keep = _agreement(x == y) >= least * x.shape[1]
             yield batch.select([0, 1]).filter(pa.array(keep))
 
     side = lambda c: classes.select(F.col("key").alias(c), F.col("sketch").alias(f"_{c}"))
@@ -109,7 +124,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
                     at, first = (a, part), own
                     continue
                 assert at == (a, part), "a's text comes first"
-                both = len(np.intersect1d(first, own, assume_unique=True))
+                both = _shared(first, own)
                 if 100 * both >= percent * (len(first) + len(own) - both):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
@@ -153,14 +168,19 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
         hashes, begins, _ = words(data, offsets)
         sets = list(shingles(hashes, begins, offsets, n))
         second, out = np.flatnonzero(blocks == high), []
+        others, sizes = sketch[second], np.array([len(x) for x in sets])
         for i in np.flatnonzero(blocks == low).tolist():
-            others = second[(labels[second] != labels[i]) & ((low != high) | (keys[second] > keys[i]))]
-            equal = sketch[others] == sketch[i]
-            likely = equal.mean(axis=1) >= least
-            shared = equal[likely].reshape(-1, bands, sketch.shape[1] // bands).all(axis=2)
-            for j in others[likely][shared.argmax(axis=1) == (band & 255)].tolist():
+            equal = others == sketch[i]
+            # Sets too different in size can't be alike.
+            fits = 100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i])
+            likely = fits & (labels[second] != labels[i]) & (_agreement(equal) >= least * sketch.shape[1])
+            if low == high:
+                likely &= keys[second] > keys[i]
+            at = np.flatnonzero(likely)
+            shared = equal[at].reshape(-1, bands, sketch.shape[1] // bands).all(axis=2)
+            for j in second[at[shared.argmax(axis=1) == (band & 255)]].tolist():
                 if labels[j] != labels[i]:
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    both = _shared(sets[i], sets[j])
                     if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                         out.append((keys[i], keys[j]))
                         labels[labels == labels[j]] = labels[i]
