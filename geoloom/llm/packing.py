@@ -110,7 +110,7 @@ def plan(counts: dict[int, int], window: int) -> list[tuple[dict[int, int], int]
     return patterns
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, rows_per_bin: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, rows_per_bin: int = 1000) -> DataFrame:
     """One row per piece: PIECE_SCHEMA with sequence_id and offset.
 
     Rows that repeat a document are packed each for itself; an empty table gives no row. Sequences are numbered from 0
@@ -120,7 +120,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, r
     bounded_batches(spark)
     pieces = written(cut(docs, tokenizer, window, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # window rows at most
-    bins = max(1, sum(counts.values()) // rows_per_bin)
+    bins = spark.createDataFrame([(k, -(-n // rows_per_bin)) for k, n in counts.items()], "_l long, _bins long")  # a row for each length
     places, sequence, used = [], 0, {}
     for fill, times in plan(counts, window):
         offset = 0
@@ -131,8 +131,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, r
             offset += length * n
         sequence += times
     placed = spark.createDataFrame(places, "_length long, _first long, _last long, _each long, _sequence long, _offset long")
-    # The rank among pieces of one length: a row number within a salted bin, after the pieces of the bins before it.
-    salted = pieces.withColumn("_bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(bins)))
+    # The rank among pieces of one length: a row number within a salted bin, after the pieces of the bins before it. A
+    # length has as many bins as its pieces ask for, so a frequent one is dealt out and a rare one is one group.
+    salted = pieces.join(F.broadcast(bins), F.col("length") == F.col("_l")).withColumn("_bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_bins"))).drop("_l", "_bins")
     order = Window.partitionBy("length", "_bin").orderBy("doc_id", "start", "ids_crc32")
     before = Window.partitionBy("length").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("length", "_bin").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
