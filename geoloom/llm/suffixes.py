@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .textarrays import STEP, bytes_of, mix64, powers, slices
 
 #: Bytes to which multikey quicksort goes before the blind trie takes over.
 SHALLOW = 64
-#: Groups of more distinct surroundings than this are settled by counting their windows.
-GROUP = 1024
+#: Groups of more distinct surroundings than this (each of fewer than 2 * length bytes) are settled by counting their windows.
+GROUP = 8192
 
 
 # -- anchors ----------------------------------------------------------------------------------------------------------
@@ -59,8 +59,9 @@ def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
     if len(data) < length:
         return none, none, none, none.view(np.uint64)
     hashes = string_hashes(data, k)
-    # The high bits of the hash, then the place: the least is the first of the least.
-    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
+    # The high bits of the hash, then the place: the least is the first of the least. As many bits for every text, so that
+    # equal windows choose alike.
+    bits = np.uint64(max(24, int(len(hashes)).bit_length()))
     keys = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
     least = sliding_minimum(keys, length - k + 1)
     place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -296,6 +297,7 @@ def row_id() -> Column:
 
 def repeated_runs(docs: DataFrame, length: int, k: int = 32) -> DataFrame:
     """(rid, low, high): the window starts low..high of the row rid (see row_id) have windows that start elsewhere too."""
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(row_id().alias("rid"), F.col("text"))
     schema = "rid long, first long, last long, place long, shared long, around long"
     found = written(keyed.mapInArrow(_anchor_rows(length, k), schema), "anchors")
