@@ -143,7 +143,8 @@ def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 3000) -
     bounded_batches(docs.sparkSession)
     known = graded.where(F.col("grade").between(0, top)).select("doc_id", F.col("grade").cast("int").alias("grade")).distinct()
     sample = least_hashed(known, "grade", "doc_id", per_grade, 3)
-    chosen = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "text", "grade")
+    # The sample has (top + 1) * per_grade rows at most, so it goes to where the texts are.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
