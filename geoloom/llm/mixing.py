@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from .common import word_count, written
 
 
+#: So many sources, a few hundred KB at most, go to where the texts are.
+FEW = 10_000
+
+
 def unit_hash(key: Column, seed: int) -> Column:
     """A number in [0, 1) from the first 52 bits of md5(key:seed); the same in every run and on every partition."""
     text = F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("")), F.lit(str(seed)))
@@ -67,7 +71,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3
     names = docs.columns
     targets = source_targets(docs.select("source", word_count(F.col("text")).alias("size")), weights, max_repeat)
     # The document travels as one struct, so that its column names meet no others.
-    rates = targets.select(F.col("source").alias("_mix_source"), "rate")
+    rates = written(targets.select(F.col("source").alias("_mix_source"), "rate"), "mix-rates")
+    if rates.limit(FEW + 1).count() <= FEW:
+        rates = F.broadcast(rates)  # else a join that Spark can split by a frequent source's rows
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_mix_doc"))
     joined = rows.join(rates, F.col("_mix_doc.source").eqNullSafe(F.col("_mix_source")))
     n = copies(F.col("rate"), F.col("_mix_doc.doc_id"), seed, max_repeat)
