@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indices import NDVI_LEGEND, interval
 from ..operators import raster, spatial
+from ..scratch import written
 from .base import Tables, query
 
 #: Hectares of a ten-metre cell.
@@ -250,10 +251,29 @@ def layer_bbox(t: Tables) -> DataFrame:
 f AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 2)
 SELECT term, tf, df FROM f ORDER BY tf DESC, term LIMIT 1000""")
 def vocab_build(t: Tables) -> DataFrame:
+    return _terms(t).where("df > 2").orderBy(F.desc("tf"), "term").limit(1000)
+
+
+def _terms(t: Tables) -> DataFrame:
+    """term, tf, df of the documents' words."""
     words = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("term")).where("term <> ''")
     # Per document first: the distinct count then is a plain sum, and a frequent term is combined before the shuffle.
     per_doc = words.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df")).where("df > 2").orderBy(F.desc("tf"), "term").limit(1000)
+    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS term FROM documents),
+f AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)
+SELECT term, tf, df FROM f ORDER BY tf DESC, term LIMIT 100000""")
+def vocab_build_full(t: Tables) -> DataFrame:
+    """The vocabulary of the reference's own size: 100 * 1000 terms of more than one document."""
+    order = [F.desc("tf"), F.col("term").asc()]
+    # Dealt out by range and written, so that the counts of the parts are those of the very rows that they rank.
+    dealt = written(_terms(t).where("df > 1").repartitionByRange(64, *order).withColumn("part", F.spark_partition_id()), "terms")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sizes = dealt.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = dealt.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(sizes), F.col("part") == F.col("p"))
+    return ranked.where("i + before <= 100000").select("term", "tf", "df").orderBy(*order)
 
 
 _CLICKS = "SELECT 'type' AS col, p_type AS val FROM part UNION ALL SELECT 'brand', p_brand FROM part UNION ALL SELECT 'segment', c_mktsegment FROM customer"
