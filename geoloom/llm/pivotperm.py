@@ -70,14 +70,29 @@ def stars(linked: np.ndarray) -> list[np.ndarray]:
     return parts
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, list_rows: int = 1024, prefix: int = 8, shared: int = 2, most_points: int = 4096) -> DataFrame:
+def sizes(largest: int, list_rows: int, prefix: int, most_points: int) -> tuple[int, int]:
+    """The number of reference points for a label of so many vectors, and how many of the nearest describe a vector.
+
+    Near vectors share fewer of their nearest points the more points there are: up to 256 points have prefix of them, and
+    each doubling adds two.
+    """
+    wide = prefix
+    while True:
+        points = int(np.clip(largest * wide // list_rows, 32, most_points))
+        if wide >= prefix + 2 * np.log2(max(points / 256, 1)):
+            return points, wide
+        wide += 1
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.93, list_rows: int = 1024, prefix: int = 8, shared: int = 1, most_points: int = 4096) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept, for vectors (vec_id, embedding, label).
 
     Vectors are compared when their labels are equal and not null; those that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different lengths. n_links counts the other vectors linked
     directly, component_id is the least vec_id reachable, itself included. Rows that repeat a vec_id are a vector each.
     The number of reference points follows the largest label, so that a list has about list_rows members, between 32 and
-    most_points; longer lists are compared in blocks. Links that share fewer than `shared` points are missed.
+    most_points; longer lists are compared in blocks. Links that share fewer than `shared` points are missed; the prefix
+    grows with the number of points (see sizes).
     """
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
@@ -88,11 +103,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, list_rows: int = 10
     classes = found.groupBy("key").agg(F.first("label").alias("label"), F.count("*").alias("n"), F.first("vector").alias("vector"))
     classes = written(classes, "vector-classes")
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    points = reference_points(classes, "vector", int(np.clip(largest * prefix // list_rows, 32, most_points)))
+    count, prefix = sizes(largest, list_rows, prefix, most_points)
+    points = reference_points(classes, "vector", count)
     index = written(permutations(classes.select("key", "label", "n", "vector"), points, prefix), "permutations")
     listed = index.withColumn("point", F.explode("points"))
-    sizes = listed.groupBy("label", "point").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = listed.join(sizes, ["label", "point"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
+    lengths = listed.groupBy("label", "point").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = listed.join(lengths, ["label", "point"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
     # Each block of a list meets every other: the pair of block numbers is part of the group's key.
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
