@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..scratch import written
 
 
 def ranked(predictions: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
@@ -64,20 +66,24 @@ def one_to_one(pairs: DataFrame, left: str, right: str, order: Sequence[Column])
 def greedy_match(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """d, g, iou by score: each detection, best score first (then least d), takes the unused truth it overlaps most.
 
-    pairs: d, g, score, iou and the columns of by; a group is an image, whose pairs are solved in one task.
+    pairs: d, g, score, iou and the columns of by, within which d and g are matched. Greedy order without a global one: in
+    each round the pairs that come first both for their detection and for their truth are taken, and the other pairs of
+    these go; rounds go on until no pair is left, and their number is the longest chain of pairs that wait for each other.
     """
-
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["score", "d", "iou", "g"], ascending=[False, True, False, True])
-        used, taken, out = set(), set(), []
-        for d, g, iou in zip(group["d"], group["g"], group["iou"], strict=True):
-            if d not in taken and g not in used:
-                used.add(g)
-                taken.add(d)
-                out.append((d, g, iou))
-        return pd.DataFrame(out, columns=["d", "g", "iou"])
-
-    return pairs.groupBy(*by).applyInPandas(match, "d long, g long, iou double")
+    order = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("s"), "d", (-F.col("iou")).alias("o"), "g", "iou")
+    left = written(pairs.select(*by, F.col("d").cast("long").alias("d"), F.col("g").cast("long").alias("g"), "score", F.col("iou").cast("double").alias("iou")), "match-pairs")
+    same = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in by]
+    found = []
+    while not left.isEmpty():
+        first = lambda side: left.groupBy(*by, side).agg(F.min(order).alias("best")).select(*by, "best.d", "best.g", "best.iou").alias(side)  # noqa: B023, E731
+        both = first("d").join(first("g"), [*same("d", "g"), F.col("d.d") == F.col("g.d"), F.col("d.g") == F.col("g.g")])
+        found.append(written(both.select("d.*"), "matched"))
+        rest = left.alias("l")
+        for side in ("d", "g"):
+            rest = rest.join(found[-1].alias("f"), [*same("l", "f"), F.col(f"l.{side}") == F.col(f"f.{side}")], "left_anti").alias("l")
+        left = written(rest, "match-pairs")
+    out = reduce(DataFrame.union, found) if found else left
+    return out.select("d", "g", "iou")
 
 
 def calibration_error(rows: DataFrame, p: str, y: str, bins: int) -> DataFrame:
