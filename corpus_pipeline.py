@@ -8,7 +8,7 @@ from geoloom.llm import minhash, mixing, packing, quality, suffixes
 from geoloom.llm.common import table, written
 from geoloom.llm.queries import TOKENIZER, quality_model
 
-#: Bytes of a passage that counts as repeated: below what 50 words take.
+#: Bytes of a passage that counts as repeated: below what 50 words of ordinary prose take (51 one-letter words take 101).
 PASSAGE = 200
 
 
