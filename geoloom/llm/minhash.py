@@ -152,7 +152,7 @@ def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
     return written(labelled.join(apart, "band", "left_semi"), "mixed")
 
 
-def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float, bands: int, n: int, percent: int) -> DataFrame:
+def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float, n: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of mixed buckets: each plausible pair is confirmed in the first band it shares.
 
     A bucket is compared in blocks of BLOCK members that meet pairwise, signatures first; a task holds the texts of two
@@ -163,6 +163,7 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
     def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         band, low, high = key
         sketch = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(group), -1)
+        own = np.stack(list(group["bands"]))
         keys, labels, blocks = group["key"].to_numpy(), group["label"].to_numpy().copy(), group["block"].to_numpy()
         data, offsets = bytes_of(pa.array(group["text"], pa.large_string()))
         hashes, begins, _ = words(data, offsets)
@@ -177,8 +178,9 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
             if low == high:
                 likely &= keys[second] > keys[i]
             at = np.flatnonzero(likely)
-            shared = equal[at].reshape(-1, bands, sketch.shape[1] // bands).all(axis=2)
-            for j in second[at[shared.argmax(axis=1) == (band & 255)]].tolist():
+            # By the hashes that made the buckets: a band of the sketch may agree where its minima don't.
+            first = (own[second[at]] == own[i]).argmax(axis=1)
+            for j in second[at[own[i][first] == band]].tolist():
                 if labels[j] != labels[i]:
                     both = _shared(sets[i], sets[j])
                     if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
@@ -190,7 +192,7 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
     placed = mixed.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
-    full = met.join(classes.select("key", "sketch").join(texts, "key"), "key").select("band", "low", "high", "block", "key", "label", "sketch", "text")
+    full = met.join(classes.select("key", "sketch", "bands").join(texts, "key"), "key").select("band", "low", "high", "block", "key", "label", "sketch", "bands", "text")
     return full.groupBy("band", "low", "high").applyInPandas(compared, "a long, b long")
 
 
@@ -224,7 +226,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
             checked = pairs if checked is None else checked.union(pairs)
             new = _confirmed(pairs, texts, words_per_shingle, percent)
         else:
-            new = _across(mixed, classes, texts, least, bands, words_per_shingle, percent)
+            new = _across(mixed, classes, texts, least, words_per_shingle, percent)
         links = written(new if links is None else links.union(new), "links")
         joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         mixed = _mixed(mixed, joined) if number < ROUNDS else None
