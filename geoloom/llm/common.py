@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 #: What separates words in every operator here: space, and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Folders of local sessions without spark.checkpoint.dir.
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets one of its own (tests); a cluster is refused, since its executors would each write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="geoloom-"))
     return path.rstrip("/")
 
 
@@ -41,6 +44,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keys() -> list[Column]:
+    """rid and sid: 128 bits that tell rows of another doc_id or text apart; rows that repeat both share them."""
+    return [F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.lit("sid"), "text", "doc_id").alias("sid")]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

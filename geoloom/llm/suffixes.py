@@ -4,28 +4,36 @@ A byte goes if a string of `length` bytes that covers it also starts elsewhere.
 needed: in each window of that length the k-byte string with the least hash (the first of equals) is an anchor, and two
 equal windows have the same anchor at the same place. So only suffixes at anchors are sorted, once to the right and once,
 reversed, to the left; two windows around anchors p and q are equal if the common prefixes to both sides reach their ends.
+The anchors of longer windows are among those of shorter ones, so several lengths are answered by one sort.
 
-Suffixes are dealt out by their first k bytes. Those that share them are ordered by multikey quicksort down to a shallow
-depth; groups that still agree there have long common prefixes and are finished by a blind trie.
+Suffixes are dealt out by their first k bytes. Those that share them are ordered by multikey quicksort (eight bytes a
+character, all groups of a batch at once) down to a shallow depth; what still agrees there has a long common prefix and is
+finished by blind tries. The prefixes to the left form a tree; in each of its nodes the neighbours in the right order give
+every suffix its longest partner, so that a group costs its size times its depth, not its square. A group too large for a
+task is dealt out again by more bytes to the right or to the left: two strings that agree on a whole window meet in one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, row_keys, written
 from .textarrays import STEP, bytes_of, mix64, powers, slices
 
-#: Bytes to which multikey quicksort goes before the blind trie takes over.
+#: Bytes to which multikey quicksort goes before the blind tries take over.
 SHALLOW = 64
-#: Groups of more distinct surroundings than this (each of fewer than 2 * length bytes) are settled by counting their windows.
-GROUP = 8192
+#: Different surroundings of an anchor that one task sorts; larger groups are dealt out again by more of their bytes.
+GROUP = 1024
+#: Strings that a task sorts at once, and entries of tree nodes that it looks at at once.
+BATCH, ENTRIES = 1 << 14, 1 << 21
+SPANS = "rid long, sid long, length int, begin long, end long"
+SORTED = "one long, two long, need int, rid long, sid long, begin long, place int, single boolean, text binary"
 
 
 # -- anchors ----------------------------------------------------------------------------------------------------------
@@ -53,42 +61,52 @@ def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first, last, hash) of each anchor: windows that start at first..last have it as theirs."""
-    none = np.zeros(0, np.int64)
-    if len(data) < length:
+def anchors(data: np.ndarray, lengths: Sequence[int], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, begin, end, hash) of each anchor: begin..end are the bytes of all windows, of any of the lengths, that have it as theirs."""
+    shortest = min(lengths)
+    if len(data) < shortest:
+        none = np.zeros(0, np.int64)
         return none, none, none, none.view(np.uint64)
     hashes = string_hashes(data, k)
     # The high bits of the hash, then the place: the least is the first of the least. As many bits for every text, so that
     # equal windows choose alike.
     bits = np.uint64(max(24, int(len(hashes)).bit_length()))
     keys = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
-    least = sliding_minimum(keys, length - k + 1)
-    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([starts[1:], [len(place)]]) - 1
-    return place[starts], starts, last, hashes[place[starts]]
-
-
-def _anchor_rows(length: int, k: int):
-    names = ["rid", "first", "last", "place", "shared", "around"]
+    for length in sorted(x for x in lengths if x <= len(data)):
+        least = sliding_minimum(keys, length - k + 1)
+        at = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        last = np.concatenate([first[1:], [len(at)]]) - 1
+        if length == shortest:
+            place, begin, end = at[first], first, last + length
+        else:  # these are anchors of the shorter windows too, whose bytes lie within these
+            i = np.searchsorted(place, at[first])
+            begin[i], end[i] = first, last + length
+    return place, begin, end, hashes[place]
+
+
+def _anchor_rows(lengths: Sequence[int], k: int):
+    names, longest = ["rid", "sid", "begin", "end", "place", "shared", "around"], max(lengths)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, limit=STEP):
-            data, offsets = bytes_of(batch.column(1))
-            rid, parts = np.asarray(batch.column(0)), [[] for _ in names]
+        for batch in slices(batches, 2, limit=STEP):
+            data, offsets = bytes_of(batch.column(2))
+            rid, sid, parts = np.asarray(batch.column(0)), np.asarray(batch.column(1)), [[] for _ in names]
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                # A long text in steps that overlap by one window.
-                for at in range(a, max(b - length + 1, a), STEP):
-                    part = data[at : min(at + STEP + length - 1, b)]
-                    place, first, last, shared = anchors(part, length, k)
+                # A long text in steps: each sees a window's length more to both sides and gives the anchors of its own bytes.
+                for at in range(a, max(b - min(lengths) + 1, a), STEP):
+                    low = max(at - longest, a)
+                    part = data[low : min(at + STEP + longest, b)]
+                    place, begin, end, shared = anchors(part, lengths, k)
+                    own = (place >= at - low) & (place < at - low + STEP)
+                    place, begin, end, shared = place[own], begin[own], end[own], shared[own]
                     if not len(place):
                         continue
-                    power, inverse = powers(len(part))
-                    sums = np.zeros(len(part) + 1, np.uint64)
-                    np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
-                    around = mix64(mix64((sums[last + length] - sums[first]) * inverse[first]) + (place - first).astype(np.uint64) * np.uint64(1 << 20) + (last - first).astype(np.uint64))
-                    for col, x in zip(parts, (np.full(len(place), rid[i]), first + at - a, last + at - a, place + at - a, shared.view(np.int64), around.view(np.int64)), strict=True):
+                    view = part.tobytes()
+                    digest = b"".join([hashlib.blake2b(view[x:y], digest_size=8).digest() for x, y in zip(begin.tolist(), end.tolist(), strict=True)])
+                    around = mix64(np.frombuffer(digest, "<u8").astype(np.uint64) + (place - begin).astype(np.uint64))
+                    shift = low - a
+                    for col, x in zip(parts, (np.full(len(place), rid[i]), np.full(len(place), sid[i]), begin + shift, end + shift, place + shift, shared.view(np.int64), around.view(np.int64)), strict=True):
                         col.append(x)
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=names)
@@ -154,136 +172,249 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(strings: list[bytes], shallow: int = SHALLOW) -> list[int]:
-    """The order of strings: multikey quicksort by one byte after the other down to shallow, blind tries below."""
-    out: list[int] = []
-    stack = [(list(range(len(strings))), 0)]
-    while stack:
-        group, depth = stack.pop()
-        if len(group) < 2:
-            out += group
-        elif depth >= shallow:
-            trie = BlindTrie(strings)
-            for i in group:
-                trie.insert(i)
-            out += trie.ordered()
-        else:
-            byte = [strings[i][depth] if depth < len(strings[i]) else -1 for i in group]
-            pivot = sorted(byte[:: max(1, len(byte) // 8)])[len(byte[:: max(1, len(byte) // 8)]) // 2]
-            less, equal, more = [], [], []
-            for i, b in zip(group, byte, strict=True):
-                (less if b < pivot else equal if b == pivot else more).append(i)
-            stack.append((more, depth))
-            if pivot < 0:  # all of these have ended: they are equal
-                stack.append((equal, shallow))
-            else:
-                stack.append((equal, depth + 1))
-            stack.append((less, depth))
-    return out
-
-
-def _shared_lengths(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, common prefix of each with the next in order)."""
-    order = deep_shallow(strings)
-    return np.array(order), np.array([common(strings[a], strings[b]) for a, b in zip(order[:-1], order[1:], strict=True)], np.int64)
+def _matrix(data: np.ndarray, start: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
+    """A row of bytes for each string that begins at start and goes forwards (step 1) or backwards (-1); zeros after its end."""
+    width = max(8, -(-int(sizes.max(initial=0)) // 8) * 8)
+    reach = np.arange(width)
+    at = start[:, None] + step * reach[None]
+    inside = reach[None] < sizes[:, None]
+    return np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8)
 
 
-def repeated_windows(texts: list[bytes], places: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """For each text around an anchor at its place, the runs of window starts whose window another of the texts has too.
+def deep_shallow(rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
+    """The order of the strings (a row each, zeros after its end) by group, then bytes, a string before those it begins.
 
-    With the suffixes to both sides sorted, the common prefix of any two is the least between their neighbours; running
-    minima outward from a suffix give those with all others.
+    groups ascends. Multikey quicksort takes eight bytes for a character and goes down to shallow bytes; strings that are
+    equal that far go to a blind trie each group.
     """
-    n = len(texts)
-    sides = [_shared_lengths([t[p:] for t, p in zip(texts, places, strict=True)]), _shared_lengths([t[:p][::-1] for t, p in zip(texts, places, strict=True)])]
-    ranks = []
-    for order, _ in sides:
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        ranks.append(rank)
-    out = []
-    for i in range(n):
-        reach = np.zeros((2, n), np.int64)
-        for row, (order, shared), rank in zip(reach, sides, ranks, strict=True):
-            at = rank[i]
-            row[order[at + 1 :]] = np.minimum.accumulate(shared[at:])
-            row[order[:at]] = np.minimum.accumulate(shared[:at][::-1])[::-1]
-        right, left = reach
-        hit = np.flatnonzero(right + left >= length)
-        if not len(hit):
-            out.append([])
-            continue
-        # A window with `before` bytes left of the anchor: length - right <= before <= left, within this text.
-        last = len(texts[i]) - length
-        first_start = np.maximum(places[i] - left[hit], 0)
-        last_start = np.minimum(places[i] - np.maximum(length - right[hit], 0), last)
-        marks = np.zeros(last + 2, np.int64)
-        np.add.at(marks, first_start, 1)
-        np.add.at(marks, last_start + 1, -1)
-        on = np.concatenate([[False], np.cumsum(marks)[:-1] > 0, [False]])
-        edges = np.flatnonzero(on[1:] != on[:-1])
-        out.append(list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True)))
-    return out
+    n = len(rows)
+    words = rows.view(">u8").astype(np.uint64)
+    order, at = np.arange(n), np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    parts = np.repeat(at, np.diff(np.concatenate([at, [n]])))  # the place where each one's part of equal strings begins
+    depth = 0
+    while True:
+        first = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]]))
+        many = np.repeat(np.diff(np.concatenate([first, [n]])), np.diff(np.concatenate([first, [n]]))) > 1
+        open_ = np.flatnonzero(many)
+        if not len(open_) or depth >= min(shallow // 8, words.shape[1]):
+            break
+        key = words[order[open_], depth]
+        moved = np.lexsort((key, parts[open_]))
+        order[open_], key, part = order[open_][moved], key[moved], parts[open_]
+        new = np.concatenate([[True], (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
+        parts[open_] = open_[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+        depth += 1
+    if len(open_):
+        edges = np.flatnonzero(np.concatenate([[True], parts[open_][1:] != parts[open_][:-1], [True]]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            members = order[open_[a:b]]
+            trie = BlindTrie([rows[i, : sizes[i]].tobytes() for i in members.tolist()])
+            for i in range(len(members)):
+                trie.insert(i)
+            order[open_[a:b]] = members[trie.ordered()]
+    return order
+
+
+def neighbours(rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The common prefix of each string in order with the next one; -1 where that is of another group."""
+    a, b = order[:-1], order[1:]
+    differ = rows[a] != rows[b]
+    length = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    return np.where(groups[a] == groups[b], np.minimum(length, np.minimum(sizes[a], sizes[b])), -1).astype(np.int32)
+
+
+class RangeMinimum:
+    """Minima of ranges of an array in constant time, from those of all ranges of a power of two."""
+
+    def __init__(self, x: np.ndarray):
+        self.levels = [x]
+        while 2 << len(self.levels) - 1 <= len(x):
+            last, half = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(last[:-half], last[half:]))
+
+    def __call__(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least of x[low:high] for each pair; every range holds something."""
+        power = np.log2(high - low).astype(np.int64)
+        out = np.zeros(len(low), np.int32)
+        for p, level in enumerate(self.levels):
+            at = np.flatnonzero(power == p)
+            if len(at):
+                out[at] = np.minimum(level[low[at]], level[high[at] - (1 << p)])
+        return out
 
 
-def _sorted_groups(length: int):
-    """Rows (shared, around, place in text, text), sorted by shared: the runs of repeated window starts of each."""
+def _nodes(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, depth) of the inner nodes of the tree of strings in order whose neighbours' common prefixes are lcp; -1 parts trees."""
+    n, found, stack = len(lcp), [], []
+    for i, x in enumerate([*lcp.tolist(), -1]):
+        first = i
+        while stack and stack[-1][1] >= x:
+            first, depth = stack.pop()
+            if depth > x:
+                found.append((first, i, depth))
+        if x >= 0:
+            stack.append((first, x))
+    assert not stack and n >= 0
+    return tuple(np.array([f[j] for f in found], np.int64) for j in range(3))
 
-    def settle(group: list[tuple], rows: list[tuple]) -> None:
-        for (shared, around, _, _), runs in zip(group, repeated_windows([g[3] for g in group], [g[2] for g in group], length), strict=True):
-            rows += [(shared, around, a, b) for a, b in runs]
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["shared", "around", "low", "high"])
+def repeated(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, groups: np.ndarray, lengths: Sequence[int], need: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(text, length, begin, end): bytes of texts within windows around their anchors that another text of their group has too.
+
+    Texts lie in data between offsets, each with an anchor at its place; groups ascends. Spans of one text may overlap.
+    need, where not 0, is the one length that counts for a text.
+    """
+    sizes = np.diff(offsets)
+    right, left = _matrix(data, offsets[:-1] + places, sizes - places, 1), _matrix(data, offsets[:-1] + places - 1, places, -1)
+    r_order, l_order = deep_shallow(right, sizes - places, groups), deep_shallow(left, places, groups)
+    r_lcp, l_lcp = neighbours(right, sizes - places, groups, r_order), neighbours(left, places, groups, l_order)
+    n, none = len(places), tuple(np.zeros(0, np.int64) for _ in range(4))
+    most = np.zeros((2, n), np.int64)
+    for row, order, lcp in ((most[0], r_order, r_lcp), (most[1], l_order, l_lcp)):
+        row[order] = np.maximum(np.concatenate([[-1], lcp]), np.concatenate([lcp, [-1]]))
+    wide = most.sum(axis=0) >= min(lengths)  # others reach no window with any
+    at = np.flatnonzero(wide[l_order])
+    if len(at) < 2:
+        return none
+    rank = np.empty(n, np.int64)
+    rank[r_order] = np.arange(n)
+    r_least, members = RangeMinimum(r_lcp), l_order[at]
+    first, last, depth = _nodes(RangeMinimum(l_lcp)(at[:-1], at[1:]))
+    if not len(first):
+        return none
+    many, out = last - first + 1, []
+    edges = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + ENTRIES, ENTRIES))
+    for a, b in zip(edges[:-1].tolist(), [*edges[1:-1].tolist(), len(many)], strict=True):
+        if a == b:
+            continue
+        m = many[a:b]
+        node = np.repeat(np.arange(a, b), m)
+        text = members[first[node] + np.arange(len(node)) - np.repeat(np.cumsum(m) - m, m)]
+        order = np.lexsort((rank[text], node))
+        node, text = node[order], text[order]
+        same = np.flatnonzero(node[1:] == node[:-1])
+        reach = r_least(rank[text[same]], rank[text[same + 1]])
+        best = np.zeros(len(text), np.int64)
+        best[same] = reach
+        best[same + 1] = np.maximum(best[same + 1], reach)
+        for length in lengths:
+            # A window with `before` bytes left of the anchor: length - best <= before <= depth.
+            hit = length - best <= depth[node]
+            if need is not None:
+                hit &= (need[text] == 0) | (need[text] == length)
+            t, d = text[hit], depth[node][hit]
+            out.append((t, np.full(len(t), length), places[t] - d, places[t] - np.maximum(length - best[hit], 0) + length))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
+
+
+def merged(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal spans of each owner."""
+    if not len(owner):
+        return owner, begin, end
+    order = np.lexsort((begin, owner))
+    owner, begin, end = owner[order], begin[order], end[order]
+    far = int(end.max()) + 1  # owners one behind the other
+    rank = np.cumsum(np.concatenate([[0], owner[1:] != owner[:-1]]))
+    before = np.concatenate([[-1], np.maximum.accumulate(end + rank * far)[:-1]])
+    new = np.flatnonzero(begin + rank * far > before)
+    return owner[new], begin[new], np.maximum.reduceat(end, new)
+
+
+def _sorted_groups(lengths: Sequence[int]):
+    """Rows of SORTED, by (one, two): spans of the single ones."""
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        one, two = get_from(rows, "one"), get_from(rows, "two")
+        group = np.cumsum(np.concatenate([[False], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+        several = np.flatnonzero(np.bincount(group)[group] > 1)
+        rows, group = rows.take(pa.array(several)), group[several]
+        columns = [np.zeros(0, np.int64)] * 5
+        if len(several):
+            data, offsets = bytes_of(rows.column("text"))
+            text, length, begin, end = repeated(data, offsets, get_from(rows, "place").astype(np.int64), group, lengths, get_from(rows, "need"))
+            single = get_from(rows, "single")[text]
+            text, length, begin, end = text[single], length[single], begin[single], end[single]
+            owner, begin, end = merged(text * len(lengths) + np.searchsorted(lengths, length), begin, end)
+            text, which = owner // len(lengths), owner % len(lengths)
+            shift = get_from(rows, "begin")[text]
+            columns = [get_from(rows, "rid")[text], get_from(rows, "sid")[text], np.asarray(lengths)[which], begin + shift, end + shift]
+        return pa.RecordBatch.from_arrays([pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["rid", "sid", "length", "begin", "end"])
+
+    def get_from(rows: pa.Table, column: str) -> np.ndarray:
+        return rows.column(column).combine_chunks().to_numpy(zero_copy_only=False)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
+        held: list[pa.RecordBatch] = []
+        count = 0
         for batch in batches:
-            rows: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][0] != row[0]:
-                    settle(group, rows)
-                    group = []
-                group.append(row)
-            yield made(rows)
-        if group:
-            rows = []
-            settle(group, rows)
-            yield made(rows)
+            held.append(batch)
+            count += batch.num_rows
+            if count < BATCH:
+                continue
+            rows = pa.Table.from_batches(held)
+            one, two = get_from(rows, "one"), get_from(rows, "two")
+            same = np.flatnonzero((one != one[-1]) | (two != two[-1]))
+            cut = int(same[-1]) + 1 if len(same) else 0  # the last group may go on
+            if cut:
+                yield settle(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+                count = rows.num_rows - cut
+        if count:
+            yield settle(pa.Table.from_batches(held))
 
     return found
 
 
-def _cut_texts(length: int):
-    """Rows (text, list of anchors): the text around each anchor."""
+def _cut_texts():
+    """Rows (rid, sid, text, list of anchors): the text around each anchor, as rows of SORTED."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
-            data, offsets = bytes_of(batch.column(0))
-            lists = batch.column(1)
+        for batch in slices(batches, 2):
+            data, offsets = bytes_of(batch.column(2))
+            lists = batch.column(3)
             flat, owner = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
-            get = lambda c, f=flat: np.asarray(f.field(c))
-            first, last = get("first"), get("last")
-            begin = offsets[owner] + first
-            texts = [data[a:b].tobytes() for a, b in zip(begin.tolist(), (offsets[owner] + last + length).tolist(), strict=True)]
-            for at in range(0, len(texts), 4096):
+            get = lambda c, f=flat: f.field(c).to_numpy(zero_copy_only=False)
+            begin, end = get("begin"), get("end")
+            low, high = offsets[owner] + begin, offsets[owner] + end
+            for at in range(0, len(owner), 4096):
                 cut = slice(at, at + 4096)
-                yield pa.RecordBatch.from_arrays([pa.array(get("shared")[cut]), pa.array(get("around")[cut]), pa.array((get("place") - first)[cut]), pa.array(texts[cut], pa.binary())], names=["shared", "around", "place", "text"])
+                texts = pa.array([data[a:b].tobytes() for a, b in zip(low[cut].tolist(), high[cut].tolist(), strict=True)], pa.binary())
+                n = len(texts)
+                mine = pa.array(owner[cut])
+                columns = [pa.array(get("shared")[cut]), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), batch.column(0).take(mine), batch.column(1).take(mine), pa.array(begin[cut]), pa.array((get("place") - begin)[cut].astype(np.int32)), pa.array(get("single")[cut]), texts]
+                yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "need", "rid", "sid", "begin", "place", "single", "text"])
 
     return found
 
 
-def _window_hashes(length: int):
-    """Rows (shared, around, place, text): two hashes of every window with its start."""
+def _dealt_again(lengths: Sequence[int], k: int):
+    """Rows of SORTED with before, after (bytes left of the anchor and from it on that the group shares): the same in smaller groups.
+
+    A partner for a window of `need` bytes shares all of it. Of what the group doesn't share yet, it shares the first half
+    to the right or the other half to the left; the string goes to a group of either. Where the group shares a whole window,
+    the window is repeated: the row comes out with need below 0.
+    """
+
+    def key(one: int, two: int, need: int, before: int, after: int, text: bytes, place: int) -> tuple[int, int]:
+        whole = hashlib.blake2b(b"%d %d %d %d %d " % (one, two, need, before, after) + text[place - before : place + after], digest_size=16).digest()
+        return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shared, around, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                data = np.frombuffer(text, np.uint8)
-                one = string_hashes(data, length)
-                two = string_hashes(data ^ np.uint8(0x5A), length)
-                n = len(one)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shared)), pa.array(np.full(n, around)), pa.array(np.arange(n)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["shared", "around", "low", "one", "two"])
+            out = []
+            for row in batch.to_pylist():
+                text, place, before, after = row["text"], row["place"], row["before"], row["after"]
+                for need in [row["need"]] if row["need"] else lengths:
+                    left = need - before - after
+                    if left <= 0:
+                        out.append(row | {"need": -need})
+                        continue
+                    half = -(-left // 2)
+                    for b, a in ((before, after + half), (before + half, after)):
+                        if b <= place and a <= len(text) - place:
+                            one, two = key(row["one"], row["two"], need, b, a, text, place)
+                            out.append(row | {"one": one, "two": two, "need": need, "before": b, "after": a})
+            yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
     return found
 
@@ -291,78 +422,103 @@ def _window_hashes(length: int):
 # -- the operator -----------------------------------------------------------------------------------------------------
 
 
-def row_id() -> Column:
-    return F.xxhash64("doc_id", "text")
+def _small_groups(rows: DataFrame, lengths: Sequence[int], k: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of SORTED in groups that a task can sort, spans that are settled on the way) of the rows of large groups."""
+    pending = written(rows.withColumns({"before": F.lit(0), "after": F.lit(k)}), "large-groups")
+    schema, small, settled = SORTED + ", before int, after int", None, None
+    add = lambda x, y: y if x is None else x.unionByName(y)
+    while not pending.isEmpty():
+        dealt = written(pending.mapInArrow(_dealt_again(lengths, k), schema), "dealt-again")
+        done = dealt.where("need < 0 and single").select("rid", "sid", (-F.col("need")).alias("length"), (F.col("begin") + F.col("place") - F.col("before")).alias("begin"), (F.col("begin") + F.col("place") + F.col("after")).alias("end"))
+        settled = add(settled, done)
+        dealt = dealt.where("need > 0")
+        sizes = dealt.groupBy("one", "two").agg(F.count("*").alias("n"))
+        small = add(small, dealt.join(sizes.where(f"n > 1 and n <= {GROUP}").select("one", "two"), ["one", "two"], "left_semi").drop("before", "after"))
+        pending = written(dealt.join(sizes.where(f"n > {GROUP}").select("one", "two"), ["one", "two"], "left_semi"), "large-groups")
+    return small, settled
+
+
+def repeated_spans(docs: DataFrame, lengths: Sequence[int], k: int = 32) -> DataFrame:
+    """(rid, sid, length, begin, end) of the rows of docs (doc_id, text; see common.row_keys): bytes of windows of a length that start elsewhere too."""
+    bounded_batches(docs.sparkSession)
+    lengths = sorted(set(lengths))
+    k = min(k, lengths[0])
+    keyed = docs.select(*row_keys(), F.col("text"))
+    found = written(keyed.mapInArrow(_anchor_rows(lengths, k), "rid long, sid long, begin long, end long, place long, shared long, around long"), "anchors")
+    # Anchors with the same surroundings are one class: the hash of the shared bytes and a cryptographic one of all of
+    # them agree. Of two or more, every window is repeated; in the sort such a class is one string.
+    classes = found.groupBy("shared", "around").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("rid", "sid", "begin", "end", "place")])
+    groups = classes.groupBy("shared").agg(F.count("*").alias("strings"), F.sum("n").alias("all")).where("all > 1").select("shared", "strings")
+    known = written(classes.join(groups, "shared"), "surroundings")
+    several = known.where("strings > 1").withColumn("single", F.col("n") == 1)
+    texts = keyed.groupBy("rid", "sid").agg(F.first("text").alias("text"))
+
+    def cut(chosen: DataFrame) -> DataFrame:
+        lists = chosen.groupBy("rid", "sid").agg(F.collect_list(F.struct("shared", "begin", "end", "place", "single")).alias("at"))
+        return texts.join(lists, ["rid", "sid"]).select("rid", "sid", "text", "at").mapInArrow(_cut_texts(), SORTED)
+
+    strings, spans = cut(several.where(f"strings <= {GROUP}")), []
+    if (known.agg(F.max("strings")).first()[0] or 0) > GROUP:
+        small, settled = _small_groups(cut(several.where(f"strings > {GROUP}")), lengths, k)
+        strings, spans = strings.unionByName(small), [settled]
+    dealt = strings.repartition("one", "two").sortWithinPartitions("one", "two")
+    spans.append(dealt.mapInArrow(_sorted_groups(lengths), SPANS))
+    twice = known.where("n > 1").select("shared", "around")
+    whole = found.join(twice, ["shared", "around"], "left_semi").select("rid", "sid", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length"), "begin", "end")
+    spans.append(whole.where("end - begin >= length"))
+    out = spans[0]
+    for x in spans[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def covered(docs: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(rid, sid, spans): for each row with repeated bytes, the sorted list of its repeated spans (begin, end, length), bytes of the UTF-8 text."""
+    spans = repeated_spans(docs, lengths)
+    return spans.groupBy("rid", "sid").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "length"))).alias("spans"))
 
 
-def repeated_runs(docs: DataFrame, length: int, k: int = 32) -> DataFrame:
-    """(rid, low, high): the window starts low..high of the row rid (see row_id) have windows that start elsewhere too."""
-    bounded_batches(docs.sparkSession)
-    keyed = docs.select(row_id().alias("rid"), F.col("text"))
-    schema = "rid long, first long, last long, place long, shared long, around long"
-    found = written(keyed.mapInArrow(_anchor_rows(length, k), schema), "anchors")
-    # Anchors whose whole surroundings are equal are one class; of two or more, every window is repeated.
-    classes = found.groupBy("shared", "around").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first", "last", "place")).alias("c"))
-    classes = written(classes.select("shared", "around", "n", "c.*"), "surroundings")
-    groups = classes.groupBy("shared").agg(F.count("*").alias("distinct"), F.sum("n").alias("all")).where("all > 1")
-    known = classes.join(groups, "shared")
-    several = known.where("distinct > 1")
-    lists = several.groupBy("rid").agg(F.collect_list(F.struct("shared", "around", "first", "last", "place", "distinct")).alias("at"))
-    texts = lists.join(keyed, "rid").select("text", "at")
-    cut = written(texts.mapInArrow(_cut_texts(length), "shared long, around long, place long, text binary").dropDuplicates(["shared", "around"]), "around")
-    large = written(groups.where(F.col("distinct") > GROUP).select("shared"), "large")
-    small = cut.join(large, "shared", "left_anti").repartition("shared").sortWithinPartitions("shared")
-    runs = small.mapInArrow(_sorted_groups(length), "shared long, around long, low long, high long")
-    # A group of very many surroundings: each window's hash is counted, combined before the shuffle; no task holds the group.
-    windows = cut.join(large, "shared", "left_semi").mapInArrow(_window_hashes(length), "shared long, around long, low long, one long, two long")
-    twice = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    counted = windows.join(twice, ["one", "two"], "left_semi").select("shared", "around", "low", F.col("low").alias("high"))
-    whole = classes.where("n > 1").select("shared", "around", F.lit(0).cast("long").alias("low"), (F.col("last") - F.col("first")).alias("high"))
-    single = classes.where("n = 1").select("shared", "around")
-    partly = runs.union(counted).join(single, ["shared", "around"], "left_semi")
-    all_runs = written(whole.union(partly), "runs")
-    return found.select("rid", "first", "shared", "around").join(all_runs, ["shared", "around"]).select("rid", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
-
-
-def covered(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(rid, spans): for each row with repeated bytes, the sorted list of its repeated windows (begin, end), bytes of the UTF-8 text."""
-    runs = repeated_runs(docs, length)
-    return runs.distinct().groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(F.col("low").alias("begin"), (F.col("high") + length).alias("end")))).alias("spans"))
-
-
-def _kept(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
-    """(remaining bytes, bytes removed, maximal runs removed)."""
-    kept, at, removed, n = [], 0, 0, 0
+def _runs(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """The maximal runs that the spans of one length cover."""
+    out: list[tuple[int, int]] = []
     for s in spans or []:
-        if n == 0 or s["begin"] > at:
-            kept.append(data[at : s["begin"]])
-            n, at = n + 1, s["begin"]
-        if s["end"] > at:
-            removed, at = removed + s["end"] - at, s["end"]
-    kept.append(data[at:])
-    return b"".join(kept), removed, n
+        if s["length"] == length:
+            if out and s["begin"] <= out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], s["end"]))
+            else:
+                out.append((s["begin"], s["end"]))
+    return out
+
+
+def _without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
+    edges = [0, *[x for run in runs for x in run], len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def removal(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of docs (doc_id, text).
+def removal(docs: DataFrame, length: int = 400, passage: int = 200, passage_words: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes of each row of docs (doc_id, text).
 
     A null text has no bytes; texts of fewer than length bytes lose nothing, and no match crosses texts. Rows that repeat
     both doc_id and text are two texts, so each is found in the other. Rows come out as often as they come in.
+    n_passages and passage_bytes tell, without removing them, of the maximal runs of more than passage_words words that
+    repeated strings of `passage` bytes cover: passages may be shorter than what is removed.
     """
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, text, spans in zip(*batch.columns, strict=True):
-                data = (text.as_py() or "").encode()
-                left, removed, n = _kept(data, spans.as_py())
-                rows.append((doc.as_py(), len(data), removed, n, hashlib.sha256(left).hexdigest()))
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for doc, text, listed in zip(*batch.columns, strict=True):
+                data, spans = (text.as_py() or "").encode(), listed.as_py()
+                runs = _runs(spans, length)
+                passages = [(a, b) for a, b in _runs(spans, passage) if len(data[a:b].split()) > passage_words]
+                rows.append((doc.as_py(), len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_without(data, runs)).hexdigest(), len(passages), sum(b - a for a, b in passages)))
+            columns = list(zip(*rows)) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if name == "kept_sha256" else pa.int64()) for c, name in zip(columns, names, strict=True)], names=names)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = docs.withColumn("_rid", row_id()).join(covered(docs, length), F.col("_rid") == F.col("rid"), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = docs.select("*", *row_keys()).join(covered(docs, [length, passage]), ["rid", "sid"], "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(cut, ", ".join(f"{n} {'string' if n == 'kept_sha256' else 'long'}" for n in names))
 
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
@@ -373,13 +529,13 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if t.as_py() is None else _kept(t.as_py().encode(), s.as_py())[0].decode("utf-8", "ignore") for t, s in zip(batch.column(0).field("text"), batch.column(1), strict=True)]
+            texts = [None if t.as_py() is None else _without(t.as_py().encode(), _runs(s.as_py(), length)).decode("utf-8", "ignore") for t, s in zip(batch.column(0).field("text"), batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_doc", "_text"])
 
     names = docs.columns
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
-    joined = rows.join(covered(slim, length), F.col("_rid") == F.col("rid"), "left").select("_doc", "spans")
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_rid"), F.xxhash64(F.lit("sid"), "text", F.col("doc_id").cast("long")).alias("_sid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
+    joined = rows.join(covered(slim, [length]), (F.col("_rid") == F.col("rid")) & (F.col("_sid") == F.col("sid")), "left").select("_doc", "spans")
     new = joined.mapInArrow(cut, f"_doc {rows.schema['_doc'].dataType.simpleString()}, _text string")
     fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
     return new.select(*[(fresh[c] if fresh.get(c) is not None else F.col(f"_doc.`{c}`")).alias(c) for c in names])

@@ -238,32 +238,78 @@ def repeat_texts():
     return texts
 
 
-@pytest.mark.parametrize("group", [8192, 1])
+@pytest.mark.parametrize("group", [1024, 1])
 def test_repeated_bytes(spark, monkeypatch, group):
+    """group 1: every group is dealt out again until it is whole windows."""
     monkeypatch.setattr(suffixes, "GROUP", group)
     texts = repeat_texts()
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.removal(docs(spark, texts), length=64).collect()}
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffixes.removal(docs(spark, texts), length=64, passage=40).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 64)
 
 
-def test_deep_shallow_is_sorting():
+def test_two_lengths_at_once(spark):
+    texts = repeat_texts()
+    for length, passage in ((64, 40), (40, 64), (90, 90)):
+        for r in suffixes.removal(docs(spark, texts), length, passage, passage_words=0).collect():
+            i = r["doc_id"]
+            assert tuple(r)[1:5] == brute_repeats(texts, length)[i] and r["passage_bytes"] == brute_repeats(texts, passage)[i][1]
+
+
+def test_contract_length(spark):
+    """400 bytes over whole tables, a very long text and clashing columns included; passages of more than 50 words are told of."""
+    rng = random.Random(61)
+    long, short = prose(rng, 120, 5000), prose(rng, 55, 5000)
+    texts = [f"{prose(rng, 90, 5000)} {long} {prose(rng, 90, 5000)}" for _ in range(3)] + [f"{prose(rng, 90, 5000)} {short} {prose(rng, 9, 5000)}" for _ in range(2)]
+    texts += [prose(rng, 20000, 5000), prose(rng, 300, 5000), None, ""]
+    texts += [texts[5][:90000] + prose(rng, 10, 5000), texts[6]]
+    table = docs(spark, texts).withColumns({"rid": F.lit(1), "sid": F.lit(2), "spans": F.lit(3), "begin": F.lit(4), "n_bytes": F.lit("x")})
+    got = {r["doc_id"]: r for r in suffixes.removal(table).collect()}
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == brute_repeats(texts, 400)
+    assert [got[i]["n_passages"] > 0 for i in range(len(texts))] == [True] * 6 + [True, False, False, True, True] and got[3]["n_removed"] == 0
+
+
+def test_order_is_sorting():
     rng = random.Random(7)
-    for _ in range(40):
+    for _ in range(60):
         base = bytes(rng.choice(b"ab") for _ in range(120))
-        strings = [base[: rng.randrange(121)] + bytes(rng.choice(b"ab") for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 40))]
-        assert [strings[i] for i in suffixes.deep_shallow(strings, shallow=rng.choice([0, 4, 64]))] == sorted(strings)
-
-
-def test_long_text_in_steps(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "STEP", 700)
+        strings = [base[: rng.randrange(121)] + bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 40))]
+        groups = np.sort(np.array([rng.randrange(3) for _ in strings]))
+        sizes = np.array([len(s) for s in strings])
+        rows = suffixes._matrix(np.frombuffer(b"".join(strings) + b" ", np.uint8), np.cumsum(sizes) - sizes, sizes, 1)
+        order = suffixes.deep_shallow(rows, sizes, groups, shallow=rng.choice([0, 8, 64]))
+        assert [(groups[i], strings[i]) for i in order] == sorted(zip(groups, strings))
+        shared = suffixes.neighbours(rows, sizes, groups, order)
+        assert shared.tolist() == [suffixes.common(strings[a], strings[b]) if groups[a] == groups[b] else -1 for a, b in zip(order[:-1], order[1:])]
+
+
+def test_range_minimum_and_nodes():
+    rng = np.random.default_rng(5)
+    x = rng.integers(-1, 6, 70).astype(np.int32)
+    low = rng.integers(0, 69, 200)
+    high = low + 1 + rng.integers(0, 70 - low)
+    assert suffixes.RangeMinimum(x)(low, high).tolist() == [x[a:b].min() for a, b in zip(low, high)]
+    nodes = {(a, b, d) for a, b, d in zip(*(y.tolist() for y in suffixes._nodes(x)))}
+    want = set()
+    for g in range(len(x)):
+        if x[g] >= 0:
+            a, b = g, g
+            while a > 0 and x[a - 1] >= x[g]:
+                a -= 1
+            while b + 1 < len(x) and x[b + 1] >= x[g]:
+                b += 1
+            want.add((a, b + 1, int(x[g])))
+    assert nodes == want
+
+
+def test_long_text_in_steps(monkeypatch):
+    """Steps find the anchors, and the bytes around them, that the whole text at once has."""
     rng = random.Random(8)
-    passage = prose(rng, 40)
-    texts = [f"{prose(rng, 300)} {passage} {prose(rng, 300)}", f"{passage} {prose(rng, 100)}"]
-    data, offsets = textarrays.bytes_of(pa.array(texts))
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(texts)], names=["rid", "text"])
-    rows = [tuple(r.values()) for b in suffixes._anchor_rows(64, 16)([batch]) for r in b.to_pylist()]
-    starts = Counter((rid, s) for rid, first, last, *_ in rows for s in range(first, last + 1))
-    assert starts == Counter((i, s) for i, t in enumerate(texts) for s in range(len(t.encode()) - 63)) and len(data) == offsets[-1]
+    texts = [f"{prose(rng, 300)} {prose(rng, 300)}", prose(rng, 100), "short"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([0, 1, 2]), pa.array(texts)], names=["rid", "sid", "text"])
+    rows = lambda: sorted(tuple(r.values()) for b in suffixes._anchor_rows([64, 100], 16)([batch]) for r in b.to_pylist())
+    whole = rows()
+    monkeypatch.setattr(suffixes, "STEP", 700)
+    assert rows() == whole and {r[0] for r in whole} == {0, 1}
 
 
 def test_texts_without_repeats(spark):
