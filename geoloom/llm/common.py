@@ -44,9 +44,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_keys() -> list[Column]:
-    """rid and sid: 128 bits that tell rows of another doc_id or text apart; rows that repeat both share them."""
-    return [F.xxhash64("doc_id", "text").alias("rid"), F.xxhash64(F.lit("sid"), "text", "doc_id").alias("sid")]
+def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """rid and sid tell rows of another doc_id or text apart (a hash of both, and doc_id itself); rows that repeat both share them."""
+    own = F.col(doc_id).cast("long")
+    return [F.xxhash64(own, text).alias("rid"), F.coalesce(own, F.lit(0)).alias("sid")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

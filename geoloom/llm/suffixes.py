@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,11 @@ from .textarrays import STEP, bytes_of, mix64, powers, slices
 #: Bytes to which multikey quicksort goes before the blind tries take over.
 SHALLOW = 64
 #: Different surroundings of an anchor that one task sorts; larger groups are dealt out again by more of their bytes.
-GROUP = 1024
+GROUP = 4096
 #: Strings that a task sorts at once, and entries of tree nodes that it looks at at once.
 BATCH, ENTRIES = 1 << 14, 1 << 21
 SPANS = "rid long, sid long, length int, begin long, end long"
-SORTED = "one long, two long, need int, rid long, sid long, begin long, place int, single boolean, text binary"
+SORTED = "one long, two long, rid long, sid long, begin long, place int, single boolean, text binary"
 
 
 # -- anchors ----------------------------------------------------------------------------------------------------------
@@ -86,7 +87,9 @@ def anchors(data: np.ndarray, lengths: Sequence[int], k: int) -> tuple[np.ndarra
 
 
 def _anchor_rows(lengths: Sequence[int], k: int):
-    names, longest = ["rid", "sid", "begin", "end", "place", "shared", "around"], max(lengths)
+    """Rows (rid, sid, text): the anchors. at holds begin in its high half, then the anchor's distance from there and the size."""
+    names, longest = ["rid", "sid", "at", "shared", "around"], max(lengths)
+    assert longest < 1 << 15, "places are packed"
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2, limit=STEP):
@@ -105,8 +108,8 @@ def _anchor_rows(lengths: Sequence[int], k: int):
                     view = part.tobytes()
                     digest = b"".join([hashlib.blake2b(view[x:y], digest_size=8).digest() for x, y in zip(begin.tolist(), end.tolist(), strict=True)])
                     around = mix64(np.frombuffer(digest, "<u8").astype(np.uint64) + (place - begin).astype(np.uint64))
-                    shift = low - a
-                    for col, x in zip(parts, (np.full(len(place), rid[i]), np.full(len(place), sid[i]), begin + shift, end + shift, place + shift, shared.view(np.int64), around.view(np.int64)), strict=True):
+                    packed = (begin + (low - a)) << 32 | (place - begin) << 16 | (end - begin)
+                    for col, x in zip(parts, (np.full(len(place), rid[i]), np.full(len(place), sid[i]), packed, shared.view(np.int64), around.view(np.int64)), strict=True):
                         col.append(x)
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], names=names)
@@ -258,11 +261,10 @@ def _nodes(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array([f[j] for f in found], np.int64) for j in range(3))
 
 
-def repeated(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, groups: np.ndarray, lengths: Sequence[int], need: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def repeated(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, groups: np.ndarray, lengths: Sequence[int]) -> tuple[np.ndarray, ...]:
     """(text, length, begin, end): bytes of texts within windows around their anchors that another text of their group has too.
 
     Texts lie in data between offsets, each with an anchor at its place; groups ascends. Spans of one text may overlap.
-    need, where not 0, is the one length that counts for a text.
     """
     sizes = np.diff(offsets)
     right, left = _matrix(data, offsets[:-1] + places, sizes - places, 1), _matrix(data, offsets[:-1] + places - 1, places, -1)
@@ -300,8 +302,6 @@ def repeated(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, groups:
         for length in lengths:
             # A window with `before` bytes left of the anchor: length - best <= before <= depth.
             hit = length - best <= depth[node]
-            if need is not None:
-                hit &= (need[text] == 0) | (need[text] == length)
             t, d = text[hit], depth[node][hit]
             out.append((t, np.full(len(t), length), places[t] - d, places[t] - np.maximum(length - best[hit], 0) + length))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
@@ -331,7 +331,7 @@ def _sorted_groups(lengths: Sequence[int]):
         columns = [np.zeros(0, np.int64)] * 5
         if len(several):
             data, offsets = bytes_of(rows.column("text"))
-            text, length, begin, end = repeated(data, offsets, get_from(rows, "place").astype(np.int64), group, lengths, get_from(rows, "need"))
+            text, length, begin, end = repeated(data, offsets, get_from(rows, "place").astype(np.int64), group, lengths)
             single = get_from(rows, "single")[text]
             text, length, begin, end = text[single], length[single], begin[single], end[single]
             owner, begin, end = merged(text * len(lengths) + np.searchsorted(lengths, length), begin, end)
@@ -374,46 +374,43 @@ def _cut_texts():
             lists = batch.column(3)
             flat, owner = lists.flatten(), np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
             get = lambda c, f=flat: f.field(c).to_numpy(zero_copy_only=False)
-            begin, end = get("begin"), get("end")
-            low, high = offsets[owner] + begin, offsets[owner] + end
-            for at in range(0, len(owner), 4096):
-                cut = slice(at, at + 4096)
-                texts = pa.array([data[a:b].tobytes() for a, b in zip(low[cut].tolist(), high[cut].tolist(), strict=True)], pa.binary())
-                n = len(texts)
+            at = get("at")
+            begin, place, size = at >> 32, (at >> 16 & 0xFFFF).astype(np.int32), at & 0xFFFF
+            low = offsets[owner] + begin
+            for i in range(0, len(owner), 4096):
+                cut = slice(i, i + 4096)
+                texts = pa.array([data[a : a + n].tobytes() for a, n in zip(low[cut].tolist(), size[cut].tolist(), strict=True)], pa.binary())
                 mine = pa.array(owner[cut])
-                columns = [pa.array(get("shared")[cut]), pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), batch.column(0).take(mine), batch.column(1).take(mine), pa.array(begin[cut]), pa.array((get("place") - begin)[cut].astype(np.int32)), pa.array(get("single")[cut]), texts]
-                yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "need", "rid", "sid", "begin", "place", "single", "text"])
+                columns = [pa.array(get("shared")[cut]), pa.array(np.zeros(len(texts), np.int64)), batch.column(0).take(mine), batch.column(1).take(mine), pa.array(begin[cut]), pa.array(place[cut]), pa.array(get("single")[cut]), texts]
+                yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "rid", "sid", "begin", "place", "single", "text"])
 
     return found
 
 
-def _dealt_again(lengths: Sequence[int], k: int):
+def _dealt_again(lengths: Sequence[int]):
     """Rows of SORTED with before, after (bytes left of the anchor and from it on that the group shares): the same in smaller groups.
 
-    A partner for a window of `need` bytes shares all of it. Of what the group doesn't share yet, it shares the first half
-    to the right or the other half to the left; the string goes to a group of either. Where the group shares a whole window,
-    the window is repeated: the row comes out with need below 0.
+    A partner for a window shares all of it. Of what the group doesn't share yet, it shares the first half to the right or
+    the other half to the left; the string goes to a group of either. Where the group shares a whole window of a length
+    that window is repeated: a row with that length in `whole` says so, and the next length is what is halved on.
     """
 
-    def key(one: int, two: int, need: int, before: int, after: int, text: bytes, place: int) -> tuple[int, int]:
-        whole = hashlib.blake2b(b"%d %d %d %d %d " % (one, two, need, before, after) + text[place - before : place + after], digest_size=16).digest()
-        return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
+    def key(row: dict, before: int, after: int) -> dict:
+        shared = row["text"][row["place"] - before : row["place"] + after]
+        digest = hashlib.blake2b(b"%d %d %d %d " % (row["one"], row["two"], before, after) + shared, digest_size=16).digest()
+        return row | {"one": int.from_bytes(digest[:8], "little", signed=True), "two": int.from_bytes(digest[8:], "little", signed=True), "before": before, "after": after, "whole": 0}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                text, place, before, after = row["text"], row["place"], row["before"], row["after"]
-                for need in [row["need"]] if row["need"] else lengths:
-                    left = need - before - after
-                    if left <= 0:
-                        out.append(row | {"need": -need})
-                        continue
-                    half = -(-left // 2)
-                    for b, a in ((before, after + half), (before + half, after)):
-                        if b <= place and a <= len(text) - place:
-                            one, two = key(row["one"], row["two"], need, b, a, text, place)
-                            out.append(row | {"one": one, "two": two, "need": need, "before": b, "after": a})
+                before, after, most = row["before"], row["after"], len(row["text"])
+                out += [row | {"whole": x} for x in lengths if row["single"] and x <= before + after]
+                # A length that was whole a round ago is said again; spans are a set.
+                need = next((x for x in lengths if before + after < x <= most), None)
+                if need:
+                    half = -(-(need - before - after) // 2)
+                    out += [key(row, b, a) for b, a in ((before, after + half), (before + half, after)) if b <= row["place"] and a <= most - row["place"]]
             yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
 
     return found
@@ -422,20 +419,19 @@ def _dealt_again(lengths: Sequence[int], k: int):
 # -- the operator -----------------------------------------------------------------------------------------------------
 
 
-def _small_groups(rows: DataFrame, lengths: Sequence[int], k: int) -> tuple[DataFrame, DataFrame | None]:
+def _small_groups(rows: DataFrame, lengths: Sequence[int], k: int) -> tuple[DataFrame, DataFrame]:
     """(rows of SORTED in groups that a task can sort, spans that are settled on the way) of the rows of large groups."""
-    pending = written(rows.withColumns({"before": F.lit(0), "after": F.lit(k)}), "large-groups")
-    schema, small, settled = SORTED + ", before int, after int", None, None
-    add = lambda x, y: y if x is None else x.unionByName(y)
-    while not pending.isEmpty():
-        dealt = written(pending.mapInArrow(_dealt_again(lengths, k), schema), "dealt-again")
-        done = dealt.where("need < 0 and single").select("rid", "sid", (-F.col("need")).alias("length"), (F.col("begin") + F.col("place") - F.col("before")).alias("begin"), (F.col("begin") + F.col("place") + F.col("after")).alias("end"))
-        settled = add(settled, done)
-        dealt = dealt.where("need > 0")
-        sizes = dealt.groupBy("one", "two").agg(F.count("*").alias("n"))
-        small = add(small, dealt.join(sizes.where(f"n > 1 and n <= {GROUP}").select("one", "two"), ["one", "two"], "left_semi").drop("before", "after"))
-        pending = written(dealt.join(sizes.where(f"n > {GROUP}").select("one", "two"), ["one", "two"], "left_semi"), "large-groups")
-    return small, settled
+    pending, small, settled = rows.withColumns({"before": F.lit(0), "after": F.lit(k), "whole": F.lit(0)}), [], []
+    while True:
+        dealt = written(pending.mapInArrow(_dealt_again(lengths), f"{SORTED}, before int, after int, whole int"), "dealt-again")
+        at = F.col("begin") + F.col("place")
+        settled.append(dealt.where("whole > 0").select("rid", "sid", F.col("whole").alias("length"), (at - F.col("before")).alias("begin"), (at + F.col("after")).alias("end")))
+        groups = dealt.where("whole = 0")
+        sizes = written(groups.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1"), "group-sizes")
+        small.append(groups.join(sizes.where(f"n <= {GROUP}").select("one", "two"), ["one", "two"], "left_semi").drop("before", "after", "whole"))
+        if sizes.where(f"n > {GROUP}").isEmpty():
+            return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, settled)
+        pending = groups.join(sizes.where(f"n > {GROUP}").select("one", "two"), ["one", "two"], "left_semi").select(*dealt.columns)
 
 
 def repeated_spans(docs: DataFrame, lengths: Sequence[int], k: int = 32) -> DataFrame:
@@ -444,32 +440,33 @@ def repeated_spans(docs: DataFrame, lengths: Sequence[int], k: int = 32) -> Data
     lengths = sorted(set(lengths))
     k = min(k, lengths[0])
     keyed = docs.select(*row_keys(), F.col("text"))
-    found = written(keyed.mapInArrow(_anchor_rows(lengths, k), "rid long, sid long, begin long, end long, place long, shared long, around long"), "anchors")
+    found = written(keyed.mapInArrow(_anchor_rows(lengths, k), "rid long, sid long, at long, shared long, around long"), "anchors")
+    # Only anchors whose first bytes occur again can be repeated.
+    again = found.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1").select("shared")
+    known = written(found.join(again, "shared", "left_semi"), "known-anchors")
     # Anchors with the same surroundings are one class: the hash of the shared bytes and a cryptographic one of all of
     # them agree. Of two or more, every window is repeated; in the sort such a class is one string.
-    classes = found.groupBy("shared", "around").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("rid", "sid", "begin", "end", "place")])
-    groups = classes.groupBy("shared").agg(F.count("*").alias("strings"), F.sum("n").alias("all")).where("all > 1").select("shared", "strings")
-    known = written(classes.join(groups, "shared"), "surroundings")
-    several = known.where("strings > 1").withColumn("single", F.col("n") == 1)
+    classes = known.groupBy("shared", "around").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("rid", "sid", "at")])
+    strings_of = classes.groupBy("shared").agg(F.count("*").alias("strings"))
+    surroundings = written(classes.join(strings_of, "shared"), "surroundings")
+    several = surroundings.where("strings > 1").withColumn("single", F.col("n") == 1)
     texts = keyed.groupBy("rid", "sid").agg(F.first("text").alias("text"))
 
     def cut(chosen: DataFrame) -> DataFrame:
-        lists = chosen.groupBy("rid", "sid").agg(F.collect_list(F.struct("shared", "begin", "end", "place", "single")).alias("at"))
-        return texts.join(lists, ["rid", "sid"]).select("rid", "sid", "text", "at").mapInArrow(_cut_texts(), SORTED)
+        lists = chosen.groupBy("rid", "sid").agg(F.collect_list(F.struct("shared", "at", "single")).alias("list"))
+        return texts.join(lists, ["rid", "sid"]).select("rid", "sid", "text", "list").mapInArrow(_cut_texts(), SORTED)
 
     strings, spans = cut(several.where(f"strings <= {GROUP}")), []
-    if (known.agg(F.max("strings")).first()[0] or 0) > GROUP:
+    if (surroundings.agg(F.max("strings")).first()[0] or 0) > GROUP:
         small, settled = _small_groups(cut(several.where(f"strings > {GROUP}")), lengths, k)
         strings, spans = strings.unionByName(small), [settled]
     dealt = strings.repartition("one", "two").sortWithinPartitions("one", "two")
     spans.append(dealt.mapInArrow(_sorted_groups(lengths), SPANS))
-    twice = known.where("n > 1").select("shared", "around")
-    whole = found.join(twice, ["shared", "around"], "left_semi").select("rid", "sid", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length"), "begin", "end")
-    spans.append(whole.where("end - begin >= length"))
-    out = spans[0]
-    for x in spans[1:]:
-        out = out.unionByName(x)
-    return out
+    twice = surroundings.where("n > 1").select("shared", "around")
+    begin, size = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFF)
+    whole = known.join(twice, ["shared", "around"], "left_semi").select("rid", "sid", begin.alias("begin"), (begin + size).alias("end"))
+    each = whole.select("rid", "sid", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length"), "begin", "end")
+    return reduce(DataFrame.unionByName, spans, each.where("end - begin >= length"))
 
 
 def covered(docs: DataFrame, lengths: Sequence[int]) -> DataFrame:
@@ -495,7 +492,7 @@ def _without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def removal(docs: DataFrame, length: int = 400, passage: int = 200, passage_words: int = 50) -> DataFrame:
+def removal(docs: DataFrame, length: int = 400, passage: int = 256, passage_words: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, passage_bytes of each row of docs (doc_id, text).
 
     A null text has no bytes; texts of fewer than length bytes lose nothing, and no match crosses texts. Rows that repeat
@@ -534,7 +531,8 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
 
     names = docs.columns
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_rid"), F.xxhash64(F.lit("sid"), "text", F.col("doc_id").cast("long")).alias("_sid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
+    rid, sid = row_keys()
+    rows = docs.select(rid.alias("_rid"), sid.alias("_sid"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
     joined = rows.join(covered(slim, [length]), (F.col("_rid") == F.col("rid")) & (F.col("_sid") == F.col("sid")), "left").select("_doc", "spans")
     new = joined.mapInArrow(cut, f"_doc {rows.schema['_doc'].dataType.simpleString()}, _text string")
     fresh = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
