@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import operator
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
@@ -46,6 +48,30 @@ def index(name: str, bands: Bands) -> Column:
     return INDICES[name](bands)
 
 
+_STEPS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: ratio, ast.Pow: F.pow}
+_CALLS = {"sqrt": F.sqrt, "abs": F.abs, "log": F.log, "exp": F.exp}
+
+
+def expression(formula: str, bands: Bands) -> Column:
+    """A caller's own index, e.g. "(nir - red) / (nir + red)": band names, numbers, + - * / **, sqrt, abs, log and exp; null where a divisor is 0."""
+
+    def column(node: ast.expr) -> Column:
+        match node:
+            case ast.BinOp(left, op, right) if type(op) in _STEPS:
+                return _STEPS[type(op)](column(left), column(right))
+            case ast.UnaryOp(ast.USub(), x):
+                return -column(x)
+            case ast.Constant(value) if isinstance(value, (int, float)):
+                return F.lit(float(value))
+            case ast.Name(name) if name in bands:
+                return bands[name].cast("double")
+            case ast.Call(ast.Name(name), [x], []) if name in _CALLS:
+                return _CALLS[name](column(x))
+        raise ValueError(f"not a part of an index formula: {ast.unparse(node)}")
+
+    return column(ast.parse(formula, mode="eval").body)
+
+
 def interval(value: Column, lows: tuple[float, ...]) -> Column:
     """The number of the interval (low, next low] that value lies in, from 1; open above, null at or below the first low."""
     out = F.lit(None).cast("int")

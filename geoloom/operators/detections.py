@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,24 +39,39 @@ def suppress(boxes: DataFrame, by: Sequence[str], most: float, size: float = 64)
             return boxes.join(state.where("kept").select("id"), "id", "left_semi")
 
 
-def by_halo(mask: DataFrame, size: int, halo: int, value: str = "cls") -> DataFrame:
-    """r, c, value: the median of the (2 * halo + 1) square around each cell, tile by tile with a rim of the neighbours' cells.
+def median_around(halo: int) -> Callable[[np.ndarray], np.ndarray]:
+    """The median of the (2 * halo + 1) square around each inner cell of a padded tile; cells that are missing (NaN) don't count."""
 
-    A cell is sent to every tile whose rim it lies in; each tile is one array, and only its own cells are written back.
+    def f(tile: np.ndarray) -> np.ndarray:
+        around = np.lib.stride_tricks.sliding_window_view(tile, (2 * halo + 1,) * 2)
+        flat = np.sort(around.reshape(*around.shape[:2], -1), axis=-1)  # NaN last
+        n = np.maximum((~np.isnan(flat)).sum(axis=-1), 1)
+        at = lambda i: np.take_along_axis(flat, i[..., None], axis=-1)[..., 0]
+        return (at((n - 1) // 2) + at(n // 2)) / 2
+
+    return f
+
+
+def by_halo(mask: DataFrame, size: int, halo: int, f: Callable[[np.ndarray], np.ndarray], value: str = "cls", out: str = "result") -> DataFrame:
+    """r, c, out: a caller's function of tiles with a rim of halo cells of their neighbours (NaN where there are none).
+
+    f takes a square of size + 2 * halo cells and gives the size * size values within the rim. A cell is sent to every tile
+    whose rim it lies in; each tile is one array, and only its own cells are written back.
     """
     reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / size), F.floor((F.col(c) + halo) / size)))
-    dealt = mask.select("r", "c", value, reach("r").alias("tr")).select("*", reach("c").alias("tc")).where("tr >= 0 and tc >= 0")
+    dealt = mask.select("r", "c", value, reach("r").alias("tr")).select("*", reach("c").alias("tc"))
 
     def solve(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         top, left = key[0] * size - halo, key[1] * size - halo
         grid = np.full((size + 2 * halo,) * 2, np.nan)
-        grid[tile["r"] - top, tile["c"] - left] = tile[value]
-        around = np.lib.stride_tricks.sliding_window_view(grid, (2 * halo + 1,) * 2)
-        own = tile[(tile["r"] >= top + halo) & (tile["r"] < top + halo + size) & (tile["c"] >= left + halo) & (tile["c"] < left + halo + size)]
-        out = [float(np.nanmedian(around[r - top - halo, c - left - halo])) for r, c in zip(own["r"], own["c"], strict=True)]
-        return pd.DataFrame({"r": own["r"].to_numpy(), "c": own["c"].to_numpy(), "median": out})
-
-    return dealt.groupBy("tr", "tc").applyInPandas(solve, "r int, c int, median double")
+        r, c = tile["r"].to_numpy() - top, tile["c"].to_numpy() - left
+        grid[r, c] = tile[value]
+        own = (r >= halo) & (r < halo + size) & (c >= halo) & (c < halo + size)
+        if not own.any():
+            return pd.DataFrame({"r": [], "c": [], out: []}).astype({"r": "int32", "c": "int32", out: "float64"})
+        return pd.DataFrame({"r": r[own] + top, "c": c[own] + left, out: np.asarray(f(grid), float)[r[own] - halo, c[own] - halo]})
+
+    return dealt.groupBy("tr", "tc").applyInPandas(solve, f"r int, c int, {out} double")
 
 
 def regions(mask: DataFrame, value: str = "cls", tile: int = 64) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..scratch import written
+from .orders import running
 
 
 def ranked(predictions: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
@@ -42,19 +43,11 @@ def plain_ap(r: DataFrame, by: str) -> DataFrame:
     return r.where("pos > 0").groupBy(by).agg((F.sum(F.col("correct") * F.col("tp") / F.col("k")) / F.max("pos")).alias("ap"), F.max("pos").alias("pos"))
 
 
-def global_average_precision(predictions: DataFrame, order: Sequence[str], ascending: Sequence[bool], parts: int = 64) -> DataFrame:
-    """gap over one order of all rows, without putting them in one task.
-
-    Rows are dealt out by range of the order; counts of the parts before give every row its rank and hits so far.
-    """
+def global_average_precision(predictions: DataFrame, order: Sequence[str], ascending: Sequence[bool]) -> DataFrame:
+    """gap over one order of all rows, without putting them in one task."""
     keys = [F.col(c).asc() if a else F.col(c).desc() for c, a in zip(order, ascending, strict=True)]
-    dealt = predictions.select(*order, "correct").repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part").orderBy(*keys)
-    rows = dealt.withColumns({"_k": F.row_number().over(local), "_t": F.sum("correct").over(local.rowsBetween(Window.unboundedPreceding, 0))})
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    sums = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.sum("correct").alias("_c")).select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"))
-    at = rows.join(F.broadcast(sums), F.col("_part") == F.col("_p"))
-    return at.agg((F.sum(F.col("correct") * (F.col("_t") + F.col("_c0")) / (F.col("_k") + F.col("_n0"))) / F.sum("correct")).alias("gap"))
+    at = running(predictions.select(*order, "correct"), keys, {"_tp": F.col("correct")})
+    return at.agg((F.sum(F.col("correct") * F.col("_tp") / (F.col("_rank") + 1)) / F.sum("correct")).alias("gap"))
 
 
 def one_to_one(pairs: DataFrame, left: str, right: str, order: Sequence[Column]) -> DataFrame:
@@ -96,7 +89,7 @@ def calibration_error(rows: DataFrame, p: str, y: str, bins: int) -> DataFrame:
 def best_threshold(rows: DataFrame, key: str, gain: str) -> DataFrame:
     """key, total: where the sum of gains of rows at or below is largest (the least key of equals). Sums run over the distinct keys."""
     g = rows.groupBy(key).agg(F.sum(gain).alias("_g"))
-    c = g.select(key, F.sum("_g").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)).alias("total"))
+    c = running(g, [F.col(key).asc()], {"total": F.col("_g")}).select(key, "total")
     return c.orderBy(F.desc(F.round("total", 4)), key).limit(1)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -12,13 +14,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def zoned(cells: DataFrame, value: str, zones: int, seed: int = 1) -> DataFrame:
-    """cells with zone 1..zones: k-means of one value, the zones numbered by their means."""
-    ready = VectorAssembler(inputCols=[value], outputCol="_x").transform(cells)
-    model = KMeans(k=zones, seed=seed, featuresCol="_x", predictionCol="_z").fit(ready)
-    rank = {int(i): n + 1 for n, i in enumerate(sorted(range(len(model.clusterCenters())), key=lambda i: model.clusterCenters()[i][0]))}
-    names = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
-    return model.transform(ready).withColumn("zone", names[F.col("_z")]).drop("_x", "_z")
+def breaks(values: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """The cluster, 1..k by mean, of each of some ascending values: the k-means of least inertia, by dynamic programming over cuts."""
+    n, k, v = len(values), min(k, len(values)), values - np.average(values, weights=weights)
+    sums = [np.concatenate([[0.0], np.cumsum(weights * v**e)]) for e in range(3)]
+
+    def inertia(i: np.ndarray, j: int) -> np.ndarray:
+        """Of the values i..j, for each of i."""
+        w, x, xx = (s[j + 1] - s[i] for s in sums)
+        return xx - x * x / w
+
+    best = np.array([inertia(np.zeros(1, int), j)[0] for j in range(n)])
+    cuts = []
+    for c in range(1, k):
+        new, cut = np.full(n, np.inf), np.zeros(n, int)
+        for j in range(c, n):
+            i = np.arange(c, j + 1)
+            cost = best[i - 1] + inertia(i, j)
+            cut[j] = i[cost.argmin()]
+            new[j] = cost.min()
+        best = new
+        cuts.append(cut)
+    out, j = np.ones(n, int), n - 1
+    for c in range(k - 1, 0, -1):
+        first = cuts[c - 1][j]
+        out[first : j + 1] = c + 1
+        j = first - 1
+    return out
+
+
+def zoned(cells: DataFrame, by: Sequence[str], value: str, zones: int, name: str = "zone", bins: int = 1024) -> DataFrame:
+    """cells with name, 1..zones: k-means of one value within each group of by, zones numbered by their means.
+
+    A group is clustered from the counts of its values, in at most bins equal steps between its least and greatest one (a
+    value that isn't finite has no zone); Spark combines the counts before the shuffle, so a group's task holds bins at most.
+    """
+    finite = F.col(value).cast("double").between(-1e300, 1e300)
+    span = cells.where(finite).groupBy(*by).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    step = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * (bins - 1) + 0.5)).otherwise(0).cast("int")
+    stepped = cells.join(span, list(by), "left").withColumn("_step", F.when(finite, step))
+    counts = stepped.where("_step is not null").groupBy(*by, "_step").agg(F.count("*").alias("_n"), F.avg(value).alias("_v"))
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_step")
+        return group[[*by, "_step"]].assign(**{name: breaks(group["_v"].to_numpy(float), group["_n"].to_numpy(float), zones).astype("int32")})
+
+    types = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by)
+    found = counts.groupBy(*by).applyInPandas(cluster, f"{types}, _step int, {name} int")
+    return stepped.join(found, [*by, "_step"], "left").select(*[F.col(f"`{c}`") for c in cells.columns], name)
 
 
 def anchors(boxes: DataFrame, count: int, seed: int = 1) -> DataFrame:

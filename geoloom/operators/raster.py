@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,24 @@ def subtract(mask: DataFrame, other: DataFrame) -> DataFrame:
     return mask.join(other.select(*CELL), list(CELL), "left_anti")
 
 
+def patched(old: DataFrame, new: DataFrame, cloud: DataFrame) -> DataFrame:
+    """r, c, cls, layer: the cells of new under cloud, and those of old that aren't."""
+    under = cloud.select(*CELL).distinct()
+    rest = old.select(*CELL, "cls", F.lit("old").alias("layer")).join(under, list(CELL), "left_anti")
+    return rest.unionByName(new.select(*CELL, "cls", F.lit("new").alias("layer")).join(under, list(CELL), "left_semi"))
+
+
+def over_time(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, f: Callable[[np.ndarray], float]) -> DataFrame:
+    """by, n, result: a caller's function of each group's values in order, null as NaN. A group is one task's array."""
+
+    def solve(group: pd.DataFrame) -> pd.DataFrame:
+        values = group.sort_values(list(order))[value].to_numpy(float, na_value=np.nan)
+        return pd.DataFrame([(*group.iloc[0][list(by)], len(values), float(f(values)))], columns=[*by, "n", "result"])
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
+    return rows.select(*by, *order, value).groupBy(*by).applyInPandas(solve, f"{types}, n long, result double")
+
+
 def first_valid(scenes: DataFrame, order: Column, value: str, nodata: int = 0, by: Sequence[str] = CELL) -> DataFrame:
     """A mosaic: each cell's value in the first scene by order that has data there. One aggregate, combined before the shuffle."""
     return scenes.where(F.col(value) != nodata).groupBy(*by).agg(F.min_by(value, order).alias(value))

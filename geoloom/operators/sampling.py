@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .orders import running
 
-def ranked_by_range(df: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
-    """df with _rank, the place of each row (from 0) in one order of all rows, without putting them in one task."""
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    local = dealt.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    sizes = dealt.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return local.join(F.broadcast(sizes), F.col("_part") == F.col("_p")).withColumn("_rank", F.col("_local") + F.col("_before")).drop("_part", "_p", "_local", "_before")
+
+def draw(key: str, seed: int) -> list[Column]:
+    """An order of keys that looks random: by the md5 of key and seed, then the key."""
+    return [F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}"))), F.col(key)]
 
 
 def dense_ids(df: DataFrame, key: str) -> DataFrame:
     """key, id: the different keys numbered from 0 in order."""
-    return ranked_by_range(df.select(key).distinct(), [F.col(key).asc_nulls_last()]).select(key, F.col("_rank").cast("long").alias("id"))
+    return running(df.select(key).distinct(), [F.col(key).asc_nulls_last()]).select(key, F.col("_rank").cast("long").alias("id"))
 
 
 def split(df: DataFrame, key: str, shares: Mapping[str, float], seed: int = 0) -> DataFrame:
@@ -28,15 +26,22 @@ def split(df: DataFrame, key: str, shares: Mapping[str, float], seed: int = 0) -
     part, at, done = F.lit(None).cast("string"), 0, 0.0
     for name, share in shares.items():
         done += share
-        to = total if abs(done - 1) < 1e-9 else round(done * total)
+        to = total if abs(done - 1) < 1e-9 else int(round(done, 9) * total + 0.5)
         part = F.when((F.col("_rank") >= at) & (F.col("_rank") < to), name).otherwise(part)
         at = to
-    return ranked_by_range(df, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]).withColumn("part", part).drop("_rank")
+    return running(df, draw(key, seed)).withColumn("part", part).drop("_rank")
 
 
 def downsample(df: DataFrame, key: str, empty: str, most: float, seed: int = 0) -> DataFrame:
     """df with so few of its empty rows, those of the least hash, that they are a share of most or less."""
     n = df.agg(F.count_if(F.col(empty)).alias("empty"), F.count_if(~F.col(empty)).alias("full")).first()
     keep = min(n["empty"], int(most * n["full"] / (1 - most))) if most < 1 else n["empty"]
-    few = ranked_by_range(df.where(F.col(empty)), [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]).where(f"_rank < {keep}").drop("_rank")
+    few = running(df.where(F.col(empty)), draw(key, seed)).where(f"_rank < {keep}").drop("_rank")
     return df.where(~F.col(empty)).unionByName(few)
+
+
+def subset_of_values(rows: DataFrame, by: str, value: str, wanted: Sequence[str]) -> DataFrame:
+    """by, missing (wanted names that no row of the group has, in order), subset (none is missing). Only wanted names are gathered."""
+    have = rows.groupBy(by).agg(F.collect_set(F.when(F.col(value).isin(*wanted), F.col(value))).alias("_have"))
+    missing = F.array_sort(F.array_except(F.array(*[F.lit(w) for w in wanted]), F.col("_have")))
+    return have.select(by, missing.alias("missing"), (F.size(missing) == 0).alias("subset"))

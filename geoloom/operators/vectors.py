@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dot_topk(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int, block: int = 512, parts: int = 64) -> DataFrame:
+def dot_topk(queries: DataFrame, index: DataFrame, key: str, vector: str, k: int, block: int = 512, rows: int = 16384) -> DataFrame:
     """q, id, dot, rank: the k largest inner products (rounded to 6 places) of each query with the index, but for its own row; ties to smaller ids.
 
-    Queries in blocks meet the index in parts: each pair is one matrix product, which keeps k a query, and the few left
-    are merged by a window.
+    Queries in blocks of about `block` meet the index in parts of about `rows`: each pair is one matrix product, which
+    keeps k a query, and the few left are merged by a window.
     """
-    blocks = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), F.floor(F.col(key) / (100 * block)).cast("long").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("b"))
-    n_blocks = blocks.select("a").distinct()
-    rows = index.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("b")).join(F.broadcast(n_blocks.agg(F.collect_list("a").alias("all")))).select("id", "v", "b", F.explode("all").alias("a"))
+    blocks, parts = (max(1, -(-table.count() // size)) for table, size in ((queries, block), (index, rows)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    blocks, rows = (
+        queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), dealt(blocks).alias("a"), every(parts).alias("b")),
+        index.select(F.col(key).alias("id"), F.col(vector).alias("v"), dealt(parts).alias("b"), every(blocks).alias("a")),
+    )
 
     def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indices import NDVI_LEGEND, interval
 from ..operators import raster, spatial
-from ..scratch import written
+from ..operators.orders import running
 from .base import Tables, query
 
 #: Hectares of a ten-metre cell.
@@ -268,12 +268,7 @@ SELECT term, tf, df FROM f ORDER BY tf DESC, term LIMIT 100000""")
 def vocab_build_full(t: Tables) -> DataFrame:
     """The vocabulary of the reference's own size: 100 * 1000 terms of more than one document."""
     order = [F.desc("tf"), F.col("term").asc()]
-    # Dealt out by range and written, so that the counts of the parts are those of the very rows that they rank.
-    dealt = written(_terms(t).where("df > 1").repartitionByRange(64, *order).withColumn("part", F.spark_partition_id()), "terms")
-    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    sizes = dealt.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n")).select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = dealt.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(sizes), F.col("part") == F.col("p"))
-    return ranked.where("i + before <= 100000").select("term", "tf", "df").orderBy(*order)
+    return running(_terms(t).where("df > 1"), order).where("_rank < 100000").select("term", "tf", "df").orderBy(*order)
 
 
 _CLICKS = "SELECT 'type' AS col, p_type AS val FROM part UNION ALL SELECT 'brand', p_brand FROM part UNION ALL SELECT 'segment', c_mktsegment FROM customer"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.indices import EIGHT_BAND_INDICES, EIGHT_BANDS, avi, evi, index, si
+from ..functions.indices import EIGHT_BAND_INDICES, EIGHT_BANDS, avi, evi, expression, index, si
 from ..operators import raster
 from .base import Tables, query
 
@@ -67,6 +67,13 @@ def spectral_index_8band(t: Tables) -> DataFrame:
     return t.px8.select("scene_id", "r", "c", *[F.round(index(n, bands), 6).alias(n.lower()) for n in EIGHT_BAND_INDICES])
 
 
+@query("""SELECT scene_id, r, c, round((b4 - b3) / nullif(CAST(b4 + b3 AS DOUBLE), 0), 6) + 0.0 AS own, round(sqrt(abs(CAST(b4 - b1 AS DOUBLE))) / (b2 + 1), 6) + 0.0 AS other FROM px4""")
+def index_expressions(t: Tables) -> DataFrame:
+    bands = {"blue": F.col("b1"), "green": F.col("b2"), "red": F.col("b3"), "nir": F.col("b4")}
+    formulas = {"own": "(nir - red) / (nir + red)", "other": "sqrt(abs(nir - blue)) / (green + 1)"}
+    return t.px4.select("scene_id", "r", "c", *[F.round(expression(f, bands), 6).alias(n) for n, f in formulas.items()])
+
+
 @query("""WITH i AS (SELECT scene_id, r, c, cbrt(b4 + 1) * cbrt(65536 - b3) * (CASE WHEN b4 < b3 THEN CAST('NaN' AS DOUBLE) ELSE cbrt(CAST(b4 - b3 AS DOUBLE)) END) AS avi,
   cbrt(65536 - b1) * cbrt(65536 - b2) * cbrt(65536 - b3) AS si, CAST(2.5 AS DOUBLE) * (b4 - b3) / nullif(1 + b4 + 6 * b3 - CAST(7.5 AS DOUBLE) * b1, 0) AS evi FROM px4)
 SELECT scene_id, r, c, CASE WHEN isnan(avi) THEN NULL ELSE round(avi, 3) + 0.0 END AS avi, round(si, 2) AS si, round(evi, 6) + 0.0 AS evi,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text
 from ..functions.indices import NDVI_LEGEND
-from ..operators import detections, learned, raster, spatial, vectors
+from ..operators import detections, learned, orders, raster, spatial, vectors
+from ..scratch import written
 from .base import Tables, query
 
 
@@ -25,10 +26,15 @@ def geom_centroid(t: Tables) -> DataFrame:
     return c.select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
-@query()
+@query("""WITH s AS (SELECT id, xmin, ymin, xmax - xmin AS w, ymax - ymin AS h FROM boxes WHERE xmax > xmin AND ymax > ymin)
+SELECT id, round(CASE WHEN id % 2 = 0 THEN xmin + w / 20.0 ELSE xmin + w / 2.0 END, 6) AS x, round(CASE WHEN id % 2 = 0 THEN ymin + h * (0.1 * 0.05 + 0.09 * 0.55) / CAST(0.19 AS DOUBLE) ELSE ymin + h / 3.0 END, 6) AS y FROM s""")
 def geom_point_inside(t: Tables) -> DataFrame:
-    c = triangles(t).where("xmax > xmin and ymax > ymin").withColumn("p", g.centroid(F.col("ring")))
-    return c.where(g.contains(F.col("ring"), F.col("p.x"), F.col("p.y"))).select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    """Triangles hold their centroids; narrow L shapes don't, and have a point in their upright part."""
+    x, y, w, h = F.col("xmin"), F.col("ymin"), F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+    corners = [(0, 0), (1, 0), (1, 0.1), (0.1, 0.1), (0.1, 1), (0, 1), (0, 0)]
+    bent = F.array(*[g.point(x + w * a, y + h * b) for a, b in corners])
+    shapes = triangles(t).where("xmax > xmin and ymax > ymin").select("id", F.when(F.col("id") % 2 == 0, bent).otherwise(F.col("ring")).alias("ring"))
+    return shapes.select("id", g.point_inside(F.col("ring")).alias("p")).select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
 @query("""WITH s AS (SELECT id, x, y, unnest(range(0, 64)) AS i FROM points) SELECT id, CAST(i AS INT) AS i, round(x + 5 * cos(2 * pi() * i / 64), 6) + 0.0 AS px, round(y + 5 * sin(2 * pi() * i / 64), 6) + 0.0 AS py FROM s""")
@@ -227,12 +233,16 @@ def raster_to_regions(t: Tables) -> DataFrame:
 
 @query()
 def zoning_kmeans(t: Tables) -> DataFrame:
-    return learned.zoned(t.px.where("scene_id = 'N'"), "b1", 5)
+    """Five zones of every scene."""
+    return learned.zoned(t.px, ["scene_id"], "b1", 5)
 
 
 @query()
 def height_kmeans(t: Tables) -> DataFrame:
-    return learned.zoned(t.px.where("scene_id = 'A' and b1 > 5"), "b1", 3)
+    """Three clusters of the heights of each scene and five of each of its tiles; heights up to 5 are ground."""
+    tall = t.px.where("b1 > 5").withColumns({"tr": F.floor(F.col("r") / 25).cast("int"), "tc": F.floor(F.col("c") / 25).cast("int")})
+    tiled = learned.zoned(tall, ["scene_id", "tr", "tc"], "b1", 5, name="tile_zone")
+    return learned.zoned(tiled, ["scene_id"], "b1", 3)
 
 
 @query()
@@ -240,13 +250,20 @@ def anchor_kmeans(t: Tables) -> DataFrame:
     return learned.anchors(t.boxes, 9)
 
 
-@query("""WITH d AS (SELECT a.r, a.c, sqrt(power(a.b1 - n.b1, 2) + power(a.b2 - n.b2, 2)) AS d FROM px a JOIN px n ON n.r = a.r AND n.c = a.c WHERE a.scene_id = 'A' AND n.scene_id = 'N'), p AS (SELECT quantile_cont(d, 0.95) AS p FROM d)
-SELECT r, c, round(d, 6) AS d, CASE WHEN d >= p THEN 1 ELSE 0 END AS change FROM d CROSS JOIN p""")
+@query("""WITH d AS (SELECT a.r, a.c, sqrt(power(a.b1 - n.b1, 2) + power(a.b2 - n.b2, 2)) AS d FROM px a JOIN px n ON n.r = a.r AND n.c = a.c WHERE a.scene_id = 'A' AND n.scene_id = 'N'), p AS (SELECT quantile_cont(d, 0.95) AS p FROM d),
+m AS (SELECT r, c, d, CASE WHEN d >= p THEN 1 ELSE 0 END AS cls FROM d CROSS JOIN p), near AS (SELECT x AS dr, y AS dc FROM (SELECT unnest([-1, 0, 1]) AS x) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS y)),
+o1 AS (SELECT m.r, m.c, min(n.cls) AS cls FROM m JOIN (SELECT r + dr AS r, c + dc AS c, cls FROM m CROSS JOIN near) n ON n.r = m.r AND n.c = m.c GROUP BY 1, 2),
+o2 AS (SELECT m.r, m.c, max(n.cls) AS cls FROM o1 m JOIN (SELECT r + dr AS r, c + dc AS c, cls FROM o1 CROSS JOIN near) n ON n.r = m.r AND n.c = m.c GROUP BY 1, 2),
+o3 AS (SELECT m.r, m.c, max(n.cls) AS cls FROM o2 m JOIN (SELECT r + dr AS r, c + dc AS c, cls FROM o2 CROSS JOIN near) n ON n.r = m.r AND n.c = m.c GROUP BY 1, 2),
+o4 AS (SELECT m.r, m.c, min(n.cls) AS cls FROM o3 m JOIN (SELECT r + dr AS r, c + dc AS c, cls FROM o3 CROSS JOIN near) n ON n.r = m.r AND n.c = m.c GROUP BY 1, 2)
+SELECT m.r, m.c, round(d, 6) AS d, m.cls AS change, o4.cls AS cleaned FROM m JOIN o4 ON o4.r = m.r AND o4.c = m.c""")
 def unsupervised_change(t: Tables) -> DataFrame:
     a, n = (t.px.where(f"scene_id = '{s}'").select("r", "c", F.col("b1").alias(f"{s}1"), F.col("b2").alias(f"{s}2")) for s in "AN")
     d = a.join(n, ["r", "c"]).select("r", "c", F.sqrt(F.pow(F.col("A1") - F.col("N1"), 2) + F.pow(F.col("A2") - F.col("N2"), 2)).alias("d"))
-    p = d.agg(F.percentile("d", 0.95).alias("p"))  # one row
-    return d.join(F.broadcast(p)).select("r", "c", F.round("d", 6).alias("d"), (F.col("d") >= F.col("p")).cast("int").alias("change"))
+    d = written(d, "distances")
+    mask = d.withColumn("cls", (F.col("d") >= F.lit(orders.quantile(d, "d", 0.95))).cast("int"))
+    cleaned = raster.closing(raster.opening(mask, raster.kernel(3)), raster.kernel(3)).withColumnRenamed("cls", "cleaned")
+    return mask.join(cleaned, ["r", "c"]).select("r", "c", F.round("d", 6).alias("d"), F.col("cls").alias("change"), "cleaned")
 
 
 @query()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.orders import running
 from ..scratch import scratch
 from ..sources import files
 from .aggregates import zonal_class_area
@@ -137,7 +138,7 @@ def coco_from_rle(t: Tables) -> DataFrame:
 @query("""WITH a AS (SELECT 'a' AS src, id, img FROM boxes UNION ALL SELECT 'b', id, img FROM truths) SELECT src, id, CAST(dense_rank() OVER (ORDER BY src, img) AS BIGINT) AS image_id FROM a""")
 def coco_merge(t: Tables) -> DataFrame:
     a = t.boxes.select(F.lit("a").alias("src"), "id", "img").union(t.truths.select(F.lit("b"), "id", "img"))
-    images = a.select("src", "img").distinct().withColumn("image_id", F.row_number().over(Window.orderBy("src", "img")).cast("long"))  # a row for each image
+    images = running(a.select("src", "img").distinct(), [F.col("src"), F.col("img")]).select("src", "img", (F.col("_rank") + 1).cast("long").alias("image_id"))
     return a.join(images, ["src", "img"]).select("src", "id", "image_id")
 
 

@@ -109,9 +109,9 @@ def tile_windows(t: Tables) -> DataFrame:
     return raster.tile_windows(t.cls_before, 16, 8).groupBy("top", "left").agg(F.count("*").alias("cells"), F.sum("cls").alias("total")).select(F.col("top").cast("long").alias("top"), F.col("left").cast("long").alias("left"), "cells", "total")
 
 
-@query()
+@query("SELECT a.r, a.c, median(CAST(b.cls AS DOUBLE)) AS median FROM cls_before a JOIN cls_before b ON b.r BETWEEN a.r - 2 AND a.r + 2 AND b.c BETWEEN a.c - 2 AND a.c + 2 GROUP BY 1, 2")
 def halo_windows(t: Tables) -> DataFrame:
-    return detections.by_halo(t.cls_before, 25, 2)
+    return detections.by_halo(t.cls_before, 25, 2, detections.median_around(2), out="median")
 
 
 @query("SELECT r, c, CASE WHEN r % 20 < 15 AND c % 20 < 15 THEN 0 ELSE cls END AS cls FROM cls_before")
@@ -158,12 +158,15 @@ def topk_per_group(t: Tables) -> DataFrame:
     return p.withColumn("k", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "q", "n"))).where("k <= 20").drop("k")
 
 
-@query()
+@query("""WITH s AS (SELECT scene, row_number() OVER (ORDER BY md5(CAST(scene AS VARCHAR) || ':0'), scene) - 1 AS k, count(*) OVER () AS n FROM scenes)
+SELECT scene, CASE WHEN k < floor(CAST(0.7 AS DOUBLE) * n + 0.5) THEN 'train' WHEN k < floor(CAST(0.9 AS DOUBLE) * n + 0.5) THEN 'val' ELSE 'test' END AS part FROM s""")
 def split_train_val_test(t: Tables) -> DataFrame:
     return sampling.split(t.scenes.select("scene"), "scene", {"train": 0.7, "val": 0.2, "test": 0.1})
 
 
-@query()
+@query("""WITH s AS (SELECT scene, cloud < 60 AS empty FROM scenes), n AS (SELECT least(count(*) FILTER (WHERE empty), floor(CAST(0.3 AS DOUBLE) * count(*) FILTER (WHERE NOT empty) / (1 - CAST(0.3 AS DOUBLE)))) AS keep FROM s),
+e AS (SELECT scene, row_number() OVER (ORDER BY md5(CAST(scene AS VARCHAR) || ':0'), scene) AS k FROM s WHERE empty)
+SELECT scene, false AS empty FROM s WHERE NOT empty UNION ALL SELECT scene, true FROM e CROSS JOIN n WHERE k <= keep""")
 def downsample_empty(t: Tables) -> DataFrame:
     return sampling.downsample(t.scenes.select("scene", (F.col("cloud") < 60).alias("empty")), "scene", "empty", 0.3)
 
@@ -203,3 +206,19 @@ def keys_except(t: Tables) -> DataFrame:
 @query("SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
 def keys_intersect(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_custkey").alias("k")).intersect(t.customer.where("c_acctbal > 0").select("c_custkey"))
+
+
+@query("""WITH under AS (SELECT DISTINCT r, c FROM px WHERE b1 = 50)
+SELECT r, c, cls, 'old' AS layer FROM cls_before a WHERE NOT EXISTS (SELECT 1 FROM under u WHERE u.r = a.r AND u.c = a.c)
+UNION ALL SELECT b.r, b.c, b.cls, 'new' FROM cls_after b JOIN under u ON u.r = b.r AND u.c = b.c""")
+def layer_patch(t: Tables) -> DataFrame:
+    return raster.patched(t.cls_before, t.cls_after, t.px.where("b1 = 50"))
+
+
+@query("""WITH f AS (SELECT c_nationkey AS field, c_mktsegment AS name, c_acctbal FROM customer), w AS (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'SHIP']) AS name)
+SELECT n_nationkey AS field, coalesce(string_agg(w.name, ',' ORDER BY w.name) FILTER (WHERE h.name IS NULL), '') AS missing, count(*) FILTER (WHERE h.name IS NULL) = 0 AS subset
+FROM nation CROSS JOIN w LEFT JOIN (SELECT DISTINCT field, name FROM f WHERE c_acctbal > 0) h ON h.field = n_nationkey AND h.name = w.name GROUP BY 1""")
+def subset_check(t: Tables) -> DataFrame:
+    values = t.nation.join(t.customer.where("c_acctbal > 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("n_nationkey").alias("field"), F.col("c_mktsegment").alias("name"))
+    found = sampling.subset_of_values(values, "field", "name", ["AUTOMOBILE", "BUILDING", "SHIP"])
+    return found.select("field", F.array_join("missing", ",").alias("missing"), "subset")

@@ -8,12 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions without spark.checkpoint.dir.
+_own_dirs: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), or in one of our own where it is unset."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Where that is unset a local master gets a folder of its own; a cluster is refused, since its executors would each
+    write to their own disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="geoloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="geoloom-"))
     return f"{root.rstrip('/')}/geoloom/{label}-{uuid.uuid4().hex}"
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +19,36 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("f.properties")["id"].cast("long").alias("id"), F.col("f.properties")["name"].alias("name"), F.col("f.geometry.type").alias("geom_type"), at[0].alias("x"), at[1].alias("y"))
 
 
-def write_geojson_points(points: DataFrame, path: str, parts: int = 8) -> None:
-    """One FeatureCollection a part; points: id, name, x, y."""
+def _documents(features: DataFrame, head: str, glue: str, tail: str, most: int) -> DataFrame:
+    """Rows of text: features (one string column) gathered where they are, most to a document."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+
+        def document() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([head + glue.join(held) + tail], pa.string())], names=["value"])
+
+        for batch in batches:
+            for feature in batch.column(0).to_pylist():
+                held.append(feature)
+                if len(held) == most:
+                    yield document()
+                    held.clear()
+        if held:
+            yield document()
+
+    return features.mapInArrow(gathered, "value string")
+
+
+def write_geojson_points(points: DataFrame, path: str, most: int = 10000) -> None:
+    """FeatureCollections of most features each, a file each; points: id, name, x, y."""
     feature = F.format_string('{"type":"Feature","properties":{"id":"%s","name":%s},"geometry":{"type":"Point","coordinates":[%s,%s]}}', F.col("id").cast("string"), F.to_json(F.struct("name")).substr(F.lit(9), F.length(F.to_json(F.struct("name"))) - 9), F.col("x").cast("string"), F.col("y").cast("string"))
-    sets = points.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("_part").agg(F.array_join(F.collect_list(feature), ",").alias("features"))
-    sets.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "features", F.lit("]}"))).repartition(parts).write.text(path)
+    _documents(points.select(feature.alias("value")), '{"type":"FeatureCollection","features":[', ",", "]}", most).write.option("maxRecordsPerFile", 1).text(path)
 
 
-def write_xml(features: DataFrame, root: str, path: str, parts: int = 8) -> None:
-    """One document a part; features: id, xml."""
-    sets = features.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("_part").agg(F.array_join(F.collect_list("xml"), "").alias("all"))
-    sets.select(F.concat(F.lit(f"<{root}>"), "all", F.lit(f"</{root}>"))).repartition(parts).write.text(path)
+def write_xml(features: DataFrame, root: str, path: str, most: int = 10000) -> None:
+    """Documents of most features each, a file each; features: id, xml."""
+    _documents(features.select("xml"), f"<{root}>", "", f"</{root}>", most).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_placemarks(spark: SparkSession, path: str, row_tag: str, coordinates: str, point_tag: str = "Point") -> DataFrame:

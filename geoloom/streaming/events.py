@@ -31,11 +31,24 @@ def run_to_end(stream: DataFrame, mode: str, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def table_stream(spark: SparkSession, df: DataFrame, label: str, parts: int = 4) -> DataFrame:
-    """df as a stream: written in parts by time, one file a micro-batch trigger at most, read as they come."""
-    path = scratch(spark, label)
-    df.repartitionByRange(parts, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", parts).parquet(path)
+def table_stream(spark: SparkSession, df: DataFrame, label: str, slices: int = 4) -> DataFrame:
+    """df as a stream: slices of time written one after the other, and read a micro-batch each in that order.
+
+    The range deal is written once and its slices are copied from there. A slice has as many files as the deal gave it
+    parts; one micro-batch takes as many files as the smallest slice has, so state is carried and files arrive by time.
+    """
+    path, dealt = scratch(spark, label), scratch(spark, f"{label}-dealt")
+    number = max(slices, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartitionByRange(number, "ts").withColumn("_part", F.spark_partition_id()).write.parquet(dealt)
+    table = spark.read.schema(df.withColumn("_part", F.lit(0)).schema).parquet(dealt)
+    parts = [r["_part"] for r in table.select("_part").distinct().orderBy("_part").collect()]  # one for each part
+    slices = max(1, min(slices, len(parts)))
+    edges = [len(parts) * i // slices for i in range(slices + 1)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        own = table.where(F.col("_part").isin(parts[a:b])).repartition(max(1, b - a), "_part").drop("_part")
+        own.write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+    each = max(1, min((b - a for a, b in zip(edges[:-1], edges[1:], strict=True)), default=1))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
