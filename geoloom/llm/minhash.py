@@ -3,8 +3,9 @@
 Texts with the same words are one class from the start. A bucket (equal minima in a band) doesn't give all its pairs.
 In a few rounds every member is held against some leaders of its buckets only, and links are joined into components; a
 bucket whose members all lie in one component is done. Of the buckets that stay mixed, blocks of members are compared by
-signature inside a task, and only plausible pairs of different components come out and are confirmed. So the components
-are those of all pairs that share a bucket, while the rows made follow the number of members.
+signature inside a task; texts travel only for members with a plausible partner in another component, and a task confirms
+them by their full sets. So the components are those of all pairs that share a bucket, while the rows made follow the
+number of members.
 """
 
 from __future__ import annotations
@@ -14,17 +15,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, row_keys, written
 from .components import components
 from .textarrays import bytes_of, mix64, shingles, slices, words
 
 #: A group of pairs with one first member is dealt out in parts of about this many.
 PART = 256
-#: Rounds of leaders before blocks are compared; members of a bucket that one task compares with as many others.
-ROUNDS, BLOCK = 3, 1024
+#: Rounds of leaders before blocks are compared; members of a bucket, and bytes of their texts, that one task compares with as many others.
+ROUNDS, BLOCK, BYTES = 3, 1024, 16 << 20
 
 
 def _hashes(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,26 +43,22 @@ def minima(shingle_set: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 2
     return out
 
 
-def _sequence_keys(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def _sequence_keys(hashes: np.ndarray, edges: np.ndarray, seed: int) -> np.ndarray:
     """A hash of each text's word sequence."""
     sizes = np.diff(edges)
-    order = np.arange(len(hashes), dtype=np.uint64) - np.repeat(edges[:-1], sizes).astype(np.uint64)
+    order = np.arange(seed, seed + len(hashes), dtype=np.uint64) - np.repeat(edges[:-1], sizes).astype(np.uint64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(hashes + mix64(order)), dtype=np.uint64)])
     return mix64(sums[edges[1:]] - sums[edges[:-1]] + sizes.astype(np.uint64)).view(np.int64)
 
 
-def row_id() -> Column:
-    """Tells rows apart that share a doc_id; rows that repeat id and text share it."""
-    return F.xxhash64("doc_id", "text")
-
-
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """rid, doc_id, key (hash of the word sequence, null without words), n_shingles, bands (a hash for each), sketch (16 bits of each minimum)."""
+    """rid, sid (see common.row_keys), doc_id, key and other (hashes of the word sequence, null without words), n_bytes, n_shingles, bands (a hash for each), sketch (16 bits of each minimum)."""
+    names = ["rid", "sid", "doc_id", "key", "other", "n_bytes", "n_shingles", "bands", "sketch"]
     a, b = _hashes(bands * rows, seed)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2):
-            data, offsets = bytes_of(batch.column(2))
+        for batch in slices(batches, 3):
+            data, offsets = bytes_of(batch.column(3))
             hashes, begins, _ = words(data, offsets)
             edges = np.searchsorted(begins, offsets)
             sizes, mins = [], []
@@ -75,10 +72,20 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> Dat
             folded = (folded & ~np.uint64(255)) | np.arange(bands, dtype=np.uint64)  # buckets of different bands stay apart
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, folded.size + 1, bands, dtype=np.int32)), pa.array(folded.view(np.int64).reshape(-1)))
             sketch = pa.array([r.tobytes() for r in mins.astype("<u2")], pa.binary())
-            key = pa.array(_sequence_keys(hashes, edges), mask=np.diff(edges) == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), key, pa.array(sizes, pa.int64()), lists, sketch], names=["rid", "doc_id", "key", "n_shingles", "bands", "sketch"])
+            keys = [pa.array(_sequence_keys(hashes, edges, seed), mask=np.diff(edges) == 0) for seed in (0, 1 << 40)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *keys, pa.array(np.diff(offsets)), pa.array(sizes, pa.int64()), lists, sketch], names=names)
+
+    schema = "rid long, sid long, doc_id long, key long, other long, n_bytes long, n_shingles long, bands array<long>, sketch binary"
+    return docs.select(*row_keys(), "doc_id", "text").mapInArrow(signed, schema)
 
-    return docs.select(row_id().alias("rid"), "doc_id", "text").mapInArrow(signed, "rid long, doc_id long, key long, n_shingles long, bands array<long>, sketch binary")
+
+def _keyed_apart(signed: DataFrame) -> DataFrame:
+    """signed, where texts of different words that share key by chance have different ones: `other` tells them apart."""
+    apart = signed.where("key is not null").groupBy(F.col("key").alias("_key")).agg(F.min("other").alias("_least"), F.max("other").alias("_most")).where("_least <> _most")
+    if apart.isEmpty():
+        return signed
+    again = F.when(F.col("_least").isNull() | (F.col("other") == F.col("_least")), F.col("key")).otherwise(F.xxhash64("key", "other"))
+    return written(signed.join(apart, F.col("key") == F.col("_key"), "left").withColumn("key", again).select(*signed.columns), "keyed-apart")
 
 
 def _agreement(equal: np.ndarray) -> np.ndarray:
@@ -152,57 +159,81 @@ def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
     return written(labelled.join(apart, "band", "left_semi"), "mixed")
 
 
+def _plausible_in_block(group: pd.DataFrame, band: int, low: int, high: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of block low, the rows of block high that may be alike and share no band before this one; by labels as they are when asked."""
+    sketch = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(group), -1)
+    own = np.stack(list(group["bands"]))
+    keys, labels, blocks, sizes = (group[c].to_numpy() for c in ("key", "label", "block", "n_shingles"))
+    second = np.flatnonzero(blocks == high)
+    others = sketch[second]
+    for i in np.flatnonzero(blocks == low).tolist():
+        # Sets too different in size can't be alike.
+        fits = 100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i])
+        likely = fits & (labels[second] != labels[i])
+        if low == high:
+            likely &= keys[second] > keys[i]
+        at = np.flatnonzero(likely)
+        at = at[_agreement(others[at] == sketch[i]) >= least * sketch.shape[1]]
+        # By the hashes that made the buckets: a band of the sketch may agree where its minima don't.
+        first = (own[second[at]] == own[i]).argmax(axis=1)
+        yield i, second[at[own[i][first] == band]]
+
+
 def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float, n: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of mixed buckets: each plausible pair is confirmed in the first band it shares.
 
-    A bucket is compared in blocks of BLOCK members that meet pairwise, signatures first; a task holds the texts of two
-    blocks. A pair whose components a link of the task has joined already is left out, so a task gives fewer links than
-    it has members.
+    A bucket is compared in blocks that meet pairwise, of BLOCK members and BYTES of text at most (or one text). A first
+    pass looks at signatures alone and names the members that have a plausible partner; only their texts are joined, and a
+    second pass confirms pairs by full sets. A pair whose components a link of the task has joined already is left out, so
+    a task gives fewer links than it has members.
     """
+    columns = ["band", "low", "high", "block", "key", "label", "n_shingles", "bands", "sketch"]
+
+    def named(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(len(group), bool)
+        for i, partners in _plausible_in_block(group, *key, least, percent):
+            if len(partners):
+                on[i] = on[partners] = True
+        return group[on][["band", "low", "high", "block", "key", "label"]]
 
     def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        band, low, high = key
-        sketch = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(group), -1)
-        own = np.stack(list(group["bands"]))
-        keys, labels, blocks = group["key"].to_numpy(), group["label"].to_numpy().copy(), group["block"].to_numpy()
-        data, offsets = bytes_of(pa.array(group["text"], pa.large_string()))
-        hashes, begins, _ = words(data, offsets)
-        sets = list(shingles(hashes, begins, offsets, n))
-        second, out = np.flatnonzero(blocks == high), []
-        others, sizes = sketch[second], np.array([len(x) for x in sets])
-        for i in np.flatnonzero(blocks == low).tolist():
-            equal = others == sketch[i]
-            # Sets too different in size can't be alike.
-            fits = 100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i])
-            likely = fits & (labels[second] != labels[i]) & (_agreement(equal) >= least * sketch.shape[1])
-            if low == high:
-                likely &= keys[second] > keys[i]
-            at = np.flatnonzero(likely)
-            # By the hashes that made the buckets: a band of the sketch may agree where its minima don't.
-            first = (own[second[at]] == own[i]).argmax(axis=1)
-            for j in second[at[own[i][first] == band]].tolist():
+        keys, labels, out, sets = group["key"].to_numpy(), group["label"].to_numpy().copy(), [], {}
+        group = group.assign(label=labels)
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                data, offsets = bytes_of(pa.array([group["text"].iloc[i]], pa.large_string()))
+                hashes, begins, _ = words(data, offsets)
+                sets[i] = next(shingles(hashes, begins, offsets, n))
+            return sets[i]
+
+        for i, partners in _plausible_in_block(group, *key, least, percent):
+            for j in partners.tolist():
                 if labels[j] != labels[i]:
-                    both = _shared(sets[i], sets[j])
-                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    both = _shared(own(i), own(j))
+                    if 100 * both >= percent * (len(own(i)) + len(own(j)) - both):
                         out.append((keys[i], keys[j]))
                         labels[labels == labels[j]] = labels[i]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    sizes = mixed.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = mixed.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    described = mixed.join(classes.select("key", "n_bytes", "n_shingles", "bands", "sketch"), "key")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BYTES))
+    sizes = mixed.join(classes.select("key", "n_bytes"), "key").groupBy("band").agg(parts.alias("blocks"))
+    placed = described.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = met.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")})
-    full = met.join(classes.select("key", "sketch", "bands").join(texts, "key"), "key").select("band", "low", "high", "block", "key", "label", "sketch", "bands", "text")
+    met = met.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).select(*columns)
+    wanted = written(met.groupBy("band", "low", "high").applyInPandas(named, "band long, low long, high long, block long, key long, label long"), "plausible")
+    full = wanted.join(classes.select("key", "n_shingles", "bands", "sketch").join(texts, "key"), "key").select(*columns, "text")
     return full.groupBy("band", "low", "high").applyInPandas(compared, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, seed: int = 11) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable, itself included), kept, rid (see row_id), representative.
+    """One row per document: doc_id, n_shingles, component_id (the least doc_id reachable, itself included), kept, rid and sid (see common.row_keys), representative.
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of word shingles (A-Z lower-cased, words
     end at white space). A document of fewer words has its whole sequence as its one shingle; one without words or text
     has none and links with nothing. Rows that repeat a doc_id are held each by its own text; kept says doc_id =
-    component_id, representative marks one (doc_id, rid) of each group. Columns besides doc_id and text are not read.
+    component_id, representative marks one (doc_id, text) of each group. Columns besides doc_id and text are not read.
     bands * rows minima: a pair at the threshold misses all buckets with probability (1 - s**rows)**bands, below 1e-8 at
     0.85 and below 1e-5 at 0.8. No bucket is capped.
     """
@@ -210,14 +241,14 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     share = percent / 100
     least = share - 5 * (share * (1 - share) / (bands * rows)) ** 0.5
-    signed = written(signatures(docs, words_per_shingle, bands, rows, seed), "minhash")
+    signed = _keyed_apart(written(signatures(docs, words_per_shingle, bands, rows, seed), "minhash"))
     # One class for each word sequence; everything up to the result is about classes.
-    classes = written(signed.where("key is not null").groupBy("key").agg(F.first(F.struct("rid", "bands", "sketch")).alias("c")).select("key", "c.*"), "classes")
+    classes = written(signed.where("key is not null").groupBy("key").agg(F.first(F.struct("rid", "sid", "n_bytes", "n_shingles", "bands", "sketch")).alias("c")).select("key", "c.*"), "classes")
     banded = classes.select("key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = written(banded.join(buckets, "band", "left_semi"), "members")
-    wanted = members.select("key").distinct().join(classes.select("key", "rid"), "key")
-    texts = written(docs.select(row_id().alias("rid"), "text").join(wanted, "rid").dropDuplicates(["key"]).select("key", "text"), "texts")
+    wanted = members.select("key").distinct().join(classes.select("key", "rid", "sid"), "key")
+    texts = written(docs.select(*row_keys(), "text").join(wanted, ["rid", "sid"]).dropDuplicates(["key"]).select("key", "text"), "texts")
     mixed, checked, links, joined = members.withColumn("label", F.col("key")), None, None, None
     for number in range(ROUNDS + 1):
         if number < ROUNDS:
@@ -232,18 +263,19 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
         mixed = _mixed(mixed, joined) if number < ROUNDS else None
         if mixed is None or mixed.isEmpty():
             break
-    label = F.coalesce("component", "key", F.xxhash64("rid", F.lit("none")))
-    rows_ = signed.select("rid", "doc_id", "key", "n_shingles").join(joined, F.col("key") == F.col("node"), "left").withColumn("label", label)
+    label = F.coalesce("component", "key")
+    rows_ = signed.select("rid", "sid", "doc_id", "key", "n_shingles").join(joined, F.col("key") == F.col("node"), "left").withColumn("label", label)
     # Documents without words stand alone; the others get the least of their group, found by an aggregate.
     least_of = rows_.where("key is not null").groupBy(F.col("label").alias("_label")).agg(F.min(F.struct("doc_id", "rid")).alias("_least"))
     ended = rows_.join(least_of, (F.col("label") == F.col("_label")) & F.col("key").isNotNull(), "left")
     own = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("_least.doc_id"))
-    alone = F.col("key").isNull() | (F.col("rid") == F.col("_least.rid"))
-    return ended.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "rid", alone.alias("representative"))
+    alone = F.col("key").isNull() | ((F.col("rid") == F.col("_least.rid")) & F.col("doc_id").eqNullSafe(F.col("_least.doc_id")))
+    return ended.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "rid", "sid", alone.alias("representative"))
 
 
 def deduplicated(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, **options) -> DataFrame:
     """docs, all columns, with one document of each group: the least doc_id. Rows that repeat id and text count as one."""
-    kept = near_duplicates(docs, words_per_shingle, percent, **options).where("representative").select("rid").distinct()
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return rows.join(kept, F.col("_rid") == F.col("rid"), "left_semi").dropDuplicates(["_rid"]).select("_doc.*")
+    kept = near_duplicates(docs, words_per_shingle, percent, **options).where("representative").select("rid", "sid").distinct()
+    rid, sid = row_keys()
+    rows = docs.select(rid.alias("_rid"), sid.alias("_sid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return rows.join(kept, (F.col("_rid") == F.col("rid")) & (F.col("_sid") == F.col("sid")), "left_semi").dropDuplicates(["_rid", "_sid"]).select("_doc.*")

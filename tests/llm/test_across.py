@@ -9,7 +9,7 @@ def test_first_band_by_the_bucket_hashes(spark):
     sketch = np.arange(160, dtype="<u2").tobytes()  # both agree in 16 bits everywhere
     rest = lambda x: [(x * 1000 + b) << 8 | b for b in range(2, 32)]
     shared = 77 << 8 | 1
-    classes = spark.createDataFrame([(1, bytearray(sketch), [5 << 8, shared, *rest(1)]), (2, bytearray(sketch), [6 << 8, shared, *rest(2)])], "key long, sketch binary, bands array<long>")
+    classes = spark.createDataFrame([(1, bytearray(sketch), [5 << 8, shared, *rest(1)], 27, 4), (2, bytearray(sketch), [6 << 8, shared, *rest(2)], 27, 4)], "key long, sketch binary, bands array<long>, n_bytes long, n_shingles long")
     mixed = spark.createDataFrame([(shared, 1, 1), (shared, 2, 2)], "band long, key long, label long")
     texts = spark.createDataFrame([(1, "one two three four five six"), (2, "One two three four five six")], "key long, text string")
     links = minhash._across(mixed, classes, texts, least=0.5, n=3, percent=85)
