@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, least_hashed
+from .common import bounded_batches, least_hashed, written
 from .textarrays import LOWER, STEP, bytes_of, slices
 
 #: Texts counted at once: each has a row of buckets.
@@ -96,27 +96,38 @@ def fit(counts: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 3
     return LanguageModel(langs, code, w.astype(np.float32), theta[-1] - mean @ w, (trust / trust.sum() * code.shape[1]).astype(np.float32))
 
 
-def train(docs: DataFrame, per_lang: int = 600, buckets: int = 4096) -> LanguageModel | None:
+def train(docs: DataFrame, per_lang: int = 600, buckets: int = 4096, most_rows: int = 12000) -> LanguageModel | None:
     """A model of the languages of docs (doc_id, text, lang), from the per_lang rows of each with the least hash of doc_id.
 
-    Rows of null lang or text are left out; None if nothing is left. The sample's size doesn't follow the corpus.
+    Rows of null lang or text are left out; None if nothing is left. With very many languages each has fewer rows, so that
+    all together have about most_rows at most. The sample's size doesn't follow the corpus.
     """
     bounded_batches(docs.sparkSession)
-    ids = least_hashed(docs.where("lang is not null").select("doc_id", "lang"), "lang", "doc_id", per_lang, 1).distinct()
-    chosen = docs.join(ids, ["doc_id", "lang"], "left_semi").where("text is not null").select("lang", "text")
+    known = docs.where("lang is not null and text is not null")
+    number = known.select("lang").distinct().count()
+    per_lang = max(1, min(per_lang, most_rows // max(1, number)))
+    ids = written(least_hashed(known.select("doc_id", "lang"), "lang", "doc_id", per_lang, 1).distinct(), "language-sample")
+    # The ids go to where the texts are, unless languages are so many that even a row each is a large table.
+    few = number * per_lang <= 4 * most_rows
+    chosen = known.join(F.broadcast(ids) if few else ids, ["doc_id", "lang"], "left_semi").select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, rows=ROWS):
-            counts = np.minimum(trigrams(*bytes_of(batch.column(1)), buckets), 1 << 31).astype("<u4")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in counts], pa.binary())], names=["lang", "counts"])
+            counts = np.minimum(trigrams(*bytes_of(batch.column(1)), buckets), (1 << 31) - 1)
+            row, at = np.nonzero(counts)
+            edges = pa.array(np.searchsorted(row, np.arange(len(counts) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x.astype(np.int32))) for x in (at, counts[row, at])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["lang", "bucket", "times"])
 
-    rows = chosen.mapInArrow(counted, "lang string, counts binary").collect()
+    rows = chosen.mapInArrow(counted, "lang string, bucket array<int>, times array<int>").collect()
     if not rows:
         return None
     langs = sorted({r["lang"] for r in rows})
-    rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
+    rows.sort(key=lambda r: (r["lang"], r["bucket"], r["times"]))
     place = {x: i for i, x in enumerate(langs)}
-    counts = np.stack([np.frombuffer(r["counts"], "<u4") for r in rows])
+    counts = np.zeros((len(rows), buckets), np.uint32)
+    for row, r in zip(counts, rows, strict=True):
+        row[r["bucket"]] = r["times"]
     return fit(counts, np.array([place[r["lang"]] for r in rows]), langs)
 
 
