@@ -1,8 +1,8 @@
 """WARC archives with revisit records.
 
 Headers (digest, length, page, address) are grouped by payload digest to find the original of each group; every page is
-then joined to its original and written as a response or, without its payload, as a revisit. Archives are written by
-Spark's text sink, whose line separator is the blank lines that end a WARC record, and read by Content-Length.
+then joined to its original and written as a response or, without its payload, as a revisit. Tasks gather records to
+archives of a bounded size, which Spark's text sink writes, and which are read by Content-Length.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 CRLF = "\r\n"
 END = CRLF * 2
 #: RFC 4648 base 32 digits (fixed).
@@ -82,10 +84,30 @@ def record_text(date: str | None = None) -> Column:
     return F.concat(head, http, F.when(revisit, F.lit("")).otherwise(F.decode("payload", "UTF-8")))
 
 
-def write_archives(resolved: DataFrame, path: str, date: str | None = None, records_per_file: int = 4000) -> None:
-    """Gzipped archives below path; each holds records_per_file records at most."""
-    text = resolved.select(record_text(date).alias("value"))
-    text.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+def _gathered(most: int):
+    """Rows (a record's text): texts of records one behind the other, of most characters or a single record each."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                record = text.as_py() + END
+                if held and size + len(record) > most:
+                    yield pa.RecordBatch.from_arrays([pa.array(["".join(held)], pa.string())], names=["value"])
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["".join(held)], pa.string())], names=["value"])
+
+    return found
+
+
+def write_archives(resolved: DataFrame, path: str, date: str | None = None, most: int = 16 << 20) -> None:
+    """Gzipped archives below path; each holds records of most characters in all, or a single larger one."""
+    bounded_batches(resolved.sparkSession)
+    archives = resolved.select(record_text(date).alias("value")).mapInArrow(_gathered(most), "value string")
+    archives.write.option("lineSep", CRLF).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
