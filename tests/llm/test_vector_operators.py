@@ -57,6 +57,45 @@ def test_top_k(spark, rows, monkeypatch, most):
     assert voronoi.top_k(table.limit(0), lambda i: i % 10 == 0).count() == 0
 
 
+def test_groups_are_left_out(spark):
+    """Clustered vectors: the floors found first and the bounds keep most groups away from a query, and the answer is exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    centres *= 4 / np.linalg.norm(centres, axis=1, keepdims=True)
+    x = np.floor(256 * (centres[np.arange(2000) % 40] + rng.normal(size=(2000, 16)) * 0.05))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    data = voronoi._grouped(table, x[:40]).cache()
+    summary = voronoi.Summary.of(data, x[:40])
+    asked = table.where("id % 50 = 0")
+    first = voronoi._solved(data, voronoi._sent_first(asked, summary, 16, 5), 5)
+    floors = spark.createDataFrame([(int(q), float(np.sort(x @ x[q])[-6])) for q in range(0, 2000, 50)], "query_id long, floor double")
+    sent = voronoi._sent_on(asked, floors, summary, 16, 5).count() + 2 * 40
+    assert sent < 0.25 * 40 * len(summary.cells) and first.count() >= 200
+    for q in x[::50]:
+        bounds = summary.bounds(q)
+        cell = np.array([r["cell"] for r in data.orderBy("id").select("cell").collect()]) if q is x[0] else None
+        if cell is not None:
+            assert all((x[cell == c] @ q).max() <= bounds[i] for i, c in enumerate(summary.cells))
+    whole = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in voronoi.top_k(whole, lambda i: i % 50 == 0).collect())
+    want = [(q, n + 1, i, -s) for q in range(0, 2000, 50) for n, (s, i) in enumerate(sorted((-int(x[i] @ x[q]), i) for i in range(2000) if i != q)[:5])]
+    assert got == want
+
+
+def test_links_with_registered_settings(spark):
+    """The settings of the query, on vectors that do link: nothing below the threshold, and 0.9 of the links or more."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(400, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.3, base + rng.normal(size=base.shape) * 0.5])
+    label = np.arange(len(x)) % 400 % 3
+    table = spark.createDataFrame([(i, v, int(label[i]), 1, 2, 3) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int, key int, points int, n int")
+    got = {r["vec_id"]: r for r in pivotperm.near_duplicates(table).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    counts = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert linked.sum() > 500 and (counts <= linked.sum(axis=1)).all() and counts.sum() >= 0.9 * linked.sum()
+
+
 def test_large_integers_stay_exact():
     q, x = np.array([[2.0**30, 3.0]]), np.array([[2.0**30, 1.0], [2.0**30, 2.0]])
     assert voronoi._products(q, x).tolist() == [[2**60 + 3, 2**60 + 6]]
