@@ -74,6 +74,22 @@ def by_halo(mask: DataFrame, size: int, halo: int, f: Callable[[np.ndarray], np.
     return dealt.groupBy("tr", "tc").applyInPandas(solve, f"r int, c int, {out} double")
 
 
+def _least_of_tile(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each cell, in order of (r, c), the first cell of its region: neighbours hook on to the least of both, then chains are cut short."""
+    at = np.full((r.max() + 2, c.max() + 2), -1)
+    at[r, c] = np.arange(len(r))
+    a = np.tile(np.arange(len(r)), 2)
+    b = np.concatenate([at[r + 1, c], at[r, c + 1]])
+    same = (b >= 0) & (v[a] == v[b])
+    a, b, root = a[same], b[same], np.arange(len(r))
+    while (root[a] != root[b]).any():
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root != (short := root[root])).any():
+            root = short
+    return root
+
+
 def regions(mask: DataFrame, value: str = "cls", tile: int = 64) -> DataFrame:
     """mask (r, c, value) with region: equal neighbours (left, right, up, down) share one, named by its least cell r << 32 | c.
 
@@ -82,24 +98,14 @@ def regions(mask: DataFrame, value: str = "cls", tile: int = 64) -> DataFrame:
     """
 
     def label(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        where = {(r, c): v for r, c, v in zip(cells["r"].tolist(), cells["c"].tolist(), cells[value].tolist(), strict=True)}
-        names: dict[tuple[int, int], int] = {}
-        for start in sorted(where):
-            if start in names:
-                continue
-            name, stack = start[0] << 32 | start[1], [start]
-            names[start] = name
-            while stack:
-                r, c = stack.pop()
-                for n in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
-                    if n not in names and where.get(n) == where[r, c]:
-                        names[n] = name
-                        stack.append(n)
-        return pd.DataFrame([(r, c, v, names[r, c]) for (r, c), v in where.items()], columns=["r", "c", value, "local"])
+        cells = cells.sort_values(["r", "c"], ignore_index=True)
+        r, c, v = (cells[x].to_numpy() for x in ("r", "c", value))
+        root = _least_of_tile(r - r.min(), c - c.min(), v)
+        return pd.DataFrame({"r": r, "c": c, value: v, "local": r[root].astype("int64") << 32 | c[root]})
 
     tiled = mask.select("r", "c", value).withColumns({"tr": F.floor(F.col("r") / tile), "tc": F.floor(F.col("c") / tile)})
     cells = written(tiled.groupBy("tr", "tc").applyInPandas(label, f"r int, c int, {value} int, local long"), "labels")
-    border = cells.where(f"r % {tile} = {tile - 1} or c % {tile} = {tile - 1} or r % {tile} = 0 or c % {tile} = 0")
+    border = cells.where(" or ".join(f"pmod({x}, {tile}) in (0, {tile - 1})" for x in "rc"))
     step = F.explode(F.array(F.struct(F.lit(1).alias("y"), F.lit(0).alias("x")), F.struct(F.lit(0).alias("y"), F.lit(1).alias("x"))))
     ahead = border.select((F.col("r")).alias("r"), "c", value, "local", step.alias("s")).select((F.col("r") + F.col("s.y")).alias("r"), (F.col("c") + F.col("s.x")).alias("c"), value, F.col("local").alias("other"))
     edges = ahead.join(border, ["r", "c", value]).where("local <> other").select(F.least("local", "other").alias("u"), F.greatest("local", "other").alias("v")).distinct()
