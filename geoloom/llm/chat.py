@@ -2,7 +2,7 @@
 
 A log row is (conv_id, seq, message, kind, role, text). Rows are grouped by conversation and message, sorted by seq and
 folded: `message` sets role and text, `delta` appends, `edit` replaces the text, `regenerate` empties the message and
-takes back every later message logged before it, `delete` removes the message. The final messages are rendered with a
+takes back every event of later messages logged before it, `delete` removes the message. The final messages are rendered with a
 template whose control strings are escaped inside roles and texts.
 """
 
@@ -41,19 +41,19 @@ def fold(log: DataFrame) -> DataFrame:
     conv = Window.partitionBy("conv_id").orderBy("message")
     kind = F.coalesce(F.col("kind"), F.lit("message"))
     event = F.struct("seq", kind.alias("kind"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    regenerated = F.array_max(F.transform(F.filter("events", lambda e: e.kind == "regenerate"), lambda e: e.seq))
+    valid = F.filter("events", lambda e: F.col("_taken_back").isNull() | e.seq.isNull() | (e.seq > F.col("_taken_back")))
     last = F.array_max(F.transform(F.col("events"), lambda e, i: F.when(e.kind.isin("message", "edit", "regenerate", "delete"), i)))
     tail = F.expr("slice(events, coalesce(_last, 0) + 1, size(events))")
     text = F.array_join(F.transform(tail, lambda e: F.when(e.kind.isin("regenerate", "delete"), "").otherwise(e.text)), "")
     roles = F.filter(F.transform("events", lambda e: e.role), lambda r: r != "")
-    regenerated = F.array_max(F.transform(F.filter("events", lambda e: e.kind == "regenerate"), lambda e: e.seq))
     deleted = F.coalesce(F.element_at("events", F.coalesce(F.col("_last"), F.lit(0)) + 1).kind == "delete", F.lit(False))
     return (
         log.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("events"))
-        .withColumn("_last", last)
-        .select("conv_id", "message", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), text.alias("text"), deleted.alias("_deleted"), F.element_at("events", -1).seq.alias("_seq"), regenerated.alias("_regenerated"))
-        .withColumn("_taken_back", F.max("_regenerated").over(conv.rowsBetween(Window.unboundedPreceding, -1)))
-        .where(~F.col("_deleted") & (F.col("_taken_back").isNull() | F.col("_seq").isNull() | (F.col("_seq") > F.col("_taken_back"))))
-        .select("conv_id", "message", "role", "text")
+        .withColumn("_taken_back", F.max(regenerated).over(conv.rowsBetween(Window.unboundedPreceding, -1)))
+        .select("conv_id", "message", valid.alias("events")).where("size(events) > 0")
+        .withColumn("_last", last).where(~deleted)
+        .select("conv_id", "message", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), text.alias("text"))
     )
 
 
