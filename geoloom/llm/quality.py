@@ -138,7 +138,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, steps: int = 300,
 def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 3000) -> OrdinalModel | None:
     """A model from graded (doc_id, grade in 0..top): the per_grade rows of each grade with the least hash of doc_id.
 
-    None without graded documents. Null grades and grades outside are left out; the sample doesn't follow the corpus.
+    None without graded documents, or where no feature tells the grades apart: then nothing is known. Null grades and
+    grades outside are left out; the sample doesn't follow the corpus.
     """
     bounded_batches(docs.sparkSession)
     known = graded.where(F.col("grade").between(0, top)).select("doc_id", F.col("grade").cast("int").alias("grade")).distinct()
@@ -159,10 +160,11 @@ def train(docs: DataFrame, graded: DataFrame, top: int, per_grade: int = 3000) -
     each = found.select("grade", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*[F.count_if(F.col("grade") == k).alias(f"g{k}") for k in range(top + 1)])
     # Buckets number 2 ** BITS at most, and few are frequent enough to tell anything.
     counts = each.where(" + ".join(f"g{k}" for k in range(top + 1)) + " >= 8").toArrow()
-    if counts.num_rows:
-        names = np.asarray(counts.column("bucket"))[telling(np.stack([np.asarray(counts.column(f"g{k}")) for k in range(top + 1)], axis=1), sizes)]
-    else:
-        names = np.zeros(0, np.int32)
+    if not counts.num_rows:
+        return None
+    names = np.asarray(counts.column("bucket"))[telling(np.stack([np.asarray(counts.column(f"g{k}")) for k in range(top + 1)], axis=1), sizes)]
+    if not len(names):
+        return None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
