@@ -32,7 +32,7 @@ SHALLOW = 64
 #: Different surroundings of an anchor that one task sorts; larger groups are dealt out again by more of their bytes.
 GROUP = 4096
 #: Strings that a task sorts at once, and entries of tree nodes that it looks at at once.
-BATCH, ENTRIES = 1 << 14, 1 << 21
+BATCH, ENTRIES = 1 << 14, 1 << 18
 SPANS = "rid long, sid long, length int, begin long, end long"
 SORTED = "one long, two long, rid long, sid long, begin long, place int, single boolean, text binary"
 
