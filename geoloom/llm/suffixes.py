@@ -178,10 +178,12 @@ class BlindTrie:
 def _matrix(data: np.ndarray, start: np.ndarray, sizes: np.ndarray, step: int) -> np.ndarray:
     """A row of bytes for each string that begins at start and goes forwards (step 1) or backwards (-1); zeros after its end."""
     width = max(8, -(-int(sizes.max(initial=0)) // 8) * 8)
-    reach = np.arange(width)
-    at = start[:, None] + step * reach[None]
-    inside = reach[None] < sizes[:, None]
-    return np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8)
+    reach, out = np.arange(width), np.zeros((len(sizes), width), np.uint8)
+    for i in range(0, len(sizes), 512):  # places take eight times the room of bytes
+        inside = reach[None] < sizes[i : i + 512, None]
+        at = start[i : i + 512, None] + step * reach[None]
+        out[i : i + 512][inside] = data[at[inside]]
+    return out
 
 
 def deep_shallow(rows: np.ndarray, sizes: np.ndarray, groups: np.ndarray, shallow: int = SHALLOW) -> np.ndarray:
@@ -264,7 +266,7 @@ def _nodes(lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, groups: np.ndarray, lengths: Sequence[int]) -> tuple[np.ndarray, ...]:
     """(text, length, begin, end): bytes of texts within windows around their anchors that another text of their group has too.
 
-    Texts lie in data between offsets, each with an anchor at its place; groups ascends. Spans of one text may overlap.
+    Texts lie in data between offsets, each with an anchor at its place; groups ascends. Spans of a text and length are apart.
     """
     sizes = np.diff(offsets)
     right, left = _matrix(data, offsets[:-1] + places, sizes - places, 1), _matrix(data, offsets[:-1] + places - 1, places, -1)
@@ -284,7 +286,7 @@ def repeated(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, groups:
     first, last, depth = _nodes(RangeMinimum(l_lcp)(at[:-1], at[1:]))
     if not len(first):
         return none
-    many, out = last - first + 1, []
+    many, out, room = last - first + 1, [none], ENTRIES
     edges = np.searchsorted(np.cumsum(many), np.arange(0, many.sum() + ENTRIES, ENTRIES))
     for a, b in zip(edges[:-1].tolist(), [*edges[1:-1].tolist(), len(many)], strict=True):
         if a == b:
@@ -304,7 +306,18 @@ def repeated(data: np.ndarray, offsets: np.ndarray, places: np.ndarray, groups:
             hit = length - best <= depth[node]
             t, d = text[hit], depth[node][hit]
             out.append((t, np.full(len(t), length), places[t] - d, places[t] - np.maximum(length - best[hit], 0) + length))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else none
+        # A text lies in as many nodes as its tree is deep; what they say of it is united on the way.
+        if sum(len(x[0]) for x in out) > room:
+            out = [_united(out, lengths)]
+            room = max(ENTRIES, 2 * len(out[0][0]))
+    return _united(out, lengths)
+
+
+def _united(spans: list[tuple[np.ndarray, ...]], lengths: Sequence[int]) -> tuple[np.ndarray, ...]:
+    """(text, length, begin, end): the maximal spans of each text and length."""
+    text, length, begin, end = (np.concatenate(x) for x in zip(*spans, strict=True))
+    owner, begin, end = merged(text * len(lengths) + np.searchsorted(lengths, length), begin, end)
+    return owner // len(lengths), np.asarray(lengths)[owner % len(lengths)], begin, end
 
 
 def merged(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,10 +347,8 @@ def _sorted_groups(lengths: Sequence[int]):
             text, length, begin, end = repeated(data, offsets, get_from(rows, "place").astype(np.int64), group, lengths)
             single = get_from(rows, "single")[text]
             text, length, begin, end = text[single], length[single], begin[single], end[single]
-            owner, begin, end = merged(text * len(lengths) + np.searchsorted(lengths, length), begin, end)
-            text, which = owner // len(lengths), owner % len(lengths)
             shift = get_from(rows, "begin")[text]
-            columns = [get_from(rows, "rid")[text], get_from(rows, "sid")[text], np.asarray(lengths)[which], begin + shift, end + shift]
+            columns = [get_from(rows, "rid")[text], get_from(rows, "sid")[text], length, begin + shift, end + shift]
         return pa.RecordBatch.from_arrays([pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["rid", "sid", "length", "begin", "end"])
 
     def get_from(rows: pa.Table, column: str) -> np.ndarray:
@@ -401,7 +412,7 @@ def _dealt_again(lengths: Sequence[int]):
         return row | {"one": int.from_bytes(digest[:8], "little", signed=True), "two": int.from_bytes(digest[8:], "little", signed=True), "before": before, "after": after, "whole": 0}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
             out = []
             for row in batch.to_pylist():
                 before, after, most = row["before"], row["after"], len(row["text"])
