@@ -45,7 +45,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: A learned classifier and a tokenizer are no SQL; the tests hold each stage against a brute-force version.
+#: A learned classifier and a tokenizer are no SQL; tests hold the operators against plain versions and the stages to their effects.
 ORACLE_SQL = None
 
 
