@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, mixing, packing, pivotperm, quality, suffixes, voronoi, warc
+from . import chat, divergence, fim, langid, minhash, mixing, packing, pivotperm, quality, sharding, suffixes, voronoi, warc
 from .common import scratch, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,8 +79,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to 16 shards of one weight by rendezvous hashing, and where they'd lie with one more."""
+    return sharding.layout(table(spark, sf_dir, "documents"), weights=(1.0,) * 16)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut for fill-in-the-middle, and put together again."""
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text, 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from the others, and the 200 terms that tell it from the language."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, top=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_warc_revisits, op4_packing, op5_source_mixing, op6_suffix_dedup, op7_voronoi_topk, op8_pivot_permutation, op9_minhash_near_dedup, op10_language_id)
+    f.__name__: f for f in (op1_chat_formatting, op2_quality_classifier, op3_warc_revisits, op4_packing, op5_source_mixing, op6_suffix_dedup, op7_voronoi_topk, op8_pivot_permutation, op9_minhash_near_dedup, op10_language_id, op11_sharding, op12_fill_in_middle, op13_source_divergence)
 }
 
 ORACLE_SQL = {
@@ -137,4 +154,58 @@ j AS (
 SELECT doc_id, size, source_size, target,
   CAST(size * least(CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
 FROM j""",
+    "op11_sharding": r"""
+WITH c AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce(list_concat([CAST(n AS BIGINT)], list_transform(range(0, 8), lambda k: CAST(0 AS BIGINT))),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda s, b: xor(t[(xor(s, b) & 255) + 1], s >> 8)), 4294967295) AS text_crc32
+  FROM documents, c),
+e AS (
+  SELECT *, coalesce(CAST(doc_id AS VARCHAR), '') AS k, (row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1) // 4096 AS run FROM d),
+f AS (
+  SELECT *, list_transform(range(0, 17), lambda s: 1 / -ln((CAST('0x' || substr(md5(k || ':' || s || ':11'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)) AS claims,
+    CAST('0x' || substr(md5(k || ':' || size || ':' || text_crc32 || ':' || run), 1, 13) AS BIGINT) AS place FROM e),
+g AS (SELECT *, CAST(list_position(claims[1:16], list_max(claims[1:16])) - 1 AS INTEGER) AS shard FROM f)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY place, doc_id NULLS FIRST, size, text_crc32, run) - 1 AS slot,
+  CAST(CASE WHEN claims[17] > list_max(claims[1:16]) THEN 16 ELSE shard END AS INTEGER) AS grown_shard
+FROM g""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+h AS (
+  SELECT doc_id, text, CAST(length(text) AS BIGINT) AS n, CAST('0x' || substr(draw, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(draw, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(draw, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(draw, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS i,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, i, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 3),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY 1, 2, 3),
+g AS (SELECT d.lang, d.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = d.lang AND c.source = d.source), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) d),
+l AS (SELECT c.lang, c.term, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY c.lang) AS total FROM c GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.total + v.v) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (l.n + 1) // (l.total + v.v) AS q
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang JOIN l ON l.lang = k.lang AND l.term = k.term
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 200""",
 }
