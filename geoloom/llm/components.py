@@ -28,11 +28,22 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v): component is the least node reachable. Loops and repeats are ignored."""
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct(), "edges")
-    state = None
     while True:
         edges = written(_stars(_stars(edges, True), False), "edges")
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state or not seen[0]:
+        # All are stars when no node has two centres, or is one and has one.
+        ends = edges.select("u", F.lit(1).alias("below")).union(edges.select("v", F.lit(0))).groupBy("u").agg(F.sum("below").alias("centres"), F.min("below").alias("least"))
+        if ends.where("centres > 1 or centres <> least").isEmpty():
             break
-        state = seen
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def merged(joined: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) after more links (u, v): only the components that they touch are joined anew, by their least nodes."""
+    if joined is None:
+        return components(links)
+    old = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    labelled = links.join(old("u"), "u", "left").join(old("v"), "v", "left").select(F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v"))
+    more = components(labelled)
+    moved = joined.join(more.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col("component") == F.col("_n"), "left")
+    fresh = more.join(joined.select("node"), "node", "left_anti")
+    return written(moved.select("node", F.coalesce("_c", "component").alias("component")).union(fresh), "components")

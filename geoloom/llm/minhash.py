@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, row_keys, written
-from .components import components
+from .components import merged
 from .textarrays import bytes_of, mix64, shingles, slices, words
 
 #: A group of pairs with one first member is dealt out in parts of about this many.
 PART = 256
 #: Rounds of leaders before blocks are compared; members of a bucket, and bytes of their texts, that one task compares with as many others.
 ROUNDS, BLOCK, BYTES = 3, 1024, 16 << 20
+#: A round of leaders that links fewer than one in so many of its plausible pairs is the last one.
+FEW = 4
 
 
 def _hashes(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -249,19 +251,23 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     members = written(banded.join(buckets, "band", "left_semi"), "members")
     wanted = members.select("key").distinct().join(classes.select("key", "rid", "sid"), "key")
     texts = written(docs.select(*row_keys(), "text").join(wanted, ["rid", "sid"]).dropDuplicates(["key"]).select("key", "text"), "texts")
-    mixed, checked, links, joined = members.withColumn("label", F.col("key")), None, None, None
+    mixed, checked, joined, few = members.withColumn("label", F.col("key")), None, None, False
     for number in range(ROUNDS + 1):
-        if number < ROUNDS:
+        last = few or number == ROUNDS
+        if last:
+            new = _across(mixed, classes, texts, least, words_per_shingle, percent)
+        else:
             pairs = _leaders(mixed, number)
             pairs = written(_plausible(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), classes, least), "pairs")
             checked = pairs if checked is None else checked.union(pairs)
             new = _confirmed(pairs, texts, words_per_shingle, percent)
-        else:
-            new = _across(mixed, classes, texts, least, words_per_shingle, percent)
-        links = written(new if links is None else links.union(new), "links")
-        joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        mixed = _mixed(mixed, joined) if number < ROUNDS else None
-        if mixed is None or mixed.isEmpty():
+        new = written(new, "links")
+        joined = merged(joined, new.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        if last:
+            break
+        few = FEW * new.count() < pairs.count()  # more leaders would link as little
+        mixed = _mixed(mixed, joined)
+        if mixed.isEmpty():
             break
     label = F.coalesce("component", "key")
     rows_ = signed.select("rid", "sid", "doc_id", "key", "n_shingles").join(joined, F.col("key") == F.col("node"), "left").withColumn("label", label)
