@@ -12,26 +12,30 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..scratch import written
-from .orders import running
+from .orders import from_here_on, running
 
 
 def ranked(predictions: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
-    """predictions (correct 0/1) with k (rank within by), tp (right ones up to it) and pos (all right ones)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return predictions.withColumns({"k": F.row_number().over(w), "tp": F.sum("correct").over(w.rowsBetween(Window.unboundedPreceding, 0)), "pos": F.sum("correct").over(Window.partitionBy(by))})
+    """predictions (correct 0/1) with k (rank within by), tp (right ones up to it), pos (all right ones), and _part and _rank (see orders.running). A class of very many predictions is many tasks' work."""
+    r = running(predictions, order, {"tp": F.col("correct")}, by=[by], keep_part=True).withColumn("k", (F.col("_rank") + 1).cast("int"))
+    pos = predictions.groupBy(F.col(by).alias("_class")).agg(F.sum("correct").alias("pos"))
+    return r.join(pos, F.col(by).eqNullSafe(F.col("_class")), "left").drop("_class")
+
+
+def _envelope(r: DataFrame, by: str) -> DataFrame:
+    """The rows of classes with right predictions, with _p, the best precision from there on."""
+    return from_here_on(r.where("pos > 0"), F.col("tp") / F.col("k"), "_p", [by], [F.col("k")])
 
 
 def average_precision(r: DataFrame, by: str) -> DataFrame:
     """by, ap: every recall step at the best precision from there on."""
-    envelope = F.max(F.col("tp") / F.col("k")).over(Window.partitionBy(by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
-    return r.where("pos > 0").withColumn("_p", envelope).groupBy(by).agg((F.sum(F.when(F.col("correct") == 1, F.col("_p")).otherwise(0.0)) / F.max("pos")).alias("ap"))
+    return _envelope(r, by).groupBy(by).agg((F.sum(F.when(F.col("correct") == 1, F.col("_p")).otherwise(0.0)) / F.max("pos")).alias("ap"))
 
 
 def average_precision_101(r: DataFrame, by: str) -> DataFrame:
     """by, ap: the envelope at recalls 0, 0.01, ..., 1, by the trapezoid rule. A row goes to the recalls it is the first to reach."""
-    w = Window.partitionBy(by).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
     step = lambda tp: F.floor(tp * 100.0 / F.col("pos") + 1e-9).cast("int")
-    hits = r.where("pos > 0").withColumn("_p", F.max(F.col("tp") / F.col("k")).over(w)).where("correct = 1")
+    hits = _envelope(r, by).where("correct = 1")
     first = F.when(F.col("tp") == 1, 0).otherwise(step(F.col("tp") - 1) + 1)
     reached = hits.withColumns({"_a": first, "_b": step(F.col("tp"))}).where("_a <= _b").select(by, "_p", F.explode(F.sequence("_a", "_b")).alias("i"))
     weight = F.when(F.col("i").isin(0, 100), 0.5).otherwise(1.0)

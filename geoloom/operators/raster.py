@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 CELL = ("r", "c")
 
 
@@ -88,12 +90,10 @@ def long_bands(px: DataFrame, bands: Sequence[str], keys: Sequence[str] = ("scen
 
 
 def limits(px: DataFrame, bands: Sequence[str], low: float = 0.02, high: float = 0.98, nodata: int = 0) -> DataFrame:
-    """scene_id, band, p_low, p_high, vmin, vmax of the cells with data: exact percentiles, interpolated."""
+    """scene_id, band, p_low, p_high, vmin, vmax of the cells with data: exact percentiles, interpolated. The ends are the shares 0 and 1."""
     data = long_bands(px, bands).where(F.col("value") != nodata)
-    return data.groupBy("scene_id", "band").agg(
-        F.percentile("value", low).alias("p_low"), F.percentile("value", high).alias("p_high"),
-        F.min("value").cast("double").alias("vmin"), F.max("value").cast("double").alias("vmax"),
-    )
+    p = percentiles(data, ["scene_id", "band"], "value", [low, high, 0.0, 1.0])
+    return p.select("scene_id", "band", *[F.col("p")[i].alias(n) for i, n in enumerate(("p_low", "p_high", "vmin", "vmax"))])
 
 
 def kernel(size: int, shape: str = "rect") -> list[tuple[int, int]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.indices import NDVI_LEGEND, interval
 from ..operators import raster, spatial
 from ..operators.orders import running
+from ..operators.quantiles import percentiles
 from .base import Tables, query
 
 #: Hectares of a ten-metre cell.
@@ -53,17 +54,16 @@ def unpivot_stats(t: Tables) -> DataFrame:
 
 @query(f"SELECT zone, round(quantile_cont(b1, 0.5), 6) AS height FROM px {_IN} WHERE b1 <> 1 GROUP BY 1")
 def zonal_median(t: Tables) -> DataFrame:
-    return in_zones(t, t.px.where("b1 <> 1")).groupBy("zone").agg(F.round(F.percentile("b1", 0.5), 6).alias("height"))
+    return percentiles(in_zones(t, t.px.where("b1 <> 1")), ["zone"], "b1", [0.5]).select("zone", F.round(F.col("p")[0], 6).alias("height"))
 
 
 @query("""WITH l AS (SELECT scene_id, 'b1' AS band, b1 AS v FROM px UNION ALL SELECT scene_id, 'b2', b2 FROM px)
 SELECT scene_id, band, min(v) AS vmin, max(v) AS vmax, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(quantile_cont(v, 0.02), 6) AS p2, round(quantile_cont(v, 0.98), 6) AS p98 FROM l WHERE v <> 0 GROUP BY 1, 2""")
 def band_statistics(t: Tables) -> DataFrame:
-    v = F.col("value")
-    return raster.long_bands(t.px, ["b1", "b2"]).where(v != 0).groupBy("scene_id", "band").agg(
-        F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"),
-        F.round(F.percentile(v, 0.02), 6).alias("p2"), F.round(F.percentile(v, 0.98), 6).alias("p98"),
-    )
+    v, data = F.col("value"), raster.long_bands(t.px, ["b1", "b2"]).where("value <> 0")
+    sums = data.groupBy("scene_id", "band").agg(F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("std"))
+    p = percentiles(data, ["scene_id", "band"], "value", [0.02, 0.98])
+    return sums.join(p, ["scene_id", "band"]).select(*sums.columns, F.round(F.col("p")[0], 6).alias("p2"), F.round(F.col("p")[1], 6).alias("p98"))
 
 
 @query("""WITH l AS (SELECT scene_id, 'b1' AS band, b1 AS v FROM px UNION ALL SELECT scene_id, 'b2', b2 FROM px), m AS (SELECT scene_id, band, avg(v) AS m FROM l GROUP BY 1, 2)
@@ -99,11 +99,9 @@ SELECT 'equal' AS kind, i, round(lo + (hi - lo) * (i - 1) / 5.0, 4) AS low, roun
 UNION ALL SELECT 'quantile', i, round(qs[i], 4), round(qs[i + 1], 4) FROM q CROSS JOIN i WHERE i <= 5
 UNION ALL SELECT 'standard', i, round(ss[i], 4), round(CASE WHEN i = 6 THEN hi ELSE ss[i + 1] END, 4) FROM q CROSS JOIN i""")
 def class_breaks(t: Tables) -> DataFrame:
-    v = F.col("l_extendedprice").cast("double")
-    q = t.lineitem.agg(
-        F.min(v).alias("lo"), F.max(v).alias("hi"),
-        F.percentile(v, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).alias("qs"), F.percentile(v, [0.001, 0.022, 0.158, 0.5, 0.842, 0.978, 0.999]).alias("ss"),
-    )
+    shares = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0, 0.001, 0.022, 0.158, 0.5, 0.842, 0.978, 0.999]
+    p = percentiles(t.lineitem, [], "l_extendedprice", shares)
+    q = p.select(F.col("p")[0].alias("lo"), F.col("p")[5].alias("hi"), F.slice("p", 1, 6).alias("qs"), F.slice("p", 7, 7).alias("ss"))
     rows = q.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(6).cast("long"))).alias("i"))
     i = F.col("i")
     at = lambda a, k: F.try_element_at(F.col(a), k.cast("int"))
@@ -278,7 +276,7 @@ _CLICKS = "SELECT 'type' AS col, p_type AS val FROM part UNION ALL SELECT 'brand
 def click_vocab(t: Tables) -> DataFrame:
     long = t.part.select(F.col("p_type").alias("type"), F.col("p_brand").alias("brand")).unpivot([], ["type", "brand"], "col", "val").union(t.customer.select(F.lit("segment"), "c_mktsegment"))
     n = long.groupBy("col", "val").agg(F.count("*").alias("n"))
-    return n.withColumn("id", F.row_number().over(Window.partitionBy("col").orderBy(F.desc("n"), "val")) - 1)
+    return running(n, [F.desc("n"), F.col("val").asc()], by=["col"]).select("col", "val", "n", F.col("_rank").cast("int").alias("id"))
 
 
 @query("SELECT user_id, item_id, rating, ts FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM ratings) WHERE n >= 20")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_ring, contains
-from ..operators import raster, spatial
+from ..operators import orders, raster, spatial
 from .base import Tables, query
 
 _TOUCH = "l.xmin < r.xmax AND r.xmin < l.xmax AND l.ymin < r.ymax AND r.ymin < l.ymax"
@@ -222,7 +222,7 @@ def stories_join_articles(t: Tables) -> DataFrame:
 SELECT p_partkey, coalesce(id, -1) AS brand_id FROM part LEFT JOIN v ON val = p_brand""")
 def vocab_apply(t: Tables) -> DataFrame:
     n = t.part.where("p_size > 25").groupBy(F.col("p_brand").alias("val")).agg(F.count("*").alias("n")).where("n > 30")
-    v = n.select("val", (F.row_number().over(Window.orderBy(F.desc("n"), "val")) - 1).alias("id"))  # a row for each value of the vocabulary
+    v = orders.running(n, [F.desc("n"), F.col("val").asc()]).select("val", F.col("_rank").cast("int").alias("id"))
     return t.part.join(v, F.col("p_brand") == F.col("val"), "left").select("p_partkey", F.coalesce("id", F.lit(-1)).alias("brand_id"))
 
 

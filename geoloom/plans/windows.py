@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import detections, raster, sampling
+from ..operators import detections, orders, raster, sampling
 from .base import Tables, query
 
 
@@ -126,7 +126,7 @@ def lattice_clear(t: Tables) -> DataFrame:
 def scenes_by_cloud(t: Tables) -> DataFrame:
     n = t.px.groupBy("scene_id").agg(F.count_if(F.col("b1") == 50).alias("cloud"))
     order = [F.when(F.col("scene_id") == "N", 0).otherwise(1), F.col("cloud"), F.col("scene_id")]
-    return n.withColumn("place", F.row_number().over(Window.orderBy(*order))).orderBy("place")  # a row for each scene
+    return orders.running(n, order).select("scene_id", "cloud", (F.col("_rank") + 1).cast("int").alias("place")).orderBy("place")
 
 
 @query("SELECT scene, CAST(scene * 7 % 90 AS INT) AS haze FROM scenes ORDER BY scene * 7 % 90, scene LIMIT 500")
