@@ -34,6 +34,8 @@ class Grid:
         whole = self.dx * self.dy - self.rx * self.ry
         if not whole:
             raise ValueError("the grid's cells have no area")
+        if not self.rx and not self.ry:
+            return (y - self.y0) / self.dy - 0.5, (x - self.x0) / self.dx - 0.5
         c = ((x - self.x0) * self.dy - (y - self.y0) * self.rx) / whole
         r = ((y - self.y0) * self.dx - (x - self.x0) * self.ry) / whole
         return r - 0.5, c - 0.5
@@ -88,12 +90,16 @@ def align(source: DataFrame, grid: Grid, target: DataFrame, onto: Grid, value: s
     tile = lambda v: F.floor(v / size).cast("int")
     wanted = target.select("r", "c", sr.cast("double").alias("sr"), sc.cast("double").alias("sc")).withColumns({"tr": tile(F.floor("sr")), "tc": tile(F.floor("sc"))})
     if by:  # tiles of the target know no scene: each meets those that have cells there
-        wanted = wanted.join(data.select(*by, tile(F.col("r")).alias("tr"), tile(F.col("c")).alias("tc")).distinct().select(*by, F.explode(F.sequence(F.col("tr") - 1, "tr")).alias("tr"), "tc").select(*by, "tr", F.explode(F.sequence(F.col("tc") - 1, "tc")).alias("tc")).distinct(), ["tr", "tc"])
+        beside = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c))).alias(c)
+        held = data.select(*[F.col(k).alias(k) for k in by], tile(F.col("r")).alias("tr"), tile(F.col("c")).alias("tc")).distinct()
+        held = held.select(*by, beside("tr"), "tc").select(*by, "tr", beside("tc")).distinct()
+        wanted = wanted.join(held, ["tr", "tc"])
     reach = lambda c: F.explode(F.sequence(tile(F.col(c) - 1), tile(F.col(c))))
     dealt = data.withColumn("tr", reach("r")).withColumn("tc", reach("c"))
     types = "".join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in by)
     keys = [*by, "tr", "tc"]
-    return wanted.select(*keys, "r", "c", "sr", "sc").groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_shaped(_gathered(method, value, size), by), f"{types}r int, c int, {value} double")
+    wanted = wanted.select(*[F.col(k).alias(k) for k in keys], "r", "c", "sr", "sc")
+    return wanted.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_shaped(_gathered(method, value, size), by), f"{types}r int, c int, {value} double")
 
 
 def _shaped(solve: Callable, by: Sequence[str]) -> Callable:

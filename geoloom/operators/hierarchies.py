@@ -32,7 +32,9 @@ def expand(labels: DataFrame, edges: DataFrame, label: str, positive: str | None
     """
     pairs = closure(edges)
     up, down = pairs.select(F.col("node").alias("_from"), F.col("ancestor").alias("_to")), pairs.select(F.col("ancestor").alias("_from"), F.col("node").alias("_to"))
-    copied = lambda rows, way: rows.join(way, F.col(label) == F.col("_from")).select(*[F.col("_to").alias(c) if c == label else F.col(f"`{c}`") for c in labels.columns])
+    # A row travels as one struct, so that its column names meet no others.
+    packed = lambda rows: rows.select(F.struct(*[F.col(f"`{c}`") for c in labels.columns]).alias("_row"))
+    copied = lambda rows, way: packed(rows).join(way, F.col(f"_row.`{label}`") == F.col("_from")).select(*[F.col("_to").alias(c) if c == label else F.col(f"_row.`{c}`").alias(c) for c in labels.columns])
     if positive is None:
         return labels.union(copied(labels, up))
     return labels.union(copied(labels.where(F.col(positive)), up)).union(copied(labels.where(~F.col(positive)), down))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_ring, contains
-from ..operators import orders, raster, spatial
+from ..operators import grids, hierarchies, orders, raster, spatial
 from .base import Tables, query
 
 _TOUCH = "l.xmin < r.xmax AND r.xmin < l.xmax AND l.ymin < r.ymax AND r.ymin < l.ymax"
@@ -234,6 +234,36 @@ def hierarchy_expand(t: Tables) -> DataFrame:
     return t.supplier.join(closure, F.col("node") == F.col("s_nationkey")).select("s_suppkey", F.col("anc").alias("label"))
 
 
+_TREE = "t AS (SELECT n_nationkey AS child, n_nationkey // 3 AS parent FROM nation WHERE n_nationkey > 0 UNION SELECT n_nationkey, n_nationkey // 5 FROM nation WHERE n_nationkey > 0)"
+
+
+@query(f"""WITH RECURSIVE {_TREE}, up AS (SELECT child, parent FROM t UNION SELECT up.child, t.parent FROM up JOIN t ON t.child = up.parent), l AS (SELECT s_suppkey, s_nationkey AS label, s_suppkey % 3 <> 0 AS present FROM supplier)
+SELECT * FROM l UNION ALL SELECT s_suppkey, parent, present FROM l JOIN up ON child = label WHERE present UNION ALL SELECT s_suppkey, child, present FROM l JOIN up ON parent = label WHERE NOT present""")
+def hierarchy_expand_labels(t: Tables) -> DataFrame:
+    """Labels that are there go to all ancestors, labels that are missing to all descendants; a node has up to two parents."""
+    parent = lambda k: t.nation.where("n_nationkey > 0").select(F.col("n_nationkey").cast("long").alias("child"), F.floor(F.col("n_nationkey") / k).alias("parent"))
+    labels = t.supplier.select("s_suppkey", F.col("s_nationkey").cast("long").alias("label"), (F.col("s_suppkey") % 3 != 0).alias("present"))
+    return hierarchies.expand(labels, parent(3).union(parent(5)), "label", positive="present")
+
+
+# Two grids of other origin and cell size: scenes on unit cells, the target on cells of 0.7 x 1.3 from (3.2, 1.1).
+_CENTRES = "g AS (SELECT a.r, b.c, 1.1 + (a.r + 0.5) * 1.3 - 0.5 AS sr, 3.2 + (b.c + 0.5) * 0.7 - 0.5 AS sc FROM (SELECT CAST(unnest(range(0, 80)) AS INT) AS r) a CROSS JOIN (SELECT CAST(unnest(range(0, 150)) AS INT) AS c) b)"
+
+
+@query(f"""WITH {_CENTRES}, w AS (SELECT scene_id, g.r, g.c, px.b1, (1 - abs(sr - px.r)) * (1 - abs(sc - px.c)) AS w FROM g JOIN px ON px.r BETWEEN floor(sr) AND floor(sr) + 1 AND px.c BETWEEN floor(sc) AND floor(sc) + 1 WHERE b1 <> 1)
+SELECT scene_id, r, c, round(sum(b1 * w) / sum(w), 6) AS b1 FROM w WHERE w > 0 GROUP BY 1, 2, 3""")
+def align_bilinear(t: Tables) -> DataFrame:
+    onto = grids.Grid(3.2, 0.7, 1.1, 1.3)
+    found = grids.align(t.px, grids.Grid(0.0, 1.0, 0.0, 1.0), onto.cells(t.spark, 80, 150), onto, "b1", nodata=1, by=["scene_id"])
+    return found.select("scene_id", "r", "c", F.round("b1", 6).alias("b1"))
+
+
+@query(f"WITH {_CENTRES} SELECT scene_id, g.r, g.c, CAST(px.b1 AS DOUBLE) AS b1 FROM g JOIN px ON px.r = floor(sr + 0.5) AND px.c = floor(sc + 0.5) WHERE b1 <> 1")
+def align_nearest(t: Tables) -> DataFrame:
+    onto = grids.Grid(3.2, 0.7, 1.1, 1.3)
+    return grids.align(t.px, grids.Grid(0.0, 1.0, 0.0, 1.0), onto.cells(t.spark, 80, 150), onto, "b1", method="nearest", nodata=1, by=["scene_id"])
+
+
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), s AS (SELECT q.vec_id AS q, x.vec_id AS id, round(list_inner_product(q.v, x.v), 6) AS dot FROM v q JOIN v x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY dot DESC, id) AS INTEGER) AS rank FROM s) SELECT q, id, dot, rank FROM r WHERE rank <= 3""")
 def similarity_topk(t: Tables) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..operators import detections, outlines, rings
+from ..operators import detections, lines, outlines, rings
 from .base import Tables, query
 
 # Triangles stand on the boxes, diamonds on the truths, in doubled coordinates, so that all corners are whole numbers.
@@ -136,3 +136,11 @@ def region_outlines(t: Tables) -> DataFrame:
     found = outlines.rings(detections.regions(t.cls_before))
     sums = found.groupBy("region").agg(F.sum("area").alias("cells"), F.sum("corners").alias("corners"), F.count_if(F.col("hole")).alias("holes"))
     return sums.select(F.shiftright("region", 32).cast("int").alias("root_r"), F.col("region").bitwiseAND((1 << 32) - 1).cast("int").alias("root_c"), "cells", "corners", "holes")
+
+
+@query()
+def geom_simplify_tolerance(t: Tables) -> DataFrame:
+    """The path of every user's values in time, with the points that say more than 2 about it."""
+    path = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.coalesce("value", F.lit(0)).cast("double").alias("y")))).alias("p"))
+    placed = path.select("user_id", F.transform("p", lambda e, i: g.point(i, e["y"])).alias("path"))
+    return placed.select("user_id", F.size("path").alias("n"), lines.simplified(F.col("path"), 2.0).alias("path")).select("user_id", "n", F.size("path").alias("kept"), F.transform("path", lambda p: p["x"].cast("int")).alias("places"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming.events import LastClear, latest, run_to_end, table_stream
+from ..streaming.events import filled, latest, rocksdb, run_to_end, table_stream
 from .base import Tables, query
 
 
@@ -51,7 +51,11 @@ def stream_running_metrics(t: Tables) -> DataFrame:
 
 @query("""SELECT user_id, event_id, round(last_value(CASE WHEN value > 5 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) AS filled FROM events""")
 def stream_gap_fill(t: Tables) -> DataFrame:
-    stream = table_stream(t.spark, _events(t, "event_id", "user_id", "value"), "cells").withColumn("clear", F.when(F.col("value") > 5, F.col("value").cast("double")))
-    filled = stream.groupBy("user_id").transformWithStateInPandas(LastClear(), "user_id long, event_id long, filled double", "Append", "None")
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return run_to_end(filled, "append", "filled").select("user_id", "event_id", F.round("filled", 6).alias("filled"))
+    """A row of no user ends the stream, later than all, so that the watermark passes every event."""
+    events = _events(t, "event_id", "user_id", "value")
+    last = events.agg(F.max("ts").alias("ts")).where("ts is not null")  # one row
+    end = last.select((F.col("ts") + F.expr("interval 1000 days")).alias("ts"), *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns if c != "ts"])
+    stream = table_stream(t.spark, events, "cells", end=end).withColumn("clear", F.when(F.col("value") > 5, F.col("value").cast("double")))
+    with rocksdb(t.spark):
+        found = run_to_end(filled(stream, "10 days"), "append", "filled")
+    return found.where("user_id is not null or event_id is not null").select("user_id", "event_id", F.round("filled", 6).alias("filled"))

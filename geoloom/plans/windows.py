@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import detections, orders, raster, sampling
+from ..operators import detections, grids, orders, raster, sampling
 from .base import Tables, query
 
 
@@ -103,6 +103,28 @@ def focal_gradient(t: Tables) -> DataFrame:
     return raster.gradient(t.cls_before, raster.kernel(3))
 
 
+def _large_sql(f: str, half: int, table: str = "cls_before") -> str:
+    return f"SELECT a.r, a.c, {f}(b.cls) AS cls FROM {table} a JOIN {table} b ON b.r BETWEEN a.r - {half} AND a.r + {half} AND b.c BETWEEN a.c - {half} AND a.c + {half} GROUP BY 1, 2"
+
+
+@query(_large_sql("max", 5))
+def focal_dilate_large(t: Tables) -> DataFrame:
+    """A square of 11 x 11."""
+    return grids.focal(t.cls_before, "dilate", 11)
+
+
+@query(_large_sql("min", 4))
+def focal_erode_large(t: Tables) -> DataFrame:
+    """A square of 9 x 9."""
+    return grids.focal(t.cls_before, "erode", 9)
+
+
+@query(f"WITH o AS ({_large_sql('min', 3)}) {_large_sql('max', 3, 'o')}")
+def focal_open_large(t: Tables) -> DataFrame:
+    """A square of 7 x 7."""
+    return grids.focal(t.cls_before, "open", 7)
+
+
 @query("""WITH w AS (SELECT r, c, cls, unnest(range(greatest(0, (r - 16 + 8) // 8), r // 8 + 1)) * 8 AS top FROM cls_before), v AS (SELECT w.*, x.l * 8 AS "left" FROM w, unnest(range(greatest(0, (c - 16 + 8) // 8), c // 8 + 1)) AS x(l))
 SELECT top, "left", count(*) AS cells, CAST(sum(cls) AS BIGINT) AS total FROM v GROUP BY 1, 2""")
 def tile_windows(t: Tables) -> DataFrame:

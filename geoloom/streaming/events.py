@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +33,8 @@ def run_to_end(stream: DataFrame, mode: str, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def table_stream(spark: SparkSession, df: DataFrame, label: str, slices: int = 4) -> DataFrame:
-    """df as a stream: slices of time written one after the other, and read a micro-batch each in that order.
+def table_stream(spark: SparkSession, df: DataFrame, label: str, slices: int = 4, end: DataFrame | None = None) -> DataFrame:
+    """df as a stream: slices of time written one after the other, and read a micro-batch each in that order. end: rows that come last.
 
     The range deal is written once and its slices are copied from there. A slice has as many files as the deal gave it
     parts; one micro-batch takes as many files as the smallest slice has, so state is carried and files arrive by time.
@@ -47,6 +49,8 @@ def table_stream(spark: SparkSession, df: DataFrame, label: str, slices: int = 4
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         own = table.where(F.col("_part").isin(parts[a:b])).repartition(max(1, b - a), "_part").drop("_part")
         own.write.mode("append").option("maxRecordsPerFile", 0).parquet(path)
+    if end is not None:
+        end.write.mode("append").parquet(path)
     each = max(1, min((b - a for a, b in zip(edges[:-1], edges[1:], strict=True)), default=1))
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", each).parquet(path)
 
@@ -57,23 +61,95 @@ def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, "_v.*")
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that processors with several states need, for the queries started within; the session's own setting comes back after it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 class LastClear(StatefulProcessor):
-    """Each row's value, or the last one that was clear where its own is null. A key's state is one number."""
+    """Each row's value, or the last one that was clear where its own is null, in the order of (ts, event_id) however the rows arrive.
+
+    Rows wait in a list until the watermark has passed them, when no earlier one can come; a timer at the first one
+    waiting lets them go, CHUNK at a time, and those still waiting move on to a second list, which takes the first one's
+    place. Besides the lists a key's state is the last clear value and the timer. So late rows within the watermark's delay
+    get the answer of a batch, and no task holds more than CHUNK rows of a key; rows later than that are dropped by Spark.
+    """
+
+    CHUNK = 10_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        held = self.last.get()[0] if self.last.exists() else None
-        filled = frame["clear"].astype("float64")
-        if held is not None:
-            filled = pd.concat([pd.Series([held]), filled]).ffill().iloc[1:]
-        else:
-            filled = filled.ffill()
-        if filled.notna().any():
-            self.last.update((float(filled.dropna().iloc[-1]),))
-        yield pd.DataFrame({"user_id": frame["user_id"].to_numpy(), "event_id": frame["event_id"].to_numpy(), "filled": filled.to_numpy()})
+        self.handle = handle
+        self.lists = [handle.getListState(f"waiting{i}", "ts long, event_id long, number long, clear double") for i in (0, 1)]
+        self.state = handle.getValueState("state", "last double, list int, number long, timer long")
+
+    def _wait(self, timer: int | None, ts: int) -> int:
+        """The key's timer, not later than just after ts (microseconds)."""
+        wanted = ts // 1000 + 1
+        if timer is not None and timer <= wanted:
+            return timer
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(wanted)
+        return wanted
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, at, number, timer = self.state.get() if self.state.exists() else (None, 0, 0, None)
+        for frame in rows:
+            for begin in range(0, len(frame), self.CHUNK):
+                part = frame.iloc[begin : begin + self.CHUNK]
+                clear = [None if pd.isna(v) else float(v) for v in part["clear"]]
+                self.lists[at].appendList(list(zip(part["us"].tolist(), part["event_id"].tolist(), range(number, number + len(part)), clear, strict=True)))
+                number += len(part)
+                timer = self._wait(timer, int(part["us"].min()))
+        self.state.update((last, at, number, timer))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, at, number, _ = self.state.get()
+        passed, done = timerValues.getCurrentWatermarkInMs() * 1000, (-(1 << 63), 0, 0)
+        while chunk := heapq.nsmallest(self.CHUNK, (r for r in self.lists[at].get() if done < tuple(r[:3]) and r[0] <= passed), key=lambda r: tuple(r[:3])):
+            filled = []
+            for row in chunk:
+                last = last if row[3] is None or row[3] != row[3] else row[3]
+                filled.append(last)
+            done = tuple(chunk[-1][:3])
+            yield pd.DataFrame({"key": [key[0]] * len(chunk), "event_id": [r[1] for r in chunk], "filled": pd.Series(filled, dtype="float64")})
+        # A row of the old list at a time, so that what still waits isn't held either.
+        timer, kept = None, []
+        for row in self.lists[at].get():
+            if row[0] > passed:
+                kept.append(tuple(row))
+                timer = self._wait(timer, row[0])
+            if len(kept) == self.CHUNK:
+                self.lists[1 - at].appendList(kept)
+                kept = []
+        if kept:
+            self.lists[1 - at].appendList(kept)
+        self.lists[at].clear()
+        self.state.update((last, 1 - at, number, timer))
 
     def close(self) -> None:
         pass
+
+
+#: Stands for a missing event_id, the first of its time.
+_NO_EVENT = -(1 << 63)
+
+
+def filled(stream: DataFrame, delay: str) -> DataFrame:
+    """user_id, event_id, filled of a stream of user_id, event_id, ts, clear, whose rows come no later than delay after later ones (see LastClear).
+
+    Rows without a user are one user's. (Keys go as texts and event ids without nulls: a null would turn a batch's whole column into floats.)
+    """
+    key = F.coalesce(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit(""))
+    timed = stream.withWatermark("ts", delay).select("ts", key.alias("key"), F.coalesce("event_id", F.lit(_NO_EVENT)).alias("event_id"), "clear", F.unix_micros("ts").alias("us"))
+    found = timed.groupBy("key").transformWithStateInPandas(LastClear(), "key string, event_id long, filled double", "Append", "EventTime")
+    user = F.when(F.col("key") != "", F.substring("key", 2, 20).cast("long"))
+    return found.select(user.alias("user_id"), F.when(F.col("event_id") != _NO_EVENT, F.col("event_id")).alias("event_id"), "filled")
