@@ -26,8 +26,6 @@ from .textarrays import bytes_of, mix64, shingles, slices, words
 PART = 256
 #: Rounds of leaders before blocks are compared; members of a bucket, and bytes of their texts, that one task compares with as many others.
 ROUNDS, BLOCK, BYTES = 3, 1024, 16 << 20
-#: A round of leaders that links fewer than one in so many of its plausible pairs is the last one.
-FEW = 4
 
 
 def _hashes(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,9 +249,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     members = written(banded.join(buckets, "band", "left_semi"), "members")
     wanted = members.select("key").distinct().join(classes.select("key", "rid", "sid"), "key")
     texts = written(docs.select(*row_keys(), "text").join(wanted, ["rid", "sid"]).dropDuplicates(["key"]).select("key", "text"), "texts")
-    mixed, checked, joined, few = members.withColumn("label", F.col("key")), None, None, False
+    mixed, checked, joined = members.withColumn("label", F.col("key")), None, None
     for number in range(ROUNDS + 1):
-        last = few or number == ROUNDS
+        last = number == ROUNDS
         if last:
             new = _across(mixed, classes, texts, least, words_per_shingle, percent)
         else:
@@ -265,7 +263,6 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
         joined = merged(joined, new.select(F.col("a").alias("u"), F.col("b").alias("v")))
         if last:
             break
-        few = FEW * new.count() < pairs.count()  # more leaders would link as little
         mixed = _mixed(mixed, joined)
         if mixed.isEmpty():
             break
