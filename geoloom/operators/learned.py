@@ -81,18 +81,38 @@ def codebook(vectors: DataFrame, key: str, vector: str, size: int, seed: int = 1
     return KMeans(k=size, seed=seed, featuresCol="_x", predictionCol="word").fit(ready).transform(ready).select(key, "word")
 
 
-def classified(cells: DataFrame, bands: Sequence[str], label: str, seed: int = 1, trees: int = 5) -> DataFrame:
-    """f1, jaccard, n of gradient-boosted trees with balanced weights, held against every fifth row by hash."""
+def predicted(cells: DataFrame, bands: Sequence[str], label: str, seed: int = 1, trees: int = 5) -> DataFrame:
+    """Every fifth cell by hash with prediction, by gradient-boosted trees with balanced weights that learned from the others."""
     n = cells.groupBy(label).agg(F.count("*").alias("_n"))
     total, kinds = cells.count(), n.count()
     weighted = cells.join(F.broadcast(n), label).withColumn("_w", F.lit(float(total)) / (kinds * F.col("_n")))  # a row for each label
     ready = VectorAssembler(inputCols=list(bands), outputCol="_x").transform(weighted).withColumn("_fold", F.pmod(F.xxhash64("scene_id", "r", "c"), F.lit(5)))
     model = GBTClassifier(labelCol=label, featuresCol="_x", weightCol="_w", maxIter=trees, maxDepth=4, seed=seed).fit(ready.where("_fold <> 0"))
+    return model.transform(ready.where("_fold = 0")).select(*cells.columns, "prediction")
+
+
+def classified(cells: DataFrame, bands: Sequence[str], label: str, seed: int = 1, trees: int = 5) -> DataFrame:
+    """f1, jaccard, n of predicted."""
     hit, truth, pred = ((F.col("prediction") == 1) & (F.col(label) == 1)), F.col(label) == 1, F.col("prediction") == 1
-    s = model.transform(ready.where("_fold = 0")).agg(F.count_if(hit).alias("tp"), F.count_if(truth).alias("t"), F.count_if(pred).alias("p"), F.count("*").alias("n"))
+    s = predicted(cells, bands, label, seed, trees).agg(F.count_if(hit).alias("tp"), F.count_if(truth).alias("t"), F.count_if(pred).alias("p"), F.count("*").alias("n"))
     return s.select(F.round(2 * F.col("tp") / (F.col("t") + F.col("p")), 4).alias("f1"), F.round(F.col("tp") / (F.col("t") + F.col("p") - F.col("tp")), 4).alias("jaccard"), "n")
 
 
+def tall(cells: DataFrame, by: Sequence[str], value: str, zones: int, least: float, on: int = 255, name: str = "tall") -> DataFrame:
+    """cells with name: on where the mean of a cell's cluster is above least, else 0.
+
+    Values of least or less count as 0; each group of by is clustered with them (see zoned), every cell takes its
+    cluster's mean, and that is held against least. Rows of a null group have no cluster and aren't on.
+    """
+    flat = cells.withColumn("_flat", F.when(F.col(value) > least, F.col(value)).otherwise(0).cast("double"))
+    found = zoned(flat, by, "_flat", zones, name="_zone")
+    means = found.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_zone").alias("_z")).agg(F.avg("_flat").alias("_mean"))
+    on_zone = F.col("_zone") == F.col("_z")
+    for c in by:
+        on_zone = on_zone & F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    return found.join(means, on_zone, "left").select(*[F.col(f"`{c}`") for c in cells.columns], F.when(F.col("_mean") > least, on).otherwise(0).alias(name))
+
+
 def region_table(cells: DataFrame, value: str, names: Mapping[int, str]) -> DataFrame:
     """One row a region of cells (r, c, value, region): class name, cells, bounds and row runs (r, first c, length)."""
     run = F.col("c") - F.row_number().over(Window.partitionBy("region", "r").orderBy("c"))

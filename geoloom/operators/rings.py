@@ -121,7 +121,7 @@ def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False)
     of_contacts = touched.join(sums, ["l", "r"], "left").select("l", "r", F.lit(True).alias("contact"), *[F.coalesce(c, F.lit(lines and c == "r_out")).alias(c) for c in ("l_in", "l_out", "r_in", "r_out")], "same")
 
     boxes = [p.select("key", *spatial.SIDES, F.element_at("ring", 1).alias("p")) for p in (l, r)]
-    rest = spatial.box_pairs(boxes[0], boxes[1], size, touching=True).select(F.col("l.key").alias("l"), F.col("r.key").alias("r"), F.col("l.p").alias("pl"), F.col("r.p").alias("pr")).join(touched.select("l", "r"), ["l", "r"], "left_anti")
+    rest = spatial.mixed_box_pairs(boxes[0], boxes[1], size, touching=True).select(F.col("l.key").alias("l"), F.col("r.key").alias("r"), F.col("l.p").alias("pl"), F.col("r.p").alias("pr")).join(touched.select("l", "r"), ["l", "r"], "left_anti")
     held = lambda rows, other, rings, p: rows.join(rings.select(F.col("key").alias(other), "ring"), other).withColumn(f"{p}_in", g.contains(F.col("ring"), F.col(f"{p}.x"), F.col(f"{p}.y"))).drop("ring")
     rest = held(rest, "r", r, "pl")
     rest = rest.withColumn("pr_in", F.lit(False)) if lines else held(rest, "l", l, "pr")
@@ -211,7 +211,7 @@ def overlay(left: DataFrame, right: DataFrame, size: float = 64, least_area: flo
     for layer in (left, right):
         sides = dict(zip(spatial.SIDES, g.bounds(F.col("ring")), strict=True))
         rows.append(layer.where(g.valid(F.col("ring"))).select(F.struct(*layer.columns).alias("feature"), *[v.alias(k) for k, v in sides.items()]))
-    pairs = spatial.box_pairs(rows[0], rows[1], size).select(F.col("l.feature").alias("l"), F.col("r.feature").alias("r"))
+    pairs = spatial.mixed_box_pairs(rows[0], rows[1], size).select(F.col("l.feature").alias("l"), F.col("r.feature").alias("r"))
     turned = once(pairs, _mask=counter_clockwise(F.col("r.ring")))
     cut = once(once(turned, _path=_clipped(F.col("l.ring"), F.col("_mask"))).where("size(_path) > 2"), ring=_closed(F.col("_path")))
     return once(cut, area=g.area(F.col("ring"))).where((F.col("area") > 0) & (F.col("area") > least_area)).select("l", "r", "ring", "area")

@@ -33,6 +33,35 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float, touching: bool = F
     return both.where(overlap & corner).select("l", "r")
 
 
+#: Cells of the coarsest level are so many doublings larger than the finest.
+_COARSEST = 40
+
+
+def mixed_box_pairs(left: DataFrame, right: DataFrame, size: float, touching: bool = False) -> DataFrame:
+    """box_pairs for layers of very different sizes: cells come in levels, each twice as wide as the one before.
+
+    A box's own level is the first whose cells are as long as its longer side, so that it touches four of them at most. A
+    pair meets at the coarser of both own levels: a box goes to its own level's cells and to those of coarser levels that
+    are own levels of the other layer, which one look at both layers tells. So a country among houses makes no row for each block.
+    """
+    longest = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")).cast("double")
+    own = F.when(longest > size, F.least(F.ceil(F.log2(longest / size)), F.lit(_COARSEST))).otherwise(0).cast("int")
+    present = [sorted(r["own"] for r in d.select(own.alias("own")).distinct().collect() if r["own"] is not None) for d in (left, right)]  # _COARSEST + 1 numbers at most
+
+    def dealt(layer: DataFrame, name: str, others: list[int]) -> DataFrame:
+        coarser = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col("_own"))
+        at = layer.withColumn("_own", own).withColumn("_level", F.explode(F.concat(F.array("_own"), coarser))).withColumn("_wide", size * F.pow(F.lit(2.0), F.col("_level")))
+        span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / F.col("_wide")).cast("long"), F.floor(F.col(high) / F.col("_wide")).cast("long")))
+        at = at.withColumn("_gx", span("xmin", "xmax")).withColumn("_gy", span("ymin", "ymax"))
+        return at.select(F.struct(*layer.columns).alias(name), F.col("_own").alias(f"own_{name}"), F.col("_level").alias("level"), F.col("_wide").alias(f"wide_{name}"), F.col("_gx").alias("gx"), F.col("_gy").alias("gy"))
+
+    both = dealt(left, "l", present[1]).join(dealt(right, "r", present[0]), ["level", "gx", "gy"]).where(F.col("level") == F.greatest("own_l", "own_r"))
+    less = (lambda a, b: a <= b) if touching else (lambda a, b: a < b)
+    overlap = less(F.col("l.xmin"), F.col("r.xmax")) & less(F.col("r.xmin"), F.col("l.xmax")) & less(F.col("l.ymin"), F.col("r.ymax")) & less(F.col("r.ymin"), F.col("l.ymax"))
+    corner = (F.col("gx") == F.floor(F.greatest("l.xmin", "r.xmin") / F.col("wide_l"))) & (F.col("gy") == F.floor(F.greatest("l.ymin", "r.ymin") / F.col("wide_l")))
+    return both.where(overlap & corner).select("l", "r")
+
+
 def intersection(l: str = "l", r: str = "r") -> dict[str, Column]:
     """Sides of the intersection of a pair of boxes."""
     return {s: (F.greatest if "min" in s else F.least)(f"{l}.{s}", f"{r}.{s}") for s in SIDES}

@@ -9,6 +9,7 @@ from ..functions.indices import NDVI_LEGEND, interval
 from ..operators import raster, spatial
 from ..operators.orders import running
 from ..operators.quantiles import percentiles
+from ..operators.rings import once
 from .base import Tables, query
 
 #: Hectares of a ten-metre cell.
@@ -253,11 +254,13 @@ def vocab_build(t: Tables) -> DataFrame:
 
 
 def _terms(t: Tables) -> DataFrame:
-    """term, tf, df of the documents' words."""
-    words = t.documents.select("doc_id", F.explode(F.split(F.lower("text"), "[^a-z0-9_]+")).alias("term")).where("term <> ''")
-    # Per document first: the distinct count then is a plain sum, and a frequent term is combined before the shuffle.
-    per_doc = words.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    """term, tf, df of the documents' words; a row is a document."""
+    # A row's words in order: the first of equal ones counts the document, so that one shuffle, by term, is left, before
+    # which a frequent term is combined.
+    ordered = once(t.documents.select("text"), w=F.array_sort(F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda w: w != ""))).where("size(w) > 0")
+    before = F.concat(F.array(F.lit("")), F.slice("w", 1, F.size("w") - 1))
+    words = ordered.select(F.explode(F.zip_with("w", before, lambda a, b: F.struct(a.alias("term"), (a != b).cast("long").alias("first")))).alias("e")).select("e.*")
+    return words.groupBy("term").agg(F.count("*").alias("tf"), F.sum("first").alias("df"))
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')) AS term FROM documents),

@@ -245,6 +245,14 @@ def height_kmeans(t: Tables) -> DataFrame:
     return learned.zoned(tiled, ["scene_id"], "b1", 3)
 
 
+@query()
+def height_mask(t: Tables) -> DataFrame:
+    """What stands above 5, by three clusters of each scene and by five of each of its tiles."""
+    tiled = t.px.select("scene_id", "r", "c", "b1", F.floor(F.col("r") / 25).cast("int").alias("tr"), F.floor(F.col("c") / 25).cast("int").alias("tc"))
+    whole = learned.tall(tiled, ["scene_id"], "b1", 3, 5)
+    return learned.tall(whole, ["scene_id", "tr", "tc"], "b1", 5, 5, name="tall_in_tile")
+
+
 @query()
 def anchor_kmeans(t: Tables) -> DataFrame:
     return learned.anchors(t.boxes, 9)

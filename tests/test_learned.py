@@ -67,3 +67,36 @@ def test_classifier_learns_a_rule(spark):
     rows = [("s", i, 0, float(a), float(b), int(a > b)) for i, (a, b) in enumerate(rng.random((800, 2)))]
     got = learned.classified(spark.createDataFrame(rows, "scene_id string, r int, c int, b1 double, b2 double, label int"), ["b1", "b2"], "label").first()
     assert got["f1"] > 0.85 and 100 < got["n"] < 220 and got["jaccard"] == pytest.approx(got["f1"] / (2 - got["f1"]), abs=1e-3)
+
+
+def test_scores_of_the_classifier_by_counting(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s", i, i % 7, float(a), float(b), int(a + 0.3 * rng.normal() > b)) for i, (a, b) in enumerate(rng.random((700, 2)))]
+    cells = spark.createDataFrame(rows, "scene_id string, r int, c int, b1 double, b2 double, label int")
+    held = learned.predicted(cells, ["b1", "b2"], "label").collect()
+    hit = sum(r["prediction"] == 1 and r["label"] == 1 for r in held)
+    said, true = sum(r["prediction"] == 1 for r in held), sum(r["label"] == 1 for r in held)
+    got = learned.classified(cells, ["b1", "b2"], "label").first()
+    assert got["n"] == len(held) and 0 < hit < said
+    assert got["f1"] == pytest.approx(2 * hit / (said + true), abs=1e-4) and got["jaccard"] == pytest.approx(hit / (said + true - hit), abs=1e-4)
+
+
+def test_tall_cells_by_all_ways_to_cluster(spark):
+    """Three clusters of least squares, by trying all cuts; low values count as none."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    rows = [(s, i, round(float(v), 2)) for s in ("a", "b") for i, v in enumerate(np.concatenate([rng.uniform(0, 4, 20), rng.normal(9, 1, 15), rng.normal(30, 2, 5)]))] + [("c", 0, 2.0), ("c", 1, 1.0)]
+    got = {(r["s"], r["i"]): r["tall"] for r in learned.tall(spark.createDataFrame(rows, "s string, i int, v double"), ["s"], "v", 3, 3.0).collect()}
+    for s in ("a", "b", "c"):
+        own = [(i, v if v > 3 else 0.0) for x, i, v in rows if x == s]
+        kinds = sorted({v for _, v in own})
+        best = None
+        for cuts in combinations(range(1, len(kinds)), min(2, len(kinds) - 1)):
+            parts = [kinds[a:b] for a, b in zip((0, *cuts), (*cuts, len(kinds)), strict=True)]
+            groups = [[v for _, v in own if v in p] for p in parts]
+            cost = sum(((np.array(g) - np.mean(g)) ** 2).sum() for g in groups)
+            if best is None or cost < best[0] - 1e-9:
+                best = cost, {v: np.mean(g) for p, g in zip(parts, groups, strict=True) for v in p}
+        for i, v in own:
+            assert got[s, i] == (255 if best[1][v] > 3 else 0), (s, i)

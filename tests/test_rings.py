@@ -272,6 +272,18 @@ def test_a_long_ring(spark):
     assert sum(x["area"] for x in found) == len(cells)
 
 
-def test_box_pairs_are_unchanged(spark):
-    one = spark.createDataFrame([(1, 0, 0, 4, 4)], "id long, xmin int, ymin int, xmax int, ymax int")
-    assert spatial.box_pairs(one, one, 64).count() == 1
+def test_boxes_of_very_different_sizes(spark):
+    rng = random.Random(9)
+    made = []
+    for i in range(120):
+        side = 2.0 ** rng.randint(-2, 14)
+        x, y = rng.uniform(-9000, 9000), rng.uniform(-9000, 9000)
+        made.append((i, x, y, x + side, y + side * rng.random()))
+    made += [(500, 0.0, 0.0, 64.0, 64.0), (501, 64.0, 64.0, 128.0, 128.0), (502, 64.0, 0.0, 64.0, 0.0)]
+    layer = spark.createDataFrame(made, "id long, xmin double, ymin double, xmax double, ymax double")
+    for touching in (False, True):
+        less = (lambda a, b: a <= b) if touching else (lambda a, b: a < b)
+        want = sorted((a[0], b[0]) for a in made[::2] for b in made if less(a[1], b[3]) and less(b[1], a[3]) and less(a[2], b[4]) and less(b[2], a[4]))
+        left = layer.join(spark.createDataFrame([(a[0],) for a in made[::2]], "id long"), "id", "left_semi")
+        got = sorted((r["l"]["id"], r["r"]["id"]) for r in spatial.mixed_box_pairs(left, layer, 64, touching).collect())
+        assert got == want and want
