@@ -26,6 +26,10 @@ from .textarrays import bytes_of, mix64, shingles, slices, words
 PART = 256
 #: Rounds of leaders before blocks are compared; members of a bucket, and bytes of their texts, that one task compares with as many others.
 ROUNDS, BLOCK, BYTES = 3, 1024, 16 << 20
+#: A round of leaders that links fewer than one in so many of its plausible pairs is the last one.
+FEW = 4
+#: Minima that blocks compare first.
+LANES = 64
 
 
 def _hashes(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,24 +163,33 @@ def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
     return written(labelled.join(apart, "band", "left_semi"), "mixed")
 
 
-def _plausible_in_block(group: pd.DataFrame, band: int, low: int, high: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of block low, the rows of block high that may be alike and share no band before this one; by labels as they are when asked."""
+def _plausible_in_block(group: pd.DataFrame, labels: np.ndarray, band: int, low: int, high: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of block low, the rows of block high that may be alike and share no band before this one; by labels as they are when asked.
+
+    The low bytes of LANES minima are compared first: they differ only where the minima do, so a row with more of them
+    than all minima may have is out, and the rest is compared for few rows.
+    """
     sketch = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(group), -1)
     own = np.stack(list(group["bands"]))
-    keys, labels, blocks, sizes = (group[c].to_numpy() for c in ("key", "label", "block", "n_shingles"))
+    keys, blocks, sizes = (group[c].to_numpy() for c in ("key", "block", "n_shingles"))
     second = np.flatnonzero(blocks == high)
-    others = sketch[second]
-    for i in np.flatnonzero(blocks == low).tolist():
+    second = second[np.argsort(keys[second])]
+    width, lanes = sketch.shape[1], min(LANES, sketch.shape[1] // 8 * 8)
+    differ = width - least * width
+    short = np.ascontiguousarray(sketch[:, :lanes].astype(np.uint8))
+    near, near_sizes = short[second], sizes[second]
+    for k, i in enumerate((second if low == high else np.flatnonzero(blocks == low)).tolist()):
+        from_ = k + 1 if low == high else 0  # within a block each pair once
+        others, other_sizes = second[from_:], near_sizes[from_:]
         # Sets too different in size can't be alike.
-        fits = 100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i])
-        likely = fits & (labels[second] != labels[i])
-        if low == high:
-            likely &= keys[second] > keys[i]
-        at = np.flatnonzero(likely)
-        at = at[_agreement(others[at] == sketch[i]) >= least * sketch.shape[1]]
+        likely = (100 * np.minimum(other_sizes, sizes[i]) >= percent * np.maximum(other_sizes, sizes[i])) & (labels[others] != labels[i])
+        if lanes:
+            likely &= lanes - _agreement(near[from_:] == short[i]) <= differ
+        at = others[likely]
+        at = at[_agreement(sketch[at] == sketch[i]) >= least * width]
         # By the hashes that made the buckets: a band of the sketch may agree where its minima don't.
-        first = (own[second[at]] == own[i]).argmax(axis=1)
-        yield i, second[at[own[i][first] == band]]
+        first = (own[at] == own[i]).argmax(axis=1)
+        yield i, at[own[i][first] == band]
 
 
 def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float, n: int, percent: int) -> DataFrame:
@@ -191,14 +204,13 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
 
     def named(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         on = np.zeros(len(group), bool)
-        for i, partners in _plausible_in_block(group, *key, least, percent):
+        for i, partners in _plausible_in_block(group, group["label"].to_numpy(), *key, least, percent):
             if len(partners):
                 on[i] = on[partners] = True
         return group[on][["band", "low", "high", "block", "key", "label"]]
 
     def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         keys, labels, out, sets = group["key"].to_numpy(), group["label"].to_numpy().copy(), [], {}
-        group = group.assign(label=labels)
 
         def own(i: int) -> np.ndarray:
             if i not in sets:
@@ -207,7 +219,7 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
                 sets[i] = next(shingles(hashes, begins, offsets, n))
             return sets[i]
 
-        for i, partners in _plausible_in_block(group, *key, least, percent):
+        for i, partners in _plausible_in_block(group, labels, *key, least, percent):
             for j in partners.tolist():
                 if labels[j] != labels[i]:
                     both = _shared(own(i), own(j))
@@ -249,9 +261,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     members = written(banded.join(buckets, "band", "left_semi"), "members")
     wanted = members.select("key").distinct().join(classes.select("key", "rid", "sid"), "key")
     texts = written(docs.select(*row_keys(), "text").join(wanted, ["rid", "sid"]).dropDuplicates(["key"]).select("key", "text"), "texts")
-    mixed, checked, joined = members.withColumn("label", F.col("key")), None, None
+    mixed, checked, joined, few = members.withColumn("label", F.col("key")), None, None, False
     for number in range(ROUNDS + 1):
-        last = number == ROUNDS
+        last = few or number == ROUNDS
         if last:
             new = _across(mixed, classes, texts, least, words_per_shingle, percent)
         else:
@@ -263,6 +275,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
         joined = merged(joined, new.select(F.col("a").alias("u"), F.col("b").alias("v")))
         if last:
             break
+        few = FEW * new.count() < pairs.count()  # more leaders would link as little
         mixed = _mixed(mixed, joined)
         if mixed.isEmpty():
             break
