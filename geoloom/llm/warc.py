@@ -17,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, written
 
+#: So many originals that are revisited, some MB of headers, go to where the pages are.
+FEW = 20_000
 CRLF = "\r\n"
 END = CRLF * 2
 #: RFC 4648 base 32 digits (fixed).
@@ -43,12 +45,17 @@ def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload"))})
-    # Only headers are grouped; Spark combines them before the shuffle, so a frequent payload costs one row a task.
+    # Only headers are grouped; Spark combines them before the shuffle, so a frequent payload costs one row a task. A
+    # payload that occurs once is a response without a look at any other.
     originals = (
         rows.where(F.col("payload_bytes") >= min_bytes)
         .groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
-        .agg(F.max(F.struct("page_id", "url")).alias("_original"))
+        .agg(F.max(F.struct("page_id", "url")).alias("_original"), F.count("*").alias("_rows"))
+        .where("_rows > 1").drop("_rows")
     )
+    originals = written(originals, "originals")
+    if originals.limit(FEW + 1).count() <= FEW:
+        originals = F.broadcast(originals)  # the payloads stay where they are read; else they go to their originals by a join that Spark can split
     joined = rows.join(originals, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")), "left")
     response = F.col("_original").isNull() | F.col("page_id").eqNullSafe(F.col("_original.page_id"))
     return joined.select(
