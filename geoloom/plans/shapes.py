@@ -138,9 +138,21 @@ def region_outlines(t: Tables) -> DataFrame:
     return sums.select(F.shiftright("region", 32).cast("int").alias("root_r"), F.col("region").bitwiseAND((1 << 32) - 1).cast("int").alias("root_c"), "cells", "corners", "holes")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS i, CAST(coalesce(value, 0) AS DOUBLE) AS y FROM events),
+n AS (SELECT user_id, CAST(count(*) AS INT) AS n FROM e GROUP BY 1),
+s AS (SELECT user_id, 0 AS a, n - 1 AS b FROM n UNION ALL
+  SELECT user_id, CASE k WHEN 0 THEN a ELSE m END, CASE k WHEN 0 THEN m ELSE b END FROM (
+    SELECT user_id, a, b, arg_max(i, d) AS m, max(d) AS d FROM (
+      SELECT user_id, a, b, i, power(px - t * dx, 2) + power(py - t * dy, 2) AS d FROM (
+        SELECT *, least(greatest((px * dx + py * dy) / (dx * dx + dy * dy), 0.0), 1.0) AS t FROM (
+          SELECT s.user_id, s.a, s.b, p.i, CAST(p.i - s.a AS DOUBLE) AS px, p.y - x.y AS py, CAST(s.b - s.a AS DOUBLE) AS dx, z.y - x.y AS dy
+          FROM s JOIN e x ON x.user_id = s.user_id AND x.i = s.a JOIN e z ON z.user_id = s.user_id AND z.i = s.b JOIN e p ON p.user_id = s.user_id AND p.i > s.a AND p.i < s.b))) GROUP BY 1, 2, 3),
+    (SELECT unnest([0, 1]) AS k) WHERE d > 4.0),
+k AS (SELECT user_id, a AS i FROM s UNION SELECT user_id, b FROM s)
+SELECT k.user_id, n.n, CAST(count(*) AS INT) AS kept, CAST(sum(i) AS BIGINT) AS places FROM k JOIN n ON n.user_id = k.user_id GROUP BY 1, 2""")
 def geom_simplify_tolerance(t: Tables) -> DataFrame:
-    """The path of every user's values in time, with the points that say more than 2 about it."""
+    """The path of every user's values in time: the points that say more than 2 about it, and the sum of their places."""
     path = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.coalesce("value", F.lit(0)).cast("double").alias("y")))).alias("p"))
     placed = path.select("user_id", F.transform("p", lambda e, i: g.point(i, e["y"])).alias("path"))
-    return placed.select("user_id", F.size("path").alias("n"), lines.simplified(F.col("path"), 2.0).alias("path")).select("user_id", "n", F.size("path").alias("kept"), F.transform("path", lambda p: p["x"].cast("int")).alias("places"))
+    short = placed.select("user_id", F.size("path").alias("n"), lines.simplified(F.col("path"), 2.0).alias("path"))
+    return short.select("user_id", "n", F.size("path").alias("kept"), F.aggregate("path", F.lit(0).cast("long"), lambda s, p: s + p["x"].cast("long")).alias("places"))
