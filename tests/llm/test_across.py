@@ -1,8 +1,10 @@
 """A pair is compared in the first bucket that it is really in, whatever an earlier band of the 16-bit sketch says."""
 
 import numpy as np
+import pandas as pd
+import pytest
 
-from geoloom.llm import minhash
+from geoloom.llm import components, minhash
 
 
 def test_first_band_by_the_bucket_hashes(spark):
@@ -14,3 +16,50 @@ def test_first_band_by_the_bucket_hashes(spark):
     texts = spark.createDataFrame([(1, "one two three four five six"), (2, "One two three four five six")], "key long, text string")
     links = minhash._across(mixed, classes, texts, least=0.5, n=3, percent=85)
     assert [tuple(r) for r in links.collect()] == [(1, 2)]
+
+
+def plain_partners(group, labels, band, low, high, least, percent):
+    rows = group.to_dict("records")
+    found = set()
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            if a["block"] != low or b["block"] != high or (low == high and b["key"] <= a["key"]) or labels[i] == labels[j]:
+                continue
+            x, y = (np.frombuffer(r["sketch"], "<u2") for r in (a, b))
+            small, large = sorted((a["n_shingles"], b["n_shingles"]))
+            shared = [p for p, q in zip(a["bands"], b["bands"], strict=True) if p == q]
+            if (x == y).sum() >= least * len(x) and 100 * small >= percent * large and shared and shared[0] == band:
+                found.add((i, j))
+    return found
+
+
+@pytest.mark.parametrize("width", [12, 20, 160])
+@pytest.mark.parametrize("low, high", [(0, 0), (0, 1)])
+def test_partners_in_a_block(monkeypatch, width, low, high):
+    """The first look at low bytes leaves out no pair, whatever the number of minima."""
+    rng = np.random.default_rng(width)
+    centre = rng.integers(0, 1 << 16, (4, width))
+    rows = []
+    for key in range(80):
+        own = np.where(rng.random(width) < rng.choice([0.02, 0.25, 0.6]), rng.integers(0, 1 << 16, width), centre[key % 4])
+        own = np.where(rng.random(width) < 0.1, own ^ 256, own)  # equal in the low byte alone
+        bands = [int(b) << 8 | k for k, b in enumerate(rng.integers(0, 3, 4))]
+        rows.append({"key": int(rng.integers(0, 1 << 40)), "block": int(rng.integers(0, 2)) if low != high else 0, "n_shingles": int(rng.integers(40, 60)), "bands": bands, "sketch": own.astype("<u2").tobytes()})
+    group, labels = pd.DataFrame(rows), rng.integers(0, 12, 80)
+    for lanes in (0, 8, 64):
+        monkeypatch.setattr(minhash, "LANES", lanes)
+        for band in (1 << 8, 2 << 8 | 1):
+            got = {(i, int(j)) for i, partners in minhash._plausible_in_block(group, labels, band, low, high, 0.6, 80) for j in partners}
+            assert got == plain_partners(group, labels, band, low, high, 0.6, 80)
+
+
+def test_components_of_later_links(spark):
+    """Links that come in rounds give the components of all of them at once."""
+    rng = np.random.default_rng(3)
+    rounds = [[tuple(map(int, rng.integers(0, 60, 2))) for _ in range(n)] for n in (15, 0, 12, 20)]
+    joined = None
+    for links in rounds:
+        joined = components.merged(joined, spark.createDataFrame(links, "u long, v long"))
+    whole = components.components(spark.createDataFrame([x for links in rounds for x in links], "u long, v long"))
+    alone = lambda df: {r["node"]: r["component"] for r in df.where("node <> component").collect()}
+    assert alone(joined) == alone(whole) and alone(joined)

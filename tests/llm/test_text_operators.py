@@ -398,3 +398,13 @@ def test_languages(spark):
     odd = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs(spark, [None, "", "123 !", "é", "ka", "ka"], ids=[0, 1, 2, 3, 4, 5]), model).collect()}
     assert [odd[i] for i in range(3)] == ["und"] * 3 and odd[3] in syllables and odd[4] == odd[5]
     assert langid.train(table.limit(0)) is None and langid.identify(table.limit(1), None).first()["lang_pred"] == "und"
+
+
+def test_originals_by_join_and_by_broadcast(spark, monkeypatch):
+    pages = [(i, f"http://{i}", f"page {i % 7}" if i % 3 else f"own {i}") for i in range(60)] + [(60, None, None), (61, "u", "")]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    columns = ["page_id", "record_type", "refers_to", "refers_url", "payload_digest"]
+    few = sorted(map(str, warc.resolve(table).select(columns).collect()))
+    monkeypatch.setattr(warc, "FEW", 0)
+    assert sorted(map(str, warc.resolve(table).select(columns).collect())) == few
+    assert sum("revisit" in r for r in few) == 40 - 7 + 1
