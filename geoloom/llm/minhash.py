@@ -11,6 +11,7 @@ number of members.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -163,15 +164,30 @@ def _mixed(members: DataFrame, joined: DataFrame) -> DataFrame:
     return written(labelled.join(apart, "band", "left_semi"), "mixed")
 
 
-def _plausible_in_block(group: pd.DataFrame, labels: np.ndarray, band: int, low: int, high: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+class Members(NamedTuple):
+    """Rows of mixed buckets as arrays: signatures, bucket hashes, and a number each."""
+
+    sketch: np.ndarray
+    own: np.ndarray
+    keys: np.ndarray
+    blocks: np.ndarray
+    sizes: np.ndarray
+
+    def part(self, a: int, b: int) -> Members:
+        return Members(*(x[a:b] for x in self))
+
+
+def _members(group: pd.DataFrame) -> Members:
+    return Members(np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(group), -1), np.stack(list(group["bands"])), *(group[c].to_numpy() for c in ("key", "block", "n_shingles")))
+
+
+def _plausible_in_block(rows: Members, labels: np.ndarray, band: int, low: int, high: int, least: float, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row of block low, the rows of block high that may be alike and share no band before this one; by labels as they are when asked.
 
     The low bytes of LANES minima are compared first: they differ only where the minima do, so a row with more of them
     than all minima may have is out, and the rest is compared for few rows.
     """
-    sketch = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(len(group), -1)
-    own = np.stack(list(group["bands"]))
-    keys, blocks, sizes = (group[c].to_numpy() for c in ("key", "block", "n_shingles"))
+    sketch, own, keys, blocks, sizes = rows
     second = np.flatnonzero(blocks == high)
     second = second[np.argsort(keys[second])]
     width, lanes = sketch.shape[1], min(LANES, sketch.shape[1] // 8 * 8)
@@ -192,6 +208,29 @@ def _plausible_in_block(group: pd.DataFrame, labels: np.ndarray, band: int, low:
         yield i, at[own[i][first] == band]
 
 
+def _group_edges(table: pa.Table) -> list[int]:
+    """Where the groups (band, low, high) of an ordered table begin."""
+    columns = [table.column(c).to_numpy() for c in ("band", "low", "high")]
+    new = np.ones(table.num_rows, bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(new).tolist() or [0]
+
+
+def _with_partners(table: pa.Table, edges: list[int], least: float, percent: int) -> pa.RecordBatch:
+    """The rows of whole groups, from each of edges to the next, that have a plausible partner in their group."""
+    column = lambda c: table.column(c).combine_chunks()
+    n = table.num_rows
+    numbers = {c: column(c).to_numpy(zero_copy_only=False) for c in ("band", "low", "high", "block", "key", "label", "n_shingles")}
+    rows = Members(np.frombuffer(bytes_of(column("sketch"))[0], "<u2").reshape(n, -1), column("bands").flatten().to_numpy(zero_copy_only=False).reshape(n, -1), numbers["key"], numbers["block"], numbers["n_shingles"])
+    on = np.zeros(n, bool)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for i, partners in _plausible_in_block(rows.part(a, b), numbers["label"][a:b], *(numbers[c][a] for c in ("band", "low", "high")), least, percent):
+            if len(partners):
+                on[a + i] = on[a + partners] = True
+    names = ["band", "low", "high", "block", "key", "label"]
+    return pa.RecordBatch.from_arrays([pa.array(numbers[c][on], pa.int64()) for c in names], names=names)
+
+
 def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float, n: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of mixed buckets: each plausible pair is confirmed in the first band it shares.
 
@@ -202,12 +241,18 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
     """
     columns = ["band", "low", "high", "block", "key", "label", "n_shingles", "bands", "sketch"]
 
-    def named(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(len(group), bool)
-        for i, partners in _plausible_in_block(group, group["label"].to_numpy(), *key, least, percent):
-            if len(partners):
-                on[i] = on[partners] = True
-        return group[on][["band", "low", "high", "block", "key", "label"]]
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with a plausible partner; most groups are small, so whole batches of them become arrays at once."""
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            edges = _group_edges(table)
+            held = table.slice(edges[-1])  # the last group may go on in the next batch
+            if edges[-1]:
+                yield _with_partners(table.slice(0, edges[-1]), edges, least, percent)
+        if held is not None and held.num_rows:
+            yield _with_partners(held, [0, held.num_rows], least, percent)
 
     def compared(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         keys, labels, out, sets = group["key"].to_numpy(), group["label"].to_numpy().copy(), [], {}
@@ -219,7 +264,7 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
                 sets[i] = next(shingles(hashes, begins, offsets, n))
             return sets[i]
 
-        for i, partners in _plausible_in_block(group, labels, *key, least, percent):
+        for i, partners in _plausible_in_block(_members(group), labels, *key, least, percent):
             for j in partners.tolist():
                 if labels[j] != labels[i]:
                     both = _shared(own(i), own(j))
@@ -234,7 +279,8 @@ def _across(mixed: DataFrame, classes: DataFrame, texts: DataFrame, least: float
     placed = described.join(sizes, "band").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")))
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).select(*columns)
-    wanted = written(met.groupBy("band", "low", "high").applyInPandas(named, "band long, low long, high long, block long, key long, label long"), "plausible")
+    met = met.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    wanted = written(met.mapInArrow(named, "band long, low long, high long, block long, key long, label long"), "plausible")
     full = wanted.join(classes.select("key", "n_shingles", "bands", "sketch").join(texts, "key"), "key").select(*columns, "text")
     return full.groupBy("band", "low", "high").applyInPandas(compared, "a long, b long")
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from geoloom.llm import components, minhash
@@ -50,10 +51,40 @@ def test_partners_in_a_block(monkeypatch, width, low, high):
         monkeypatch.setattr(minhash, "LANES", lanes)
         for band in (1 << 8, 2 << 8 | 1):  # a bucket's members all have its band
             group["bands"] = [[band if k == band & 255 else b for k, b in enumerate(r["bands"])] for r in rows]
-            got = {(i, int(j)) for i, partners in minhash._plausible_in_block(group, labels, band, low, high, 0.6, 80) for j in partners}
+            got = {(i, int(j)) for i, partners in minhash._plausible_in_block(minhash._members(group), labels, band, low, high, 0.6, 80) for j in partners}
             assert got == plain_partners(group, labels, band, low, high, 0.6, 80)
 
 
+@pytest.mark.parametrize("size", [1, 7, 50, 1000])
+def test_groups_across_batches(spark, size):
+    """Groups that end within, at and beyond a batch's end name the rows that each group alone names."""
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 1 << 16, (3, 40))
+    rows = []
+    for g, n in enumerate([1, 2, 3, 40, 2, 1, 25, 2, 2, 60]):
+        band = g << 8
+        for k in range(n):
+            own = np.where(rng.random(40) < rng.choice([0.02, 0.5]), rng.integers(0, 1 << 16, 40), centre[k % 3])
+            rows.append((band, 0, g % 2, k % 2 if g % 2 else 0, g * 1000 + k, int(rng.integers(0, 9)), 50, [band, 1], own.astype("<u2").tobytes()))
+    names = ["band", "low", "high", "block", "key", "label", "n_shingles", "bands", "sketch"]
+    frame = pd.DataFrame(rows, columns=names)
+    want = set()
+    for (band, low, high), group in frame.groupby(["band", "low", "high"]):
+        group = group.reset_index(drop=True)
+        for i, j in plain_partners(group, group["label"].to_numpy(), band, low, high, 0.6, 80):
+            want |= {group["key"][i], group["key"][j]}
+    table = pa.Table.from_pandas(frame, preserve_index=False)
+    held, got = None, set()
+    for at in range(0, table.num_rows, size):
+        part = table.slice(at, size) if held is None else pa.concat_tables([held, table.slice(at, size)]).combine_chunks()
+        edges = minhash._group_edges(part)
+        held = part.slice(edges[-1])
+        if edges[-1]:
+            got |= set(minhash._with_partners(part.slice(0, edges[-1]), edges, 0.6, 80)["key"].to_pylist())
+    got |= set(minhash._with_partners(held, [0, held.num_rows], 0.6, 80)["key"].to_pylist())
+    assert got == want and want
+
+
 def test_components_of_later_links(spark):
     """Links that come in rounds give the components of all of them at once."""
     rng = np.random.default_rng(3)
