@@ -70,29 +70,43 @@ def _contacts(e: str, o: str) -> Column:
     return F.when(proper, F.array(first / (first - last))).otherwise(F.array_compact(F.array(*ends, *corners)))
 
 
+def _turned(rings: Column) -> Column:
+    """A shell and its holes with the inside to the left of every edge: the shell counter-clockwise, holes the other way. Holes without an area go."""
+    whole = F.concat(F.slice(rings, 1, 1), F.filter(F.slice(rings, 2, F.greatest(F.size(rings), F.lit(0))), g.valid))
+    return F.transform(whole, lambda ring, i: F.when((g.signed_area(ring) < 0) == (i == 0), F.reverse(ring)).otherwise(ring))
+
+
+def _inside(rings: Column, x: Column, y: Column) -> Column:
+    """Whether an odd number of the rings hold the point."""
+    return F.aggregate(rings, F.lit(False), lambda odd, ring: odd != g.contains(ring, x, y))
+
+
 def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False) -> DataFrame:
     """l, r, contact, l_in, l_out, r_in, r_out, same: how every two features whose bounds touch lie to each other, in one row.
 
-    left and right: key (one row each) and ring; lines: left has open paths instead. in and out say that a part of a
+    left and right: key (one row each) and ring, or rings instead: an array of a shell and its holes, which lie within it and
+    leave the feature in one piece; lines: left has open paths in ring instead. in and out say that a part of a
     boundary (or line) lies strictly inside or outside the other feature, same that both boundaries share a part with their insides
     on one side. Rings without an area take no part; rings that cross themselves have no defined result.
 
     Edges are dealt to the cells along them and joined there, so that only near edges meet. Every contact cuts its edges; a
-    piece between two cuts lies inside, outside or along, told by its middle. A part of a boundary between two contacts ends
-    on an edge with a contact, so edges without one need no look. Pairs without a contact are told by one point of each.
+    piece between two cuts lies inside, outside or along, told by its middle. A part of a ring between two contacts ends
+    on an edge with a contact, so edges without one need no look. Rings without a contact are told by one point of each.
     """
-    prepared = []
+    prepared, holes = [], "rings" in left.columns or "rings" in right.columns
     for layer, open_paths in ((left, lines), (right, False)):
-        path = F.col("ring")
-        good = (F.size(F.coalesce(edges(path), F.array())) > 0) if open_paths else g.valid(path)
-        xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+        paths = F.col("rings") if "rings" in layer.columns else F.array("ring")
+        first = F.get(paths, F.lit(0))
+        good = (F.size(F.coalesce(edges(first), F.array())) > 0) if open_paths else g.valid(first)
+        kept = layer.where(good).select("key", (paths if open_paths else _turned(paths)).alias("rings"))
+        xs, ys = F.transform(F.get("rings", F.lit(0)), lambda p: p["x"]), F.transform(F.get("rings", F.lit(0)), lambda p: p["y"])
         sides = [f(v).alias(n) for f, v, n in ((F.array_min, xs, "xmin"), (F.array_min, ys, "ymin"), (F.array_max, xs, "xmax"), (F.array_max, ys, "ymax"))]
-        kept = layer.where(good).select("key", (path if open_paths else counter_clockwise(path)).alias("ring"))
-        prepared.append(written(kept.select("key", "ring", *sides), "rings"))
+        prepared.append(written(kept.select("key", "rings", *sides), "rings"))
     l, r = prepared
 
-    dealt = [along_cells(p.select("key", F.posexplode(edges(F.col("ring"))).alias("at", "e")).select("key", "at", "e.*"), size) for p in (l, r)]
-    packed = [d.select(F.struct("key", "at", "x1", "y1", "x2", "y2").alias(n), "gx", "gy") for d, n in zip(dealt, "lr", strict=True)]
+    parts = F.flatten(F.transform("rings", lambda ring, i: F.transform(edges(ring), lambda e: F.struct(i.alias("part"), *[e[c].alias(c) for c in ("x1", "y1", "x2", "y2")]))))
+    dealt = [along_cells(p.select("key", F.posexplode(parts).alias("at", "e")).select("key", "at", "e.*"), size) for p in (l, r)]
+    packed = [d.select(F.struct("key", "part", "at", "x1", "y1", "x2", "y2").alias(n), "gx", "gy") for d, n in zip(dealt, "lr", strict=True)]
     near = (F.least("l.x1", "l.x2") <= F.greatest("r.x1", "r.x2")) & (F.least("r.x1", "r.x2") <= F.greatest("l.x1", "l.x2")) & (F.least("l.y1", "l.y2") <= F.greatest("r.y1", "r.y2")) & (F.least("r.y1", "r.y2") <= F.greatest("l.y1", "l.y2"))
     met = once(packed[0].join(packed[1], ["gx", "gy"]).where(near).select("l", "r"), cl=_contacts("l", "r"), cr=_contacts("r", "l")).where("size(cl) > 0")
     dot = (F.col("l.x2") - F.col("l.x1")) * (F.col("r.x2") - F.col("r.x1")) + (F.col("l.y2") - F.col("l.y1")) * (F.col("r.y2") - F.col("r.y1"))
@@ -109,29 +123,43 @@ def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False)
         free = F.filter(steps, lambda s: (s["b"] - s["a"] > _NEAR) & ~F.exists("on", lambda o: (o["a"] <= (s["a"] + s["b"]) / 2) & (o["b"] >= (s["a"] + s["b"]) / 2)))
         middle = cut.select("l", "r", "e", F.explode(F.transform(free, lambda s: (s["a"] + s["b"]) / 2)).alias("t"))
         x, y = F.col("e.x1") + F.col("t") * (F.col("e.x2") - F.col("e.x1")), F.col("e.y1") + F.col("t") * (F.col("e.y2") - F.col("e.y1"))
-        inside = g.contains(F.col("ring"), x, y)
-        return middle.join(rings.select(F.col("key").alias(other), "ring"), other).select("l", "r", inside.alias("in"))
+        inside = _inside(F.col("rings"), x, y)
+        return middle.join(rings.select(F.col("key").alias(other), "rings"), other).select("l", "r", inside.alias("in"))
 
     flag = lambda c, n: F.coalesce(F.bool_or(c), F.lit(False)).alias(n)
-    touched = met.groupBy(F.col("l.key").alias("l"), F.col("r.key").alias("r")).agg(flag(F.col("same"), "same"))
+    touched = met.groupBy(F.col("l.key").alias("l"), F.col("r.key").alias("r")).agg(flag(F.col("same"), "same"), *[F.collect_set(f"{n}.part").alias(f"{n}_parts") for n in "lr" if holes])
     sided = pieces("l", "r", "cl", r).select("l", "r", F.col("in").alias("l_in"), (~F.col("in")).alias("l_out"), F.lit(False).alias("r_in"), F.lit(lines).alias("r_out"))
     if not lines:
         sided = sided.union(pieces("r", "l", "cr", l).select("l", "r", F.lit(False), F.lit(False), F.col("in"), ~F.col("in")))
     sums = sided.groupBy("l", "r").agg(*[flag(F.col(c), c) for c in ("l_in", "l_out", "r_in", "r_out")])
     of_contacts = touched.join(sums, ["l", "r"], "left").select("l", "r", F.lit(True).alias("contact"), *[F.coalesce(c, F.lit(lines and c == "r_out")).alias(c) for c in ("l_in", "l_out", "r_in", "r_out")], "same")
 
-    boxes = [p.select("key", *spatial.SIDES, F.element_at("ring", 1).alias("p")) for p in (l, r)]
-    rest = spatial.mixed_box_pairs(boxes[0], boxes[1], size, touching=True).select(F.col("l.key").alias("l"), F.col("r.key").alias("r"), F.col("l.p").alias("pl"), F.col("r.p").alias("pr")).join(touched.select("l", "r"), ["l", "r"], "left_anti")
-    held = lambda rows, other, rings, p: rows.join(rings.select(F.col("key").alias(other), "ring"), other).withColumn(f"{p}_in", g.contains(F.col("ring"), F.col(f"{p}.x"), F.col(f"{p}.y"))).drop("ring")
+    starts = F.transform("rings", lambda ring, i: F.struct(i.alias("part"), F.get(ring, F.lit(0)).alias("p")))
+    boxes = [p.select("key", *spatial.SIDES, starts.alias("p")) for p in (l, r)]
+    rest = spatial.mixed_box_pairs(boxes[0], boxes[1], size, touching=True).select(F.col("l.key").alias("l"), F.col("r.key").alias("r"), F.col("l.p").alias("pl"), F.col("r.p").alias("pr"))
+    if holes:
+        alone = lambda n: F.filter(f"p{n}", lambda p: ~F.array_contains(F.coalesce(f"{n}_parts", F.array().cast("array<int>")), p["part"])).alias(f"p{n}")
+        rest = rest.join(touched.select("l", "r", "l_parts", "r_parts"), ["l", "r"], "left").select("l", "r", alone("l"), alone("r")).where("size(pl) + size(pr) > 0")
+    else:
+        rest = rest.join(touched.select("l", "r"), ["l", "r"], "left_anti")
+
+    def held(rows: DataFrame, other: str, rings: DataFrame, p: str) -> DataFrame:
+        """rows with p_in and p_out: whether a first point of p lies in or out of other."""
+        of = once(rows.join(rings.select(F.col("key").alias(other), "rings"), other), _held=F.transform(p, lambda s: _inside(F.col("rings"), s["p"]["x"], s["p"]["y"])))
+        return of.withColumns({f"{p}_in": F.array_contains("_held", True), f"{p}_out": F.array_contains("_held", False)}).drop("rings", "_held")
+
     rest = held(rest, "r", r, "pl")
-    rest = rest.withColumn("pr_in", F.lit(False)) if lines else held(rest, "l", l, "pr")
-    apart = rest.select("l", "r", F.lit(False).alias("contact"), F.col("pl_in").alias("l_in"), (~F.col("pl_in")).alias("l_out"), F.col("pr_in").alias("r_in"), (~F.col("pr_in")).alias("r_out"), F.lit(False).alias("same"))
-    return of_contacts.unionByName(apart)
+    rest = rest.withColumns({"pr_in": F.lit(False), "pr_out": F.lit(True)}) if lines else held(rest, "l", l, "pr")
+    apart = rest.select("l", "r", F.lit(False).alias("contact"), F.col("pl_in").alias("l_in"), F.col("pl_out").alias("l_out"), F.col("pr_in").alias("r_in"), F.col("pr_out").alias("r_out"), F.lit(False).alias("same"))
+    found = of_contacts.unionByName(apart)
+    # A ring of a feature may have contacts where another has none.
+    return found.groupBy("l", "r").agg(*[F.bool_or(c).alias(c) for c in found.columns[2:]]) if holes else found
 
 
 def matches(match: str, lines: bool = False) -> Column:
     """Whether a row of relate fits intersects, contains, within, touches, crosses, overlaps, equals or disjoint (of pairs whose bounds touch), as simple-feature relations have it.
 
+    A feature that meets another's inside is within it if the other's boundary, that of holes included, has no part inside.
     Two areas never cross; a line crosses an area if it has parts inside and outside, and is within if it has one inside and none outside.
     """
     l_in, l_out, r_in, r_out = (F.col(c) for c in ("l_in", "l_out", "r_in", "r_out"))
@@ -142,22 +170,22 @@ def matches(match: str, lines: bool = False) -> Column:
         "intersects": shared,
         "disjoint": ~shared,
         "touches": shared & ~inner,
-        "contains": never if lines else shared & ~r_out,
-        "within": (l_in & ~l_out) if lines else shared & ~l_out,
+        "contains": never if lines else inner & ~r_out & ~l_in,
+        "within": (l_in & ~l_out) if lines else inner & ~l_out & ~r_in,
         "crosses": (l_in & l_out) if lines else never,
-        "overlaps": never if lines else inner & l_out & r_out,
-        "equals": never if lines else shared & ~l_out & ~r_out,
+        "overlaps": never if lines else inner & (l_out | r_in) & (r_out | l_in),
+        "equals": never if lines else inner & ~l_out & ~r_out & ~l_in & ~r_in,
     }[match]
 
 
 def join(left: DataFrame, right: DataFrame, on: tuple[str, str], match: str = "intersects", how: str = "inner", size: float = 64, lines: bool = False) -> DataFrame:
     """Structs l and r of the features that match (see matches); how left keeps those of left without one, r null.
 
-    on: the key of each layer, one row each; both layers have their rings in column ring and may have any others.
+    on: the key of each layer, one row each; both layers have their rings in column ring, or shells with holes in rings, and may have any others.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how is inner or left, not {how}")
-    keyed = [d.select(F.col(k).alias("key"), "ring") for d, k in zip((left, right), on, strict=True)]
+    keyed = [d.select(F.col(k).alias("key"), "rings" if "rings" in d.columns else "ring") for d, k in zip((left, right), on, strict=True)]
     pairs = relate(*keyed, size, lines).where(matches(match, lines)).select(F.col("l").alias("_l"), F.col("r").alias("_r"))
     l, r = left.select(F.struct(*left.columns).alias("l")), right.select(F.struct(*right.columns).alias("r"))
     found = pairs.join(r, F.col("_r") == F.col(f"r.{on[1]}"))

@@ -68,6 +68,58 @@ def test_relations_of_rings(spark, shear):
     assert len(seen) >= 6
 
 
+def with_holes(seed, n):
+    """Rectangles with up to two holes: their rings and cells."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        wide, high, dx, dy = rng.randint(5, 7), rng.randint(3, 6), rng.randint(0, 4), rng.randint(0, 4)
+        paths, cells = [[(0, 0), (wide, 0), (wide, high), (0, high)]], {(x, y) for x in range(wide) for y in range(high)}
+        for x0, x1 in ((1, 2), (3, wide - 1))[: rng.randint(0, 2)]:
+            y0 = rng.randint(1, high - 2)
+            y1 = rng.randint(y0 + 1, high - 1)
+            path = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+            paths.append(path if rng.random() < 0.5 else path[::-1])
+            cells -= {(x, y) for x in range(x0, x1) for y in range(y0, y1)}
+        out.append((i, [[(x + dx, y + dy) for x, y in p] for p in paths], {(x + dx, y + dy) for x, y in cells}))
+    return out
+
+
+@pytest.mark.parametrize("shear", SHEARS)
+def test_relations_of_rings_with_holes(spark, shear):
+    a, b = with_holes(11, 30), with_holes(12, 30)
+    # What fills a hole, lies in one or is the same.
+    plugs = [[hole] for _, paths, _ in b for hole in paths[1:]]
+    area = lambda p: {(x, y) for x in range(min(q[0] for q in p), max(q[0] for q in p)) for y in range(min(q[1] for q in p), max(q[1] for q in p))}
+    a += [(100 + i, paths, area(paths[0])) for i, paths in enumerate(plugs)] + [(200 + i, paths, cells) for i, paths, cells in b[:5]]
+    a += [(300 + i, [ring], cells) for i, ring, cells in shapes(13, 20)]
+    big = {(x, y) for x in range(-5, 20) for y in range(-5, 20)} - {(x, y) for x in range(-2, 15) for y in range(-2, 15)}
+    b.append((99, [[(-5, -5), (20, -5), (20, 20), (-5, 20)], [(-2, -2), (15, -2), (15, 15), (-2, 15)]], big))
+    layer = lambda s: spark.createDataFrame([(i, [closed([shear(*p) for p in ring]) for ring in paths]) for i, paths, _ in s], "key long, rings array<array<struct<x:double,y:double>>>")
+    names = ["intersects", "touches", "contains", "within", "overlaps", "equals"]
+    seen = defaultdict(int)
+    for first, second in ((a, b), (b, a)):
+        got = {(r["l"], r["r"]): tuple(r[n] for n in names) for r in rings.relate(layer(first), layer(second), 4).select("l", "r", *[rings.matches(n).alias(n) for n in names]).collect()}
+        for i, _, x in first:
+            for j, _, y in second:
+                inner, shared = bool(x & y), bool(corners(x) & corners(y))
+                want = (shared, shared and not inner, y <= x, x <= y, inner and not (x <= y or y <= x), x == y)
+                assert got.get((i, j), (False,) * 6) == want, (i, j)
+                seen[want] += 1
+    assert len(seen) >= 6
+
+
+def test_odd_rings_with_holes(spark):
+    """No shell, no rings and a shell of no area take no part; a hole of no area is none, and a null one neither."""
+    box = closed([(0, 0), (9, 0), (9, 9), (0, 9)])
+    layer = "key long, rings array<array<struct<x:double,y:double>>>"
+    left = spark.createDataFrame([(1, [box, closed([(1, 1), (2, 2), (3, 3)]), None]), (2, None), (3, []), (4, [None, box]), (5, [closed([(1, 1), (2, 2), (3, 3)])])], layer)
+    right = spark.createDataFrame([(7, closed([(2, 2), (4, 2), (4, 4)]))], "key long, ring array<struct<x:double,y:double>>")
+    assert [(r["l"], r["r"]) for r in rings.relate(left, right, 4).where(rings.matches("contains")).collect()] == [(1, 7)]
+    assert rings.relate(left.limit(0), right, 4).isEmpty()
+    joined = rings.join(right, left, ("key", "key"), "within", size=4).collect()
+    assert [(r["l"]["key"], r["r"]["key"]) for r in joined] == [(7, 1)]
+
+
 @pytest.mark.parametrize("shear", SHEARS)
 def test_relations_of_lines(spark, shear):
     b, rng, lines = shapes(4, 20), random.Random(5), []
