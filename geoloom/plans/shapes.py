@@ -14,6 +14,9 @@ from .base import Tables, query
 _TRIANGLE = [("2 * xmin", "2 * ymin"), ("2 * xmax", "2 * ymin"), ("xmin + xmax", "2 * ymax")]
 _DIAMOND = [("xmin + xmax", "2 * ymin"), ("2 * xmax", "ymin + ymax"), ("xmin + xmax", "2 * ymax"), ("2 * xmin", "ymin + ymax")]
 
+# A hole of half the diamond's width around its middle.
+_HOLE = [("xmin + xmax", "(3 * ymin + ymax) / 2"), ("(xmin + 3 * xmax) / 2", "ymin + ymax"), ("xmin + xmax", "(ymin + 3 * ymax) / 2"), ("(3 * xmin + xmax) / 2", "ymin + ymax")]
+
 
 def _ringed(boxes: DataFrame, corners: list[tuple[str, str]], *columns: str) -> DataFrame:
     points = [g.point(F.expr(x), F.expr(y)) for x, y in [*corners, corners[0]]]
@@ -36,6 +39,10 @@ def _holds(e: str, of: str) -> str:
     return f"len(list_filter({of}, lambda q: len(list_filter(range(1, len({e}) + 1), lambda i: {_SIDE.format(e=e)} < 0)) > 0)) = 0"
 
 
+def _strictly(e: str, of: str) -> str:
+    return f"len(list_filter({of}, lambda q: len(list_filter(range(1, len({e}) + 1), lambda i: {_SIDE.format(e=e)} <= 0)) > 0)) = 0"
+
+
 _SHAPES = f"""a AS (SELECT id, xmin, ymin, xmax, ymax, {_listed(_TRIANGLE)} AS p FROM boxes WHERE xmax > xmin AND ymax > ymin), b AS (SELECT id, xmin, ymin, xmax, ymax, {_listed(_DIAMOND)} AS q FROM truths WHERE xmax > xmin AND ymax > ymin),
 c AS (SELECT a.id AS l, b.id AS r, p, q AS s FROM a JOIN b ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax),
 m AS (SELECT l, r, NOT ({_apart('p', 's', '<')}) AND NOT ({_apart('s', 'p', '<')}) AS shared, NOT ({_apart('p', 's', '<=')}) AND NOT ({_apart('s', 'p', '<=')}) AS inner_shared, {_holds('p', 's')} AS contains, {_holds('s', 'p')} AS within FROM c)"""
@@ -48,6 +55,18 @@ def spatial_join_relations(t: Tables) -> DataFrame:
     return found.select("l", "r", *[rings.matches(m).alias(m) for m in ("intersects", "touches", "contains", "within", "overlaps")])
 
 
+# A triangle within the hole is apart from the diamond, or touches it where it reaches the hole's border.
+@query(f"""WITH {_SHAPES}, h AS (SELECT id, {_listed(_HOLE)} AS h FROM truths), k AS (SELECT m.*, {_holds('h', 'p')} AS held, {_strictly('h', 'p')} AS lost, NOT ({_apart('p', 'h', '<=')}) AND NOT ({_apart('h', 'p', '<=')}) AS holed FROM m JOIN c USING (l, r) JOIN h ON h.id = m.r),
+n AS (SELECT l, r, NOT lost AS shared, inner_shared AND NOT held AS inner_shared, contains, within AND NOT holed AS within FROM k WHERE shared)
+SELECT l, r, shared AND NOT inner_shared AS touches, contains, within, inner_shared AND NOT contains AND NOT within AS overlaps FROM n WHERE shared""")
+def spatial_join_holes(t: Tables) -> DataFrame:
+    """Triangles against diamonds with a hole."""
+    diamonds = t.truths.where("xmax > xmin and ymax > ymin")
+    rings_of = F.array(*[F.array(*[g.point(F.expr(x).cast("double"), F.expr(y).cast("double")) for x, y in [*corners, corners[0]]]) for corners in (_DIAMOND, _HOLE)])
+    found = rings.relate(_ringed(t.boxes, _TRIANGLE, F.col("id").alias("key")), diamonds.select(F.col("id").alias("key"), rings_of.alias("rings")), 64).where(rings.matches("intersects"))
+    return found.select("l", "r", *[rings.matches(m).alias(m) for m in ("touches", "contains", "within", "overlaps")])
+
+
 @query(f"WITH {_SHAPES} SELECT a.id AS l, m.r, m.r AS name_key FROM a LEFT JOIN (SELECT * FROM m WHERE contains) m ON m.l = a.id")
 def spatial_join_left(t: Tables) -> DataFrame:
     """All triangles with the diamonds that they contain."""
