@@ -234,23 +234,35 @@ def _closed(path: Column) -> Column:
 
 
 def overlay(left: DataFrame, right: DataFrame, size: float = 64, least_area: float = 0.0) -> DataFrame:
-    """l, r, ring, area: the shared part, above least_area, of every ring of left with every convex ring of right."""
-    rows = []
-    for layer in (left, right):
-        sides = dict(zip(spatial.SIDES, g.bounds(F.col("ring")), strict=True))
-        rows.append(layer.where(g.valid(F.col("ring"))).select(F.struct(*layer.columns).alias("feature"), *[v.alias(k) for k, v in sides.items()]))
+    """l, r, ring, area: the shared part, above least_area, of every ring of left with every convex ring of right.
+
+    Where left has rings instead (a shell and its holes), so has the result: the parts of the shell and of the holes within
+    the mask, whose even-odd fill is the shared part. Holes without a part there go.
+    """
+    rows, holes = [], "rings" in left.columns
+    for layer, shell in ((left, F.get("rings", F.lit(0)) if holes else F.col("ring")), (right, F.col("ring"))):
+        sides = dict(zip(spatial.SIDES, g.bounds(shell), strict=True))
+        rows.append(layer.where(g.valid(shell)).select(F.struct(*layer.columns).alias("feature"), *[v.alias(k) for k, v in sides.items()]))
     pairs = spatial.mixed_box_pairs(rows[0], rows[1], size).select(F.col("l.feature").alias("l"), F.col("r.feature").alias("r"))
     turned = once(pairs, _mask=counter_clockwise(F.col("r.ring")))
-    cut = once(once(turned, _path=_clipped(F.col("l.ring"), F.col("_mask"))).where("size(_path) > 2"), ring=_closed(F.col("_path")))
-    return once(cut, area=g.area(F.col("ring"))).where((F.col("area") > 0) & (F.col("area") > least_area)).select("l", "r", "ring", "area")
+    if holes:
+        paths = once(once(turned, _whole=_turned(F.col("l.rings"))), _paths=F.transform("_whole", lambda ring: _clipped(ring, F.col("_mask")))).where("size(_paths[0]) > 2")
+        parts = once(paths, _parts=F.transform("_paths", lambda p: F.struct(_closed(p).alias("ring"), F.coalesce(g.area(_closed(p)), F.lit(0.0)).alias("area"))))
+        held = F.concat(F.slice("_parts", 1, 1), F.filter(F.slice("_parts", 2, F.size("_parts")), lambda p: p["area"] > 0))
+        total = F.aggregate(F.slice("_parts", 2, F.size("_parts")), F.get("_parts", F.lit(0))["area"], lambda s, p: s - p["area"])
+        cut = once(parts, rings=F.transform(held, lambda p: p["ring"]), area=total)
+    else:
+        cut = once(once(turned, _path=_clipped(F.col("l.ring"), F.col("_mask"))).where("size(_path) > 2"), ring=_closed(F.col("_path")))
+        cut = once(cut, area=g.area(F.col("ring")))
+    return cut.where((F.col("area") > 0) & (F.col("area") > least_area)).select("l", "r", "rings" if holes else "ring", "area")
 
 
 def clip(layer: DataFrame, masks: DataFrame, size: float = 64) -> DataFrame:
-    """layer's columns with their rings cut to convex masks, a row for each mask that a feature meets. An empty layer and an empty result are errors."""
+    """layer's columns with their rings (ring, or shell and holes in rings) cut to convex masks, a row for each mask that a feature meets. An empty layer and an empty result are errors."""
     if layer.isEmpty():
         raise ValueError("the layer is empty")
-    cut = overlay(layer, masks, size)
-    found = written(cut.select(*[F.col("ring") if c == "ring" else F.col(f"l.{c}").alias(c) for c in layer.columns]), "clipped")
+    cut, path = overlay(layer, masks, size), "rings" if "rings" in layer.columns else "ring"
+    found = written(cut.select(*[F.col(path) if c == path else F.col(f"l.{c}").alias(c) for c in layer.columns]), "clipped")
     if found.isEmpty():
         raise ValueError("no feature meets the mask")
     return found

@@ -215,6 +215,28 @@ def test_convex_clip(spark):
     assert all(abs(r["got"] - r["want"]) < 1e-7 for r in got) and sum(r["got"] > 0 for r in got) > 100
 
 
+def test_convex_clip_of_rings_with_holes(spark):
+    """The part in a box has as many cells as shell and holes share with it, and the clipped rings fill them."""
+    features, rng = with_holes(21, 20), random.Random(22)
+    masks = [(i, (x := rng.randint(-1, 6)), (y := rng.randint(-1, 6)), x + rng.randint(1, 5), y + rng.randint(1, 5)) for i in range(12)]
+    left = spark.createDataFrame([(i, [closed(p) for p in paths]) for i, paths, _ in features], "id long, rings array<array<struct<x:double,y:double>>>")
+    right = spark.createDataFrame([(i, closed([(a, b), (c, b), (c, d), (a, d)])) for i, a, b, c, d in masks], LAYER)
+    over = rings.overlay(left, right, 4).select(F.col("l.id").alias("l"), F.col("r.id").alias("r"), "rings", "area")
+    want = {}
+    for i, _, cells in features:
+        for j, a, b, c, d in masks:
+            if part := {(x, y) for x, y in cells if a <= x < c and b <= y < d}:
+                want[i, j] = part
+    got = {(r["l"], r["r"]): r for r in over.collect()}
+    assert set(got) == set(want) and any(len(r["rings"]) > 1 for r in got.values())
+    assert all(r["area"] == pytest.approx(len(want[k])) for k, r in got.items())
+    fills = defaultdict(set)
+    for r in rings.runs(over.select("l", "r", F.explode("rings").alias("ring")).withColumnRenamed("r", "m"), ["l", "m"]).collect():
+        fills[r["l"], r["m"]] |= {(c, r["r"]) for c in range(r["c0"], r["c1"] + 1)}
+    assert fills == want
+    assert rings.clip(left, right, 4).count() == len(want) and rings.clip(left, right, 4).columns == left.columns
+
+
 def test_clip_of_a_ring_with_bays(spark):
     ring, cells = bars([4, 1, 3, 1, 5])
     mask = [(0, 2), (5, 2), (5, 6), (0, 6)]
