@@ -32,7 +32,9 @@ _NEAR = "power(greatest(b.xmin - p.x, p.x - b.xmax, 0), 2) + power(greatest(b.ym
 
 @query(f"WITH m AS (SELECT b.id, min(p.id) AS point FROM boxes b JOIN points p ON {_NEAR} GROUP BY 1) SELECT b.id, m.point FROM boxes b LEFT JOIN m ON m.id = b.id")
 def buffer_join_first(t: Tables) -> DataFrame:
-    first = spatial.within_distance(t.boxes, t.points, 5).groupBy(F.col("l.id").alias("id")).agg(F.min("r.id").alias("point"))
+    # Of points on one place only the first can be a box's.
+    places = t.points.groupBy("x", "y").agg(F.min("id").alias("id"))
+    first = spatial.within_distance(t.boxes, places, 5, 16).groupBy(F.col("l.id").alias("id")).agg(F.min("r.id").alias("point"))
     return t.boxes.select("id").join(first, "id", "left")
 
 
@@ -113,8 +115,11 @@ def raster_point_inspect(t: Tables) -> DataFrame:
 @query("""WITH l AS (SELECT 'boxes' AS layer, id, xmin, ymin, xmax, ymax FROM boxes UNION ALL SELECT 'truths', id, xmin, ymin, xmax, ymax FROM truths)
 SELECT p.id AS point, l.layer, min(l.id) AS feature FROM points p JOIN l ON power(greatest(l.xmin - p.x, p.x - l.xmax, 0), 2) + power(greatest(l.ymin - p.y, p.y - l.ymax, 0), 2) <= 25 GROUP BY 1, 2""")
 def vector_point_inspect(t: Tables) -> DataFrame:
+    """Points on one place have the same answer: a place is looked at once, and its points join the answer."""
     layers = t.boxes.select(F.lit("boxes").alias("layer"), "id", *spatial.SIDES).union(t.truths.select(F.lit("truths"), "id", *spatial.SIDES))
-    return spatial.within_distance(layers, t.points, 5).groupBy(F.col("r.id").alias("point"), F.col("l.layer").alias("layer")).agg(F.min("l.id").alias("feature"))
+    near = spatial.within_distance(layers, t.points.select("x", "y").distinct(), 5, 16)
+    found = near.groupBy(F.col("r.x").alias("x"), F.col("r.y").alias("y"), F.col("l.layer").alias("layer")).agg(F.min("l.id").alias("feature"))
+    return t.points.join(found, ["x", "y"]).select(F.col("id").alias("point"), "layer", "feature")
 
 
 _BOTH = "cls_before b FULL JOIN cls_after a ON a.r = b.r AND a.c = b.c"
