@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
@@ -14,20 +15,47 @@ from ..scratch import written
 from . import spatial
 
 
+#: Boxes that are suppressed in one go, and the share of all where there are more.
+_AT_ONCE, _HEAD = 20_000, 1 / 16
+
+
 def suppress(boxes: DataFrame, by: Sequence[str], most: float, size: float = 64) -> DataFrame:
     """The boxes (id, sides, score, by) that no kept box of higher score (then lesser id) of their group overlaps by more than most.
 
+    Many boxes are worked on from the best scores on: the best sixteenth of those left is decided, then all that its kept
+    boxes suppress go. So boxes meet kept ones and those of their own lot only, not all others. Boxes without a score
+    neither suppress nor go.
+    """
+    columns = list(dict.fromkeys(["id", *by, *spatial.SIDES, "score"]))
+    left = written(boxes.where("score is not null").select(*columns), "boxes")
+    kept = [boxes.where("score is null").select("id")]
+    while n := left.count():
+        cut = left.agg(F.percentile_approx("score", 1 - max(_HEAD, _AT_ONCE / n), 1000)).first()[0] if n > _AT_ONCE else None  # one number
+        head = left if cut is None else left.where(F.col("score") >= cut)
+        good = written(left.join(_decided(head, by, most, size), "id", "left_semi"), "kept")
+        kept.append(good.select("id"))
+        if cut is None:
+            break
+        tail = left.where(F.col("score") < cut)
+        gone = spatial.box_pairs(good, tail, size, by=by).where(_over(most)).select("r.id").distinct()
+        left = written(tail.join(gone, "id", "left_anti"), "boxes")
+    return boxes.join(reduce(DataFrame.union, kept), "id", "left_semi")
+
+
+def _over(most: float) -> Column:
+    sides = lambda s: tuple(F.col(f"{s}.{x}") for x in spatial.SIDES)
+    return iou(sides("l"), sides("r")) > most
+
+
+def _decided(boxes: DataFrame, by: Sequence[str], most: float, size: float) -> DataFrame:
+    """The ids that suppress keeps of one lot.
+
     Greedy order without a global one: in each round a box with no undecided better overlapping box is kept, and what it
     suppresses goes; rounds go on until all are decided, and their number is the longest chain of overlaps. Each round is
     joins and aggregates over the overlapping pairs only.
     """
-    pairs = spatial.box_pairs(boxes, boxes, size)
-    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in by]
     better = (F.col("l.score") > F.col("r.score")) | ((F.col("l.score") == F.col("r.score")) & (F.col("l.id") < F.col("r.id")))
-    sides = lambda s: tuple(F.col(f"{s}.{x}") for x in spatial.SIDES)
-    over = pairs.where(better & (iou(sides("l"), sides("r")) > most))
-    for s in same:
-        over = over.where(s)
+    over = spatial.box_pairs(boxes, boxes, size, by=by).where(better & _over(most))
     over = written(over.select(F.col("l.id").alias("better"), F.col("r.id").alias("worse")), "overlaps")
     state = written(boxes.select("id", F.lit(None).cast("boolean").alias("kept")), "boxes")
     while True:
@@ -36,7 +64,7 @@ def suppress(boxes: DataFrame, by: Sequence[str], most: float, size: float = 64)
         new = state.join(seen, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("free", F.lit(True)), True).alias("kept"))
         state = written(new, "boxes")
         if state.where("kept is null").isEmpty():
-            return boxes.join(state.where("kept").select("id"), "id", "left_semi")
+            return state.where("kept").select("id")
 
 
 def median_around(halo: int) -> Callable[[np.ndarray], np.ndarray]:
