@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box_ring, contains
 from ..operators import grids, hierarchies, orders, raster, spatial
+from ..scratch import written
 from .base import Tables, query
 
 _TOUCH = "l.xmin < r.xmax AND r.xmin < l.xmax AND l.ymin < r.ymax AND r.ymin < l.ymax"
@@ -40,10 +43,13 @@ def buffer_join_first(t: Tables) -> DataFrame:
 
 @query("SELECT p.id AS point, b.id AS box FROM points p JOIN boxes b ON p.x >= b.xmin AND p.x < b.xmax AND p.y >= b.ymin AND p.y < b.ymax")
 def point_in_polygon_join(t: Tables) -> DataFrame:
+    """Points on one place lie in the same boxes: a place is looked at once, and its points join what holds it."""
     ring = box_ring(*(F.col(s) for s in spatial.SIDES))
-    points = t.points.withColumnRenamed("id", "point")
-    held = spatial.points_in_boxes(points, "x", "y", t.boxes.withColumn("ring", ring).withColumnRenamed("id", "box"), 64)
-    return held.where(contains(F.col("ring"), F.col("x").cast("double"), F.col("y").cast("double"))).select("point", "box")
+    places = spatial.dealt(t.points.select("x", "y").distinct(), "x", "y")
+    boxes = spatial.dealt(t.boxes.select(*spatial.SIDES, ring.alias("ring"), F.col("id").alias("box")), "box")
+    held = spatial.points_in_boxes(places.hint("merge"), "x", "y", boxes, 16)
+    inside = held.where(contains(F.col("ring"), F.col("x").cast("double"), F.col("y").cast("double"))).select("x", "y", "box")
+    return spatial.dealt(inside, "box").join(t.points, ["x", "y"]).select(F.col("id").alias("point"), "box")
 
 
 _CUT = "greatest(l.xmin, r.xmin) AS xmin, greatest(l.ymin, r.ymin) AS ymin, least(l.xmax, r.xmax) AS xmax, least(l.ymax, r.ymax) AS ymax"
@@ -97,7 +103,7 @@ SELECT a.id AS inner_id, b.id AS outer_id FROM d a JOIN d b ON a.img = b.img AND
 def box_containment(t: Tables) -> DataFrame:
     d = t.boxes.groupBy("img", *spatial.SIDES).agg(F.min("id").alias("id"))
     inside = (F.col("l.xmin") >= F.col("r.xmin")) & (F.col("l.ymin") >= F.col("r.ymin")) & (F.col("l.xmax") <= F.col("r.xmax")) & (F.col("l.ymax") <= F.col("r.ymax"))
-    return spatial.box_pairs(d, d, 64).where((F.col("l.img") == F.col("r.img")) & (F.col("l.id") != F.col("r.id")) & inside).select(F.col("l.id").alias("inner_id"), F.col("r.id").alias("outer_id"))
+    return spatial.box_pairs(d, d, 64, by=["img"]).where((F.col("l.id") != F.col("r.id")) & inside).select(F.col("l.id").alias("inner_id"), F.col("r.id").alias("outer_id"))
 
 
 @query("SELECT DISTINCT p.r, p.c, arg_max(t.id % 7 + 1, t.id) AS value FROM (SELECT DISTINCT r, c FROM px) p JOIN truths t ON p.c >= t.xmin AND p.c < t.xmax AND p.r >= t.ymin AND p.r < t.ymax GROUP BY 1, 2")
@@ -182,7 +188,15 @@ def bbox_intersection(t: Tables) -> DataFrame:
 SELECT id FROM a WHERE area > 75 AND NOT EXISTS (SELECT 1 FROM boxes l JOIN zones r ON {_TOUCH} WHERE l.id = a.id AND r.zone = 'NATION_3')""")
 def grid_semi_join(t: Tables) -> DataFrame:
     area = spatial.box_area(spatial.intersection())
-    wanted = spatial.box_pairs(t.boxes, t.truths, 64).groupBy(F.col("l.id").alias("id")).agg(F.sum(area).alias("area")).where("area > 75").select("id")
+    # Shares only add up, so a box is wanted as soon as a few truths of every cell are enough; only the others meet all.
+    cell = Window.partitionBy(F.floor(F.col("xmin") / 16), F.floor(F.col("ymin") / 16)).orderBy("id")
+    truths = t.truths.select("*", F.row_number().over(cell).alias("nth"))
+    left, found = t.boxes.select("id", *spatial.SIDES), []
+    for most in (4, 64, None):
+        pairs = spatial.box_pairs(left, truths if most is None else truths.where(F.col("nth") <= most), 64)
+        found.append(written(pairs.groupBy(F.col("l.id").alias("id")).agg(F.sum(area).alias("area")).where("area > 75").select("id"), "wanted"))
+        left = left.join(found[-1], "id", "left_anti")
+    wanted = reduce(DataFrame.union, found)
     barred = spatial.box_pairs(t.boxes, t.zones.where("zone = 'NATION_3'"), 64).select(F.col("l.id").alias("id"))
     return wanted.join(barred, "id", "left_anti")
 
