@@ -131,7 +131,7 @@ def shift_distribution(t: Tables) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT min(b1) AS lo, max(b1) AS hi FROM px)
-SELECT scene_id, r, c, round((b1 - lo) / nullif(CAST(hi - lo AS DOUBLE), 0), 6) AS b1, CAST(floor((b1 - lo) / nullif(CAST(hi - lo AS DOUBLE), 0) * 255) AS INT) AS b1_byte FROM px CROSS JOIN m""")
+SELECT scene_id, r, c, round(coalesce((b1 - lo) / nullif(CAST(hi - lo AS DOUBLE), 0), 0.0), 6) AS b1, CAST(floor(coalesce((b1 - lo) / nullif(CAST(hi - lo AS DOUBLE), 0), 0.0) * 255) AS INT) AS b1_byte FROM px CROSS JOIN m""")
 def rescale_minmax(t: Tables) -> DataFrame:
     m = t.px.agg(F.min("b1").alias("lo"), F.max("b1").alias("hi"))  # one row
     unit = raster.linear(F.col("b1"), F.col("lo"), F.col("hi"), 0.0, 1.0)
