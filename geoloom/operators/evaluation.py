@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..scratch import written
+from . import spatial
 from .orders import from_here_on, running
+from .rings import once
 
 
 def ranked(predictions: DataFrame, by: str, order: Sequence[Column]) -> DataFrame:
@@ -156,8 +158,10 @@ def qa_scores(pairs: DataFrame, key: str, ref: str, hyp: str) -> DataFrame:
 
 def rouge_n(pairs: DataFrame, key: str, ref: str, hyp: str, n: int) -> DataFrame:
     """key, f1 of the sets of runs of n words."""
-    grams = lambda c: F.array_distinct(text.ngrams(text.tokens(F.col(c)), n))
-    w = pairs.select(key, grams(ref).alias("r"), grams(hyp).alias("h"))
+    # Words are made once a text: within a run's expression Spark would make them again for every run.
+    words = once(spatial.dealt(pairs.select(key, ref, hyp), key), _r=text.tokens(F.col(ref)), _h=text.tokens(F.col(hyp)))
+    grams = lambda c: F.array_distinct(text.ngrams(F.col(c), n))
+    w = once(words.select(key, "_r", "_h"), r=grams("_r"), h=grams("_h"))
     return w.select(key, F.coalesce(F.try_divide(2.0 * F.size(F.array_intersect("r", "h")), (F.size("r") + F.size("h")).cast("double")), F.lit(0.0)).alias("f1"))
 
 
