@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.orders import running
+from ..operators.spatial import dealt
 from ..scratch import scratch
 from ..sources import files
 from .aggregates import zonal_class_area
@@ -26,7 +27,8 @@ def scan_tiles(t: Tables) -> DataFrame:
 @query("SELECT c_custkey AS id, c_name AS name, 'Point' AS geom_type, CAST((c_custkey * 7919) % 1000 AS DOUBLE) AS x, CAST((c_custkey * 104729) % 1000 AS DOUBLE) AS y FROM customer")
 def scan_geojson(t: Tables) -> DataFrame:
     path = scratch(t.spark, "geojson")
-    files.write_geojson_points(t.points.join(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id"), path)
+    named = t.points.join(t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), "id")
+    files.write_geojson_points(dealt(named, "id"), path)
     return files.read_geojson(t.spark, path)
 
 
