@@ -51,15 +51,19 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return _edges(ring, crosses) % 2 == 1
 
 
-def point_inside(ring: Column) -> Column:
-    """A point within: the centroid, or where that lies outside the middle of the longest run of the horizontal line through it."""
-    c = centroid(ring)
+def point_inside(ring: Column, middle: Column | None = None) -> Column:
+    """A point within: the centroid, or where that lies outside the middle of the longest run of the horizontal line through it.
+
+    middle: the centroid as a column, which spares making it again for every edge.
+    """
+    c = centroid(ring) if middle is None else middle
     x, y = c["x"], c["y"]
     ends = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(F.element_at(ring, i).alias("p"), F.element_at(ring, i + 1).alias("q")))
     met = F.filter(ends, lambda e: (e["p"]["y"] > y) != (e["q"]["y"] > y))
     xs = F.array_sort(F.transform(met, lambda e: (e["q"]["x"] - e["p"]["x"]) * (y - e["p"]["y"]) / (e["q"]["y"] - e["p"]["y"]) + e["p"]["x"]))
-    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1), lambda i: F.struct((F.get(xs, 2 * i + 1) - F.get(xs, 2 * i)).alias("wide"), ((F.get(xs, 2 * i + 1) + F.get(xs, 2 * i)) / 2).alias("x")))
-    return F.when(contains(ring, x, y), c).otherwise(point(F.array_max(runs)["x"], y))
+    runs = lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / 2).cast("int") - 1), lambda i: F.struct((F.get(v, 2 * i + 1) - F.get(v, 2 * i)).alias("wide"), ((F.get(v, 2 * i + 1) + F.get(v, 2 * i)) / 2).alias("x")))
+    longest = F.get(F.transform(F.array(xs), lambda v: F.array_max(runs(v))["x"]), F.lit(0))  # xs is made once
+    return F.when(contains(ring, x, y), c).otherwise(point(longest, y))
 
 
 def geodesic_area(ring: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text
 from ..functions.indices import NDVI_LEGEND
-from ..operators import detections, learned, orders, raster, spatial, vectors
+from ..operators import detections, learned, orders, raster, rings, spatial, vectors
 from ..scratch import written
 from .base import Tables, query
 
@@ -34,13 +34,15 @@ def geom_point_inside(t: Tables) -> DataFrame:
     corners = [(0, 0), (1, 0), (1, 0.1), (0.1, 0.1), (0.1, 1), (0, 1), (0, 0)]
     bent = F.array(*[g.point(x + w * a, y + h * b) for a, b in corners])
     shapes = triangles(t).where("xmax > xmin and ymax > ymin").select("id", F.when(F.col("id") % 2 == 0, bent).otherwise(F.col("ring")).alias("ring"))
-    return shapes.select("id", g.point_inside(F.col("ring")).alias("p")).select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    centred = rings.once(spatial.dealt(shapes, "id"), middle=g.centroid(F.col("ring")))
+    found = rings.once(centred, p=g.point_inside(F.col("ring"), F.col("middle")))
+    return found.select("id", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
 @query("""WITH s AS (SELECT id, x, y, unnest(range(0, 64)) AS i FROM points) SELECT id, CAST(i AS INT) AS i, round(x + 5 * cos(2 * pi() * i / 64), 6) + 0.0 AS px, round(y + 5 * sin(2 * pi() * i / 64), 6) + 0.0 AS py FROM s""")
 def geom_buffer_point(t: Tables) -> DataFrame:
     ring = g.circle(F.col("x"), F.col("y"), F.lit(5.0))
-    return t.points.select("id", F.posexplode(F.slice(ring, 1, 64)).alias("i", "p")).select("id", "i", F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"))
+    return spatial.dealt(t.points, "id").select("id", F.posexplode(F.slice(ring, 1, 64)).alias("i", "p")).select("id", "i", F.round("p.x", 6).alias("px"), F.round("p.y", 6).alias("py"))
 
 
 @query("""WITH c AS (SELECT id, unnest([1, 2, 3, 4, 5]) AS i, unnest([xmin, xmax, xmax, xmin, xmin]) AS x, unnest([ymin, ymin, ymax, ymax, ymin]) AS y FROM boxes),
