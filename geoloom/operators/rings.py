@@ -101,14 +101,14 @@ def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False)
         kept = layer.where(good).select("key", (paths if open_paths else _turned(paths)).alias("rings"))
         xs, ys = F.transform(F.get("rings", F.lit(0)), lambda p: p["x"]), F.transform(F.get("rings", F.lit(0)), lambda p: p["y"])
         sides = [f(v).alias(n) for f, v, n in ((F.array_min, xs, "xmin"), (F.array_min, ys, "ymin"), (F.array_max, xs, "xmax"), (F.array_max, ys, "ymax"))]
-        prepared.append(written(kept.select("key", "rings", *sides), "rings"))
+        prepared.append(written(spatial.dealt(kept.select("key", "rings", *sides), "key"), "rings"))
     l, r = prepared
 
     parts = F.flatten(F.transform("rings", lambda ring, i: F.transform(edges(ring), lambda e: F.struct(i.alias("part"), *[e[c].alias(c) for c in ("x1", "y1", "x2", "y2")]))))
     dealt = [along_cells(p.select("key", F.posexplode(parts).alias("at", "e")).select("key", "at", "e.*"), size) for p in (l, r)]
-    packed = [d.select(F.struct("key", "part", "at", "x1", "y1", "x2", "y2").alias(n), "gx", "gy") for d, n in zip(dealt, "lr", strict=True)]
+    packed = [spatial.dealt(d.select(F.struct("key", "part", "at", "x1", "y1", "x2", "y2").alias(n), "gx", "gy"), "gx", "gy") for d, n in zip(dealt, "lr", strict=True)]
     near = (F.least("l.x1", "l.x2") <= F.greatest("r.x1", "r.x2")) & (F.least("r.x1", "r.x2") <= F.greatest("l.x1", "l.x2")) & (F.least("l.y1", "l.y2") <= F.greatest("r.y1", "r.y2")) & (F.least("r.y1", "r.y2") <= F.greatest("l.y1", "l.y2"))
-    met = once(packed[0].join(packed[1], ["gx", "gy"]).where(near).select("l", "r"), cl=_contacts("l", "r"), cr=_contacts("r", "l")).where("size(cl) > 0")
+    met = once(packed[0].hint("merge").join(packed[1], ["gx", "gy"]).where(near).select("l", "r"), cl=_contacts("l", "r"), cr=_contacts("r", "l")).where("size(cl) > 0")
     dot = (F.col("l.x2") - F.col("l.x1")) * (F.col("r.x2") - F.col("r.x1")) + (F.col("l.y2") - F.col("l.y1")) * (F.col("r.y2") - F.col("r.y1"))
     along = (F.array_max("cl") - F.array_min("cl") > _NEAR) & (F.array_max("cr") - F.array_min("cr") > _NEAR)
     met = written(met.withColumns({"along": along, "same": along & (dot > 0)}), "contacts")
@@ -303,6 +303,9 @@ def rasterized(rings: DataFrame, by: str, value: str, order: Column, names: Sequ
             code = F.when(F.col(value) == name, i + 1).otherwise(code)
         layer = layer.withColumn(value, code)
     facts = layer.groupBy(by).agg(F.first(value).alias("_value"), F.first(order).alias("_order"))
-    cells = runs(layer, [by]).select(by, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    last = cells.join(facts, by).groupBy("r", "c").agg(F.max_by("_value", F.struct("_order", by)).alias("value"))
+    # Equal runs of many features leave one before they become cells.
+    rows = spatial.dealt(runs(spatial.dealt(layer.select(by, "ring"), by), [by]), by).hint("merge").join(facts, by)
+    top = rows.groupBy("r", "c0", "c1").agg(F.max_by(F.struct("_value", "_order", by), F.struct("_order", by)).alias("_top"))
+    cells = top.select("r", F.explode(F.sequence("c0", "c1")).alias("c"), "_top.*")
+    last = cells.groupBy("r", "c").agg(F.max_by("_value", F.struct("_order", by)).alias("value"))
     return last.withColumn("value", F.when(F.col("value") != 0, F.lit(single)).otherwise(F.col("value"))) if single is not None else last
