@@ -15,30 +15,37 @@ from ..scratch import written
 from . import spatial
 
 
-#: Boxes that are suppressed in one go, and the share of all where there are more.
-_AT_ONCE, _HEAD = 20_000, 1 / 16
+#: Boxes of the first lots. A lot with fewer overlaps a box than _CROWDED is followed by one of twice as many.
+_AT_ONCE, _CROWDED = 10_000, 8
+
+#: Overlaps of a lot that a task settles, as 24 bytes each; more take rounds of joins.
+_SETTLED = 1_000_000
 
 
 def suppress(boxes: DataFrame, by: Sequence[str], most: float, size: float = 64) -> DataFrame:
     """The boxes (id, sides, score, by) that no kept box of higher score (then lesser id) of their group overlaps by more than most.
 
-    Many boxes are worked on from the best scores on: the best sixteenth of those left is decided, then all that its kept
-    boxes suppress go. So boxes meet kept ones and those of their own lot only, not all others. Boxes without a score
-    neither suppress nor go.
+    Many boxes are worked on from the best scores on, lot by lot: a lot is decided, then all that its kept boxes suppress
+    go. So boxes meet kept ones and those of their own lot only, not all others. Lots stay small where boxes crowd, since
+    their overlaps grow with the square of a lot, and each takes a share of all that are left; elsewhere they double.
+    Boxes without a score neither suppress nor go.
     """
     columns = list(dict.fromkeys(["id", *by, *spatial.SIDES, "score"]))
-    left = written(boxes.where("score is not null").select(*columns), "boxes")
-    kept = [boxes.where("score is null").select("id")]
+    left = written(spatial.dealt(boxes.where("score is not null").select(*columns), "id"), "boxes")
+    kept, lot = [boxes.where("score is null").select("id")], _AT_ONCE
     while n := left.count():
-        cut = left.agg(F.percentile_approx("score", 1 - max(_HEAD, _AT_ONCE / n), 1000)).first()[0] if n > _AT_ONCE else None  # one number
+        cut = left.agg(F.percentile_approx("score", 1 - lot / n, 10_000)).first()[0] if n > lot else None  # one number
         head = left if cut is None else left.where(F.col("score") >= cut)
-        good = written(left.join(_decided(head, by, most, size), "id", "left_semi"), "kept")
+        over = _overlaps(head, by, most, size)
+        met = over.count()
+        good = written(head.join(_decided(head, over, met), "id", "left_semi"), "kept")
         kept.append(good.select("id"))
         if cut is None:
             break
         tail = left.where(F.col("score") < cut)
-        gone = spatial.box_pairs(good, tail, size, by=by).where(_over(most)).select("r.id").distinct()
+        gone = spatial.box_pairs(good, tail, size, by=by, few=good.count() <= _AT_ONCE).where(_over(most)).select("r.id").distinct()
         left = written(tail.join(gone, "id", "left_anti"), "boxes")
+        lot = lot if met > _CROWDED * lot else 2 * lot
     return boxes.join(reduce(DataFrame.union, kept), "id", "left_semi")
 
 
@@ -47,20 +54,37 @@ def _over(most: float) -> Column:
     return iou(sides("l"), sides("r")) > most
 
 
-def _decided(boxes: DataFrame, by: Sequence[str], most: float, size: float) -> DataFrame:
-    """The ids that suppress keeps of one lot.
+def _overlaps(boxes: DataFrame, by: Sequence[str], most: float, size: float) -> DataFrame:
+    """better, worse, score, lot: the ids of boxes that overlap by more than most, the score of the worse, and 0."""
+    better = (F.col("l.score") > F.col("r.score")) | ((F.col("l.score") == F.col("r.score")) & (F.col("l.id") < F.col("r.id")))
+    over = spatial.box_pairs(boxes, boxes, size, by=by).where(better & _over(most))
+    return written(over.select(F.col("l.id").alias("better"), F.col("r.id").alias("worse"), F.col("r.score").alias("score"), F.lit(0).alias("lot")), "overlaps")
+
+
+def _settled(over: pd.DataFrame) -> pd.DataFrame:
+    """The ids that go, of one lot's overlaps: from the best score on, a box goes if a better one that it overlaps has stayed."""
+    over = over.sort_values(["score", "worse"], ascending=[False, True])
+    worse, better = over["worse"].tolist(), over["better"].tolist()
+    gone = set()
+    for w, b in zip(worse, better, strict=True):
+        if b not in gone:
+            gone.add(w)
+    return pd.DataFrame({"id": pd.Series(list(gone), dtype=over["worse"].dtype)})
 
-    Greedy order without a global one: in each round a box with no undecided better overlapping box is kept, and what it
+
+def _decided(boxes: DataFrame, over: DataFrame, met: int) -> DataFrame:
+    """The ids that suppress keeps of one lot with met overlaps over. Few of them are settled in a task.
+
+    More: greedy order without a global one: in each round a box with no undecided better overlapping box is kept, and what it
     suppresses goes; rounds go on until all are decided, and their number is the longest chain of overlaps. Each round is
     joins and aggregates over the overlapping pairs only.
     """
-    better = (F.col("l.score") > F.col("r.score")) | ((F.col("l.score") == F.col("r.score")) & (F.col("l.id") < F.col("r.id")))
-    over = spatial.box_pairs(boxes, boxes, size, by=by).where(better & _over(most))
-    over = written(over.select(F.col("l.id").alias("better"), F.col("r.id").alias("worse")), "overlaps")
+    if met <= _SETTLED:
+        return boxes.select("id").join(over.groupBy("lot").applyInPandas(_settled, boxes.select("id").schema), "id", "left_anti")
     state = written(boxes.select("id", F.lit(None).cast("boolean").alias("kept")), "boxes")
     while True:
         good = F.col("better_kept")
-        seen = over.join(state.select(F.col("id").alias("better"), F.col("kept").alias("better_kept")), "better").groupBy(F.col("worse").alias("id")).agg(F.bool_or(F.coalesce(good, F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~good, F.lit(False))).alias("free"))
+        seen = over.select("better", "worse").join(state.select(F.col("id").alias("better"), F.col("kept").alias("better_kept")), "better").groupBy(F.col("worse").alias("id")).agg(F.bool_or(F.coalesce(good, F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~good, F.lit(False))).alias("free"))
         new = state.join(seen, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(F.coalesce("free", F.lit(True)), True).alias("kept"))
         state = written(new, "boxes")
         if state.where("kept is null").isEmpty():

@@ -36,8 +36,8 @@ def _starts(low: str, high: str, size: float, own: int, other: int) -> Column:
     return F.explode(F.concat(F.array(3 * first, 3 * first + own), F.when(last > first, on).otherwise(F.array().cast("array<bigint>"))))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, size: float, touching: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """Pairs of structs l and r of overlapping boxes, each once. by: columns in which both agree.
+def box_pairs(left: DataFrame, right: DataFrame, size: float, touching: bool = False, by: Sequence[str] = (), few: bool = False) -> DataFrame:
+    """Pairs of structs l and r of overlapping boxes, each once. by: columns in which both agree. few: left has a bounded number of rows, which go to all tasks, and right stays where it is.
 
     A pair meets in the cell with the lower left corner of its intersection. In each direction it has one of three kinds
     there (0: both start in the cell, 1: only l does, 2: only r does), and the kinds belong to the join's key, so that two
@@ -49,12 +49,14 @@ def box_pairs(left: DataFrame, right: DataFrame, size: float, touching: bool = F
     def placed(layer: DataFrame, name: str, own: int, other: int) -> DataFrame:
         x = layer.withColumn("_gx", _starts("xmin", "xmax", fine, own, other))
         both = x.withColumn("_gy", _starts("ymin", "ymax", fine, own, other))
-        return dealt(both.select(F.struct(*layer.columns).alias(name), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_gx", "_gy"), *keys)
+        return both.select(F.struct(*layer.columns).alias(name), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_gx", "_gy")
 
     keys = [*[f"_by{i}" for i in range(len(by))], "_gx", "_gy"]
     less = (lambda a, b: a <= b) if touching else (lambda a, b: a < b)
     overlap = less(F.col("l.xmin"), F.col("r.xmax")) & less(F.col("r.xmin"), F.col("l.xmax")) & less(F.col("l.ymin"), F.col("r.ymax")) & less(F.col("r.ymin"), F.col("l.ymax"))
-    return placed(left, "l", 1, 2).hint("merge").join(placed(right, "r", 2, 1), keys).where(overlap).select("l", "r")
+    l, r = placed(left, "l", 1, 2), placed(right, "r", 2, 1)
+    met = F.broadcast(l).join(r, keys) if few else dealt(l, *keys).hint("merge").join(dealt(r, *keys), keys)
+    return met.where(overlap).select("l", "r")
 
 
 #: Cells of the coarsest level are so many doublings larger than the finest.

@@ -69,6 +69,25 @@ def test_suppression_lot_by_lot(spark, monkeypatch, most):
     assert len(sizes) > 1 and max(sizes) < 120
 
 
+def test_lots_of_crowded_boxes_stay_small(spark, monkeypatch):
+    """A lot's overlaps grow with its square: a share of all boxes made too many at large tables."""
+    monkeypatch.setattr(detections, "_AT_ONCE", 40)
+    made = [(i, 0, i % 7, i % 5, i % 7 + 9, i % 5 + 9, float(i)) for i in range(4000)]
+    tables, written = [], detections.written
+    monkeypatch.setattr(detections, "written", lambda df, label: (tables.append((label, written(df, label))), tables[-1][1])[1])
+    got = sorted(r["id"] for r in detections.suppress(spark.createDataFrame(made, BOXES), ["img"], 0.0).collect())
+    assert got == _greedy(made, 0.0)
+    assert max(df.count() for label, df in tables if label == "overlaps") < 1600
+
+
+@pytest.mark.parametrize("settled", [0, 10**6])
+def test_lots_in_rounds_and_in_a_task(spark, monkeypatch, settled):
+    monkeypatch.setattr(detections, "_AT_ONCE", 60)
+    monkeypatch.setattr(detections, "_SETTLED", settled)
+    made = _boxes(11, 300)
+    assert sorted(r["id"] for r in detections.suppress(spark.createDataFrame(made, BOXES), ["img"], 0.1).collect()) == _greedy(made, 0.1)
+
+
 def test_matching_lot_by_lot(spark, monkeypatch):
     monkeypatch.setattr(evaluation, "_AT_ONCE", 40)
     made, truths = _boxes(8, 250), _boxes(9, 40)
