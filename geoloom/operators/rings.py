@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,35 +203,69 @@ def reprojected(ring: Column, project) -> Column:
 # -- convex clipping
 
 
-def _half_plane(path: Column, e: Column) -> Column:
-    """The part of an open path of corners left of the line of e, cut where it crosses."""
-    side = lambda p: (e["x2"] - e["x1"]) * (p["y"] - e["y1"]) - (e["y2"] - e["y1"]) * (p["x"] - e["x1"])
-    corners = F.transform(path, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), side(p).alias("d")))
-    steps = F.zip_with(corners, F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-
-    def kept(s: Column) -> Column:
-        p, q = s["p"], s["q"]
-        t = p["d"] / F.nullif(p["d"] - q["d"], F.lit(0.0))
-        cut, end = g.point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"])), g.point(q["x"], q["y"])
-        inside, stays = p["d"] >= 0, q["d"] >= 0
-        return F.when(inside & stays, F.array(end)).when(inside & (p["d"] > 0), F.array(cut)).when(~inside & stays, F.when(q["d"] > 0, F.array(cut, end)).otherwise(F.array(end))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
-
-    return F.flatten(F.transform(steps, kept))
+def _half_plane(x: np.ndarray, y: np.ndarray, n: np.ndarray, e: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of open paths of n corners each, one after the other in x and y, left of the line of their edge e (x1, y1, x2, y2), cut where they cross."""
+    own, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    x1, y1, x2, y2 = (v[own] for v in e)
+    d = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    after = np.arange(1, len(x) + 1)
+    some = n > 0
+    after[(first + n - 1)[some]] = first[some]
+    qx, qy, qd = x[after], y[after], d[after]
+    inside, stays = d >= 0, qd >= 0
+    cut = ((d > 0) & ~stays) | (~inside & (qd > 0))
+    out = cut.astype(np.int64) + stays
+    ends = np.cumsum(out)
+    xs, ys = np.empty(out.sum()), np.empty(out.sum())
+    t = d[cut] / (d[cut] - qd[cut])
+    at = (ends - out)[cut]
+    xs[at], ys[at] = x[cut] + t * (qx[cut] - x[cut]), y[cut] + t * (qy[cut] - y[cut])
+    xs[ends[stays] - 1], ys[ends[stays] - 1] = qx[stays], qy[stays]
+    return xs, ys, np.bincount(own, weights=out, minlength=len(n)).astype(np.int64)
+
+
+def _flat(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y of all corners of an array of paths, and their number in each."""
+    points = rings.flatten()
+    return *(points.field(c).to_numpy(zero_copy_only=False) for c in (0, 1)), pc.list_value_length(rings).to_numpy(zero_copy_only=False)
+
+
+_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+
+def _clipped(rings: Column, mask: Column) -> Column:
+    """The corners of each ring's part within a convex mask that runs counter-clockwise."""
+    return F.arrow_udf(_clipped_batch, "array<array<struct<x:double,y:double>>>")(rings, mask)
+
+
+def _clipped_batch(rings: pa.Array, masks: pa.Array) -> pa.Array:
+    """_clipped for a batch: all its rings are cut by their masks' next side at once."""
+    of = pc.list_value_length(rings).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(of)), of)
+    x, y, n = _flat(rings.flatten())
+    last = np.cumsum(n)[n > 0] - 1
+    open_ends = np.ones(len(x), bool)
+    open_ends[last] = False
+    x, y, n = x[open_ends], y[open_ends], np.maximum(n - 1, 0)
+    mx, my, sides = _flat(masks)
+    begin = np.cumsum(sides) - sides
+    for k in range(max(sides.max(initial=0) - 1, 0)):
+        at = np.where(k + 1 < sides, begin + k, -1)[row]
+        has = at >= 0
+        at, to = np.where(has, at, 0), np.where(has, at + 1, 0)
+        e = mx[at], my[at], mx[to], my[to]
+        # A side of no length, and so one that the mask doesn't have, leaves what is there: all corners lie on its line.
+        x, y, n = _half_plane(x, y, n, e)
+    inner = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), pa.StructArray.from_arrays([pa.array(x), pa.array(y)], fields=list(_POINT)))
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(of)]).astype(np.int32), inner)
 
 
 def clip_convex(ring: Column, mask: Column) -> Column:
     """The part of ring within a convex mask, closed; null where they share no area. Of a ring with bays the part may hang together by edges of no width; its area is exact."""
-    closed = _closed(_clipped(ring, counter_clockwise(mask)))
+    closed = _closed(F.get(_clipped(F.array(ring), counter_clockwise(mask)), F.lit(0)))
     return F.when(g.area(closed) > 0, closed)
 
 
-def _clipped(ring: Column, mask: Column) -> Column:
-    """The corners of ring's part within a convex mask that runs counter-clockwise."""
-    # The result's field types are set so that the folded state keeps one type.
-    start = F.transform(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), lambda p: g.point(p["x"], p["y"])).cast("array<struct<x:double,y:double>>")
-    return F.aggregate(edges(mask), start, lambda path, e: _half_plane(path, e).cast("array<struct<x:double,y:double>>"))
-
-
 def _closed(path: Column) -> Column:
     return F.when(F.size(path) > 2, F.concat(path, F.slice(path, 1, 1)))
 
@@ -239,20 +276,20 @@ def overlay(left: DataFrame, right: DataFrame, size: float = 64, least_area: flo
     Where left has rings instead (a shell and its holes), so has the result: the parts of the shell and of the holes within
     the mask, whose even-odd fill is the shared part. Holes without a part there go.
     """
-    rows, holes = [], "rings" in left.columns
-    for layer, shell in ((left, F.get("rings", F.lit(0)) if holes else F.col("ring")), (right, F.col("ring"))):
+    holes = "rings" in left.columns
+    shells, paths = (F.get("rings", F.lit(0)), _turned(F.col("rings"))) if holes else (F.col("ring"), F.array("ring"))
+    rows = []
+    for layer, shell, path in ((left, shells, paths), (right, F.col("ring"), counter_clockwise(F.col("ring")))):
         sides = dict(zip(spatial.SIDES, g.bounds(shell), strict=True))
-        rows.append(layer.where(g.valid(shell)).select(F.struct(*layer.columns).alias("feature"), *[v.alias(k) for k, v in sides.items()]))
-    pairs = spatial.mixed_box_pairs(rows[0], rows[1], size).select(F.col("l.feature").alias("l"), F.col("r.feature").alias("r"))
-    turned = once(pairs, _mask=counter_clockwise(F.col("r.ring")))
+        rows.append(layer.where(g.valid(shell)).select(F.struct(*layer.columns).alias("feature"), path.alias("path"), *[v.alias(k) for k, v in sides.items()]))
+    pairs = spatial.mixed_box_pairs(rows[0], rows[1], size).select(F.col("l.feature").alias("l"), F.col("r.feature").alias("r"), _clipped(F.col("l.path"), F.col("r.path")).alias("_paths")).where("size(_paths[0]) > 2")
     if holes:
-        paths = once(once(turned, _whole=_turned(F.col("l.rings"))), _paths=F.transform("_whole", lambda ring: _clipped(ring, F.col("_mask")))).where("size(_paths[0]) > 2")
-        parts = once(paths, _parts=F.transform("_paths", lambda p: F.struct(_closed(p).alias("ring"), F.coalesce(g.area(_closed(p)), F.lit(0.0)).alias("area"))))
+        parts = once(pairs, _parts=F.transform("_paths", lambda p: F.struct(_closed(p).alias("ring"), F.coalesce(g.area(_closed(p)), F.lit(0.0)).alias("area"))))
         held = F.concat(F.slice("_parts", 1, 1), F.filter(F.slice("_parts", 2, F.size("_parts")), lambda p: p["area"] > 0))
         total = F.aggregate(F.slice("_parts", 2, F.size("_parts")), F.get("_parts", F.lit(0))["area"], lambda s, p: s - p["area"])
         cut = once(parts, rings=F.transform(held, lambda p: p["ring"]), area=total)
     else:
-        cut = once(once(turned, _path=_clipped(F.col("l.ring"), F.col("_mask"))).where("size(_path) > 2"), ring=_closed(F.col("_path")))
+        cut = once(pairs, ring=_closed(F.get("_paths", F.lit(0))))
         cut = once(cut, area=g.area(F.col("ring")))
     return cut.where((F.col("area") > 0) & (F.col("area") > least_area)).select("l", "r", "rings" if holes else "ring", "area")
 

@@ -244,6 +244,26 @@ def test_clip_of_a_ring_with_bays(spark):
     assert row.select(g.area(rings.clip_convex(F.col("p"), F.col("q")))).first()[0] == sum(y >= 2 for _, y in cells)
 
 
+def test_overlays_are_clipped_by_the_batch(spark):
+    """A pair costs no folds of expressions: the clip runs over batches of pairs, masks are turned once a mask."""
+    layer = spark.createDataFrame([(1, closed([(0, 0), (4, 0), (0, 4)]))], LAYER)
+    over = rings.overlay(layer, layer, 4)
+    lines = over._jdf.queryExecution().executedPlan().toString().splitlines()
+    clips, joins = ([i for i, line in enumerate(lines) if word in line] for word in ("ArrowEvalPython", "SortMergeJoin"))
+    assert clips and joins and min(clips) < min(joins)
+    assert not any("reverse" in line for line in lines[: min(joins)])
+
+
+def test_clip_of_a_batch_with_parts_that_vanish(spark):
+    """Rings that leave nothing, masks of other numbers of sides and sides of no length stand between others of a batch."""
+    square, far = closed([(0, 0), (4, 0), (4, 4), (0, 4)]), closed([(9, 9), (10, 9), (10, 10)])
+    doubled, corner = closed([(1, 1), (1, 1), (3, 1), (3, 1), (3, 3)]), closed([(2, 2), (6, 2), (6, 6), (2, 6)])
+    made = [(square, far, None), (square, doubled, 2.0), (far, square, None), (square, corner, 4.0), (corner, square, 4.0), (far, corner, None), (far, far, 0.5)]
+    rows = spark.createDataFrame([(i, *m) for i, m in enumerate(made)], "id int, p array<struct<x:double,y:double>>, q array<struct<x:double,y:double>>, want double").coalesce(1)
+    got = rows.select("want", g.area(rings.clip_convex(F.col("p"), F.col("q"))).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
 def test_empty_clips_are_errors(spark):
     square = spark.createDataFrame([(1, closed([(0, 0), (4, 0), (4, 4), (0, 4)]))], LAYER)
     beside = spark.createDataFrame([(2, closed([(4, 0), (8, 0), (8, 4), (4, 4)]))], LAYER)
