@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..scratch import written
-from . import spatial
+from . import ringpairs, spatial
 
 #: A contact's place along an edge is told from the next one above this share of the edge.
 _NEAR = 1e-12
 
+#: Corners of features that are told pair by pair: 64 squared pairs of edges at most.
+_FEW = 64
+
 
 def once(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with more columns, each computed once: a generator of one row stands between them and whatever uses them, across which Spark copies no expression."""
@@ -92,9 +95,8 @@ def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False)
     boundary (or line) lies strictly inside or outside the other feature, same that both boundaries share a part with their insides
     on one side. Rings without an area take no part; rings that cross themselves have no defined result.
 
-    Edges are dealt to the cells along them and joined there, so that only near edges meet. Every contact cuts its edges; a
-    piece between two cuts lies inside, outside or along, told by its middle. A part of a ring between two contacts ends
-    on an edge with a contact, so edges without one need no look. Rings without a contact are told by one point of each.
+    Pairs of features of at most _FEW corners are told in batches, a row each (ringpairs). Others go by their edges, so
+    that only near edges meet.
     """
     prepared, holes = [], "rings" in left.columns or "rings" in right.columns
     for layer, open_paths in ((left, lines), (right, False)):
@@ -104,9 +106,29 @@ def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False)
         kept = layer.where(good).select("key", (paths if open_paths else _turned(paths)).alias("rings"))
         xs, ys = F.transform(F.get("rings", F.lit(0)), lambda p: p["x"]), F.transform(F.get("rings", F.lit(0)), lambda p: p["y"])
         sides = [f(v).alias(n) for f, v, n in ((F.array_min, xs, "xmin"), (F.array_min, ys, "ymin"), (F.array_max, xs, "xmax"), (F.array_max, ys, "ymax"))]
-        prepared.append(written(spatial.dealt(kept.select("key", "rings", *sides), "key"), "rings"))
-    l, r = prepared
+        few = F.size(F.flatten("rings")) <= _FEW
+        prepared.append(written(spatial.dealt(kept.select("key", "rings", *sides, few.alias("few")), "key"), "rings"))
+    (l, l_few, l_many), (r, r_few, r_many) = [(p.drop("few"), p.where("few").drop("few"), p.where("not few").drop("few")) for p in prepared]
+    pairs = spatial.mixed_box_pairs(l_few, r_few, size, touching=True)
+
+    def told(a: pa.Array, b: pa.Array) -> pa.Array:
+        return ringpairs.related(a, b, _NEAR, lines)
+
+    flags = F.arrow_udf(told, f"struct<{', '.join(f'{f}: boolean' for f in ringpairs.FLAGS)}>")("l.rings", "r.rings")
+    found = pairs.select(F.col("l.key").alias("l"), F.col("r.key").alias("r"), flags.alias("_told")).select("l", "r", "_told.*")
+    for a, b in ((l_many, r), (l_few, r_many)):
+        if not (l_many if a is l_many else r_many).isEmpty():
+            found = found.unionByName(_by_edges(a, b, size, lines, holes))
+    return found
+
 
+def _by_edges(l: DataFrame, r: DataFrame, size: float, lines: bool, holes: bool) -> DataFrame:
+    """relate of prepared layers (key, rings, sides) by joins of their edges.
+
+    Edges are dealt to the cells along them and joined there, so that only near edges meet. Every contact cuts its edges; a
+    piece between two cuts lies inside, outside or along, told by its middle. A part of a ring between two contacts ends
+    on an edge with a contact, so edges without one need no look. Rings without a contact are told by one point of each.
+    """
     parts = F.flatten(F.transform("rings", lambda ring, i: F.transform(edges(ring), lambda e: F.struct(i.alias("part"), *[e[c].alias(c) for c in ("x1", "y1", "x2", "y2")]))))
     dealt = [along_cells(p.select("key", F.posexplode(parts).alias("at", "e")).select("key", "at", "e.*"), size) for p in (l, r)]
     packed = [spatial.dealt(d.select(F.struct("key", "part", "at", "x1", "y1", "x2", "y2").alias(n), "gx", "gy"), "gx", "gy") for d, n in zip(dealt, "lr", strict=True)]

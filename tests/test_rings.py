@@ -244,6 +244,22 @@ def test_clip_of_a_ring_with_bays(spark):
     assert row.select(g.area(rings.clip_convex(F.col("p"), F.col("q")))).first()[0] == sum(y >= 2 for _, y in cells)
 
 
+@pytest.mark.parametrize("lines", [False, True])
+def test_pairs_told_in_batches_and_by_edges_agree(spark, monkeypatch, lines):
+    """Small features are told pair by pair, without a join of their edges; large ones, alone or among small ones, give the same flags by their edges."""
+    features = spark.createDataFrame([(i, [closed(p) for p in paths]) for i, paths, _ in with_holes(31, 20)], "key long, rings array<array<struct<x:double,y:double>>>")
+    left = features.select("key", F.get("rings", F.lit(0)).alias("ring")) if lines else features
+    found, calls = [], []
+    by_edges = rings._by_edges
+    monkeypatch.setattr(rings, "_by_edges", lambda *rest: (calls.append(1), by_edges(*rest))[1])
+    for few in (0, 10, 64):
+        monkeypatch.setattr(rings, "_FEW", few)
+        calls.clear()
+        found.append(sorted(map(tuple, rings.relate(left, features, 4, lines).select("l", "r", "contact", "l_in", "l_out", "r_in", "r_out", "same").collect())))
+        assert bool(calls) == (few < 64)
+    assert found[0] == found[1] == found[2] and len(found[0]) > 50
+
+
 def test_overlays_are_clipped_by_the_batch(spark):
     """A pair costs no folds of expressions: the clip runs over batches of pairs, masks are turned once a mask."""
     layer = spark.createDataFrame([(1, closed([(0, 0), (4, 0), (0, 4)]))], LAYER)
