@@ -21,7 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, row_keys, written
@@ -33,7 +33,7 @@ SHALLOW = 64
 GROUP = 4096
 #: Strings that a task sorts at once, and entries of tree nodes that it looks at at once.
 BATCH, ENTRIES = 1 << 14, 1 << 18
-SPANS = "rid long, sid long, length int, begin long, end long"
+SPANS = "rid long, sid long, spans array<struct<begin:bigint,end:bigint,length:int>>"
 SORTED = "one long, two long, rid long, sid long, begin long, place int, single boolean, text binary"
 
 
@@ -334,22 +334,25 @@ def merged(owner: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
 
 
 def _sorted_groups(lengths: Sequence[int]):
-    """Rows of SORTED, by (one, two): spans of the single ones."""
+    """Rows of SORTED, by (one, two): a row with all spans of each single one that has any."""
 
     def settle(rows: pa.Table) -> pa.RecordBatch:
         one, two = get_from(rows, "one"), get_from(rows, "two")
         group = np.cumsum(np.concatenate([[False], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
         several = np.flatnonzero(np.bincount(group)[group] > 1)
         rows, group = rows.take(pa.array(several)), group[several]
-        columns = [np.zeros(0, np.int64)] * 5
+        text = length = begin = end = np.zeros(0, np.int64)
         if len(several):
             data, offsets = bytes_of(rows.column("text"))
-            text, length, begin, end = repeated(data, offsets, get_from(rows, "place").astype(np.int64), group, lengths)
+            text, length, begin, end = repeated(data, offsets, get_from(rows, "place").astype(np.int64), group, lengths)  # texts ascend
             single = get_from(rows, "single")[text]
             text, length, begin, end = text[single], length[single], begin[single], end[single]
             shift = get_from(rows, "begin")[text]
-            columns = [get_from(rows, "rid")[text], get_from(rows, "sid")[text], length, begin + shift, end + shift]
-        return pa.RecordBatch.from_arrays([pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["rid", "sid", "length", "begin", "end"])
+            begin, end = begin + shift, end + shift
+        owner, first = np.unique(text, return_index=True)
+        flat = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(length, pa.int32())], names=["begin", "end", "length"])
+        spans = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(text)], pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([pa.array(get_from(rows, c)[owner], pa.int64()) for c in ("rid", "sid")] + [spans], names=["rid", "sid", "spans"])
 
     def get_from(rows: pa.Table, column: str) -> np.ndarray:
         return rows.column(column).combine_chunks().to_numpy(zero_copy_only=False)
@@ -377,7 +380,7 @@ def _sorted_groups(lengths: Sequence[int]):
 
 
 def _cut_texts():
-    """Rows (rid, sid, text, list of anchors): the text around each anchor, as rows of SORTED."""
+    """Rows (rid, sid, text, list of anchors): the text around each anchor, as rows of SORTED, and whether its group is large."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -392,8 +395,8 @@ def _cut_texts():
                 cut = slice(i, i + 4096)
                 texts = pa.array([data[a : a + n].tobytes() for a, n in zip(low[cut].tolist(), size[cut].tolist(), strict=True)], pa.binary())
                 mine = pa.array(owner[cut])
-                columns = [pa.array(get("shared")[cut]), pa.array(np.zeros(len(texts), np.int64)), batch.column(0).take(mine), batch.column(1).take(mine), pa.array(begin[cut]), pa.array(place[cut]), pa.array(get("single")[cut]), texts]
-                yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "rid", "sid", "begin", "place", "single", "text"])
+                columns = [pa.array(get("shared")[cut]), pa.array(np.zeros(len(texts), np.int64)), batch.column(0).take(mine), batch.column(1).take(mine), pa.array(begin[cut]), pa.array(place[cut]), pa.array(get("single")[cut]), texts, pa.array(get("large")[cut])]
+                yield pa.RecordBatch.from_arrays(columns, names=["one", "two", "rid", "sid", "begin", "place", "single", "text", "large"])
 
     return found
 
@@ -430,13 +433,17 @@ def _dealt_again(lengths: Sequence[int]):
 # -- the operator -----------------------------------------------------------------------------------------------------
 
 
+def _span(begin: Column, end: Column, length: Column) -> Column:
+    return F.struct(begin.cast("long").alias("begin"), end.cast("long").alias("end"), length.cast("int").alias("length"))
+
+
 def _small_groups(rows: DataFrame, lengths: Sequence[int], k: int) -> tuple[DataFrame, DataFrame]:
     """(rows of SORTED in groups that a task can sort, spans that are settled on the way) of the rows of large groups."""
     pending, small, settled = rows.withColumns({"before": F.lit(0), "after": F.lit(k), "whole": F.lit(0)}), [], []
     while True:
         dealt = written(pending.mapInArrow(_dealt_again(lengths), f"{SORTED}, before int, after int, whole int"), "dealt-again")
         at = F.col("begin") + F.col("place")
-        settled.append(dealt.where("whole > 0").select("rid", "sid", F.col("whole").alias("length"), (at - F.col("before")).alias("begin"), (at + F.col("after")).alias("end")))
+        settled.append(dealt.where("whole > 0").select("rid", "sid", F.array(_span(at - F.col("before"), at + F.col("after"), F.col("whole"))).alias("spans")))
         groups = dealt.where("whole = 0")
         sizes = written(groups.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1"), "group-sizes")
         small.append(groups.join(sizes.where(f"n <= {GROUP}").select("one", "two"), ["one", "two"], "left_semi").drop("before", "after", "whole"))
@@ -446,7 +453,7 @@ def _small_groups(rows: DataFrame, lengths: Sequence[int], k: int) -> tuple[Data
 
 
 def repeated_spans(docs: DataFrame, lengths: Sequence[int], k: int = 32) -> DataFrame:
-    """(rid, sid, length, begin, end) of the rows of docs (doc_id, text; see common.row_keys): bytes of windows of a length that start elsewhere too."""
+    """(rid, sid, spans) of the rows of docs (doc_id, text; see common.row_keys), a row an anchor or more: (begin, end, length) of bytes of windows of a length that start elsewhere too."""
     bounded_batches(docs.sparkSession)
     lengths = sorted(set(lengths))
     k = min(k, lengths[0])
@@ -460,30 +467,29 @@ def repeated_spans(docs: DataFrame, lengths: Sequence[int], k: int = 32) -> Data
     classes = known.groupBy("shared", "around").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("rid", "sid", "at")])
     strings_of = classes.groupBy("shared").agg(F.count("*").alias("strings"))
     surroundings = written(classes.join(strings_of, "shared"), "surroundings")
-    several = surroundings.where("strings > 1").withColumn("single", F.col("n") == 1)
+    several = surroundings.where("strings > 1").withColumns({"single": F.col("n") == 1, "large": F.col("strings") > GROUP})
     texts = keyed.groupBy("rid", "sid").agg(F.first("text").alias("text"))
 
-    def cut(chosen: DataFrame) -> DataFrame:
-        lists = chosen.groupBy("rid", "sid").agg(F.collect_list(F.struct("shared", "at", "single")).alias("list"))
-        return texts.join(lists, ["rid", "sid"]).select("rid", "sid", "text", "list").mapInArrow(_cut_texts(), SORTED)
-
-    strings, spans = cut(several.where(f"strings <= {GROUP}")), []
+    lists = several.groupBy("rid", "sid").agg(F.collect_list(F.struct("shared", "at", "single", "large")).alias("list"))
+    cut = texts.join(lists, ["rid", "sid"]).select("rid", "sid", "text", "list").mapInArrow(_cut_texts(), f"{SORTED}, large boolean")
+    strings, spans = cut.drop("large"), []
     if (surroundings.agg(F.max("strings")).first()[0] or 0) > GROUP:
-        small, settled = _small_groups(cut(several.where(f"strings > {GROUP}")), lengths, k)
-        strings, spans = strings.unionByName(small), [settled]
+        cut = written(cut, "strings")  # once for both: texts are shuffled for it
+        small, settled = _small_groups(cut.where("large").drop("large"), lengths, k)
+        strings, spans = cut.where("not large").drop("large").unionByName(small), [settled]
     dealt = strings.repartition("one", "two").sortWithinPartitions("one", "two")
     spans.append(dealt.mapInArrow(_sorted_groups(lengths), SPANS))
     twice = surroundings.where("n > 1").select("shared", "around")
     begin, size = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFF)
     whole = known.join(twice, ["shared", "around"], "left_semi").select("rid", "sid", begin.alias("begin"), (begin + size).alias("end"))
-    each = whole.select("rid", "sid", F.explode(F.array(*[F.lit(x) for x in lengths])).alias("length"), "begin", "end")
-    return reduce(DataFrame.unionByName, spans, each.where("end - begin >= length"))
+    each = F.filter(F.array(*[_span(F.col("begin"), F.col("end"), F.lit(x)) for x in lengths]), lambda x: x["end"] - x["begin"] >= x["length"])
+    return reduce(DataFrame.unionByName, spans, whole.where(f"end - begin >= {lengths[0]}").select("rid", "sid", each.alias("spans")))
 
 
 def covered(docs: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """(rid, sid, spans): for each row with repeated bytes, the sorted list of its repeated spans (begin, end, length), bytes of the UTF-8 text."""
     spans = repeated_spans(docs, lengths)
-    return spans.groupBy("rid", "sid").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "length"))).alias("spans"))
+    return spans.groupBy("rid", "sid").agg(F.sort_array(F.flatten(F.collect_set("spans"))).alias("spans"))
 
 
 def _runs(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
