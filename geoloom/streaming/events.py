@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,25 +73,63 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if was is None else spark.conf.set(key, was)
 
 
-class LastClear(StatefulProcessor):
-    """Each row's value, or the last one that was clear where its own is null, in the order of (ts, event_id) however the rows arrive.
+#: A waiting row: microseconds, event, number of arrival, user and clear value (NaN: none).
+_ROW = np.dtype([("us", "<i8"), ("event_id", "<i8"), ("number", "<i8"), ("user_id", "<i8"), ("clear", "<f8")])
+_ORDER = ("us", "event_id", "number")
+
+
+def _in_order(rows: np.ndarray) -> np.ndarray:
+    return rows[np.lexsort([rows[c] for c in reversed(_ORDER)])]
+
+
+def _after(rows: np.ndarray, done: tuple[int, int, int] | None) -> np.ndarray:
+    """The rows that come later than done in the order of _ORDER."""
+    if done is None:
+        return rows
+    us, event, number = (rows[c] for c in _ORDER)
+    return rows[(us > done[0]) | ((us == done[0]) & ((event > done[1]) | ((event == done[1]) & (number > done[2]))))]
+
 
-    Rows wait in a list until the watermark has passed them, when no earlier one can come; a timer at the first one
-    waiting lets them go, CHUNK at a time, and those still waiting move on to a second list, which takes the first one's
-    place. Besides the lists a key's state is the last clear value and the timer. So late rows within the watermark's delay
-    get the answer of a batch, and no task holds more than CHUNK rows of a key; rows later than that are dropped by Spark.
+def _fill(rows: np.ndarray, known: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rows (in order) by user, with their filled values, and the users (in order) with a clear value so far and their last one. known, last: those before."""
+    rows = rows[np.argsort(rows["user_id"], kind="stable")]
+    user, at = rows["user_id"], np.arange(len(rows))
+    starts = np.flatnonzero(np.concatenate([[True], user[1:] != user[:-1]]))
+    first = np.repeat(starts, np.diff(np.append(starts, len(rows))))
+    clear = np.maximum.accumulate(np.where(np.isnan(rows["clear"]), -1, at))
+    filled = np.where(clear >= first, rows["clear"][clear], np.nan)
+    if len(known):
+        place = np.minimum(np.searchsorted(known, user), len(known) - 1)
+        filled = np.where((clear < first) & (known[place] == user), last[place], filled)
+    ends = np.append(starts[1:], len(rows)) - 1
+    ends = ends[~np.isnan(filled[ends])]
+    rest = ~np.isin(known, user[ends])
+    users, values = np.concatenate([known[rest], user[ends]]), np.concatenate([last[rest], filled[ends]])
+    order = np.argsort(users)
+    return rows, filled, users[order], values[order]
+
+
+class LastClear(StatefulProcessor):
+    """Each row's value, or the user's last one that was clear where its own is null, in the order of (ts, event_id) however the rows arrive.
+
+    A key is a bucket of users, so that the calls to the state are shared by many of them. Rows wait in blocks of CHUNK at
+    most until the watermark has passed them, when no earlier one can come; a timer at the first one waiting lets them go,
+    CHUNK at a time, and those still waiting are put together to new blocks. Besides the blocks a key's state is
+    the last clear value of each of its users, the numbers of its blocks and the timer. So late rows within the
+    watermark's delay get the answer of a batch, and no task holds more than a few times CHUNK rows, also of one frequent user;
+    rows later than that are dropped by Spark.
     """
 
-    CHUNK = 10_000
+    CHUNK = 100_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.lists = [handle.getListState(f"waiting{i}", "ts long, event_id long, number long, clear double") for i in (0, 1)]
-        self.state = handle.getValueState("state", "last double, list int, number long, timer long")
+        self.blocks = handle.getMapState("blocks", "block long", "rows binary")
+        self.state = handle.getValueState("state", "users binary, last binary, first long, end long, waiting long, number long, timer long")
 
-    def _wait(self, timer: int | None, ts: int) -> int:
-        """The key's timer, not later than just after ts (microseconds)."""
-        wanted = ts // 1000 + 1
+    def _wait(self, timer: int | None, us: int) -> int:
+        """The key's timer, not later than just after us (microseconds)."""
+        wanted = us // 1000 + 1
         if timer is not None and timer <= wanted:
             return timer
         if timer is not None:
@@ -99,41 +137,70 @@ class LastClear(StatefulProcessor):
         self.handle.registerTimer(wanted)
         return wanted
 
+    def _block(self, number: int) -> np.ndarray:
+        return np.frombuffer(bytes(self.blocks.getValue((number,))[0]), _ROW)
+
+    def _put(self, number: int, rows: np.ndarray) -> None:
+        self.blocks.updateValue((number,), (rows.tobytes(),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, at, number, timer = self.state.get() if self.state.exists() else (None, 0, 0, None)
+        users, last, first, end, waiting, number, timer = self.state.get() if self.state.exists() else (b"", b"", 0, 0, 0, 0, None)
         for frame in rows:
             for begin in range(0, len(frame), self.CHUNK):
                 part = frame.iloc[begin : begin + self.CHUNK]
-                clear = [None if pd.isna(v) else float(v) for v in part["clear"]]
-                self.lists[at].appendList(list(zip(part["us"].tolist(), part["event_id"].tolist(), range(number, number + len(part)), clear, strict=True)))
-                number += len(part)
-                timer = self._wait(timer, int(part["us"].min()))
-        self.state.update((last, at, number, timer))
+                block = np.empty(len(part), _ROW)
+                for c in ("us", "event_id", "user_id", "clear"):
+                    block[c] = part[c].to_numpy(_ROW[c], na_value=np.nan) if c == "clear" else part[c].to_numpy()
+                block["number"] = np.arange(number, number + len(part))
+                self._put(end, block)
+                end, waiting, number = end + 1, waiting + len(part), number + len(part)
+                timer = self._wait(timer, int(block["us"].min()))
+        self.state.update((bytes(users), bytes(last), first, end, waiting, number, timer))
         return iter(())
 
+    def _earliest(self, blocks: Iterable[np.ndarray], done: tuple[int, int, int] | None, passed: int) -> np.ndarray:
+        """The first CHUNK of the rows later than done that the watermark has passed, in order."""
+        held, size = [np.empty(0, _ROW)], 0
+        for rows in blocks:
+            held.append(_after(rows[rows["us"] <= passed], done))
+            size += len(held[-1])
+            if size > 2 * self.CHUNK:
+                held = [_in_order(np.concatenate(held))[: self.CHUNK]]
+                size = self.CHUNK
+        return _in_order(np.concatenate(held))[: self.CHUNK]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, at, number, _ = self.state.get()
-        passed, done = timerValues.getCurrentWatermarkInMs() * 1000, (-(1 << 63), 0, 0)
-        while chunk := heapq.nsmallest(self.CHUNK, (r for r in self.lists[at].get() if done < tuple(r[:3]) and r[0] <= passed), key=lambda r: tuple(r[:3])):
-            filled = []
-            for row in chunk:
-                last = last if row[3] is None or row[3] != row[3] else row[3]
-                filled.append(last)
-            done = tuple(chunk[-1][:3])
-            yield pd.DataFrame({"key": [key[0]] * len(chunk), "event_id": [r[1] for r in chunk], "filled": pd.Series(filled, dtype="float64")})
-        # A row of the old list at a time, so that what still waits isn't held either.
-        timer, kept = None, []
-        for row in self.lists[at].get():
-            if row[0] > passed:
-                kept.append(tuple(row))
-                timer = self._wait(timer, row[0])
-            if len(kept) == self.CHUNK:
-                self.lists[1 - at].appendList(kept)
+        users, last, first, end, waiting, number, _ = self.state.get()
+        known, last = np.frombuffer(bytes(users), "<i8"), np.frombuffer(bytes(last), "<f8")
+        passed, done, old = timerValues.getCurrentWatermarkInMs() * 1000, None, range(first, end)
+        # Few rows are read once; of more, a block at a time is held, and read again for each chunk.
+        all_of_them = [self._block(i) for i in old] if waiting <= self.CHUNK else None
+        blocks = lambda: all_of_them or (self._block(i) for i in old)
+        more = True
+        while more and len(chunk := self._earliest(blocks(), done, passed)):
+            done, more = tuple(int(chunk[c][-1]) for c in _ORDER), len(chunk) == self.CHUNK
+            rows, filled, known, last = _fill(chunk, known, last)
+            yield pd.DataFrame({"key": key[0], "user_id": rows["user_id"], "event_id": rows["event_id"], "filled": filled})
+        timer, kept, waiting = None, [], 0
+        for rows in blocks():
+            kept.append(rows[rows["us"] > passed])
+            if sum(map(len, kept)) >= self.CHUNK:
+                waiting, end, timer = self._keep(kept, waiting, end, timer)
                 kept = []
-        if kept:
-            self.lists[1 - at].appendList(kept)
-        self.lists[at].clear()
-        self.state.update((last, 1 - at, number, timer))
+        waiting, end, timer = self._keep(kept, waiting, end, timer)
+        for i in old:
+            self.blocks.removeKey((i,))
+        self.state.update((known.tobytes(), last.tobytes(), old.stop, end, waiting, number, timer))
+
+    def _keep(self, kept: list[np.ndarray], waiting: int, end: int, timer: int | None) -> tuple[int, int, int | None]:
+        """Puts the rows that still wait into new blocks, from number end on."""
+        rows = np.concatenate([np.empty(0, _ROW), *kept])
+        for i in range(0, len(rows), self.CHUNK):
+            self._put(end, rows[i : i + self.CHUNK])
+            end += 1
+        if len(rows):
+            timer = self._wait(timer, int(rows["us"].min()))
+        return waiting + len(rows), end, timer
 
     def close(self) -> None:
         pass
@@ -141,15 +208,17 @@ class LastClear(StatefulProcessor):
 
 #: Stands for a missing event_id, the first of its time.
 _NO_EVENT = -(1 << 63)
+#: Users go to so many buckets.
+_BUCKETS = 1024
 
 
 def filled(stream: DataFrame, delay: str) -> DataFrame:
     """user_id, event_id, filled of a stream of user_id, event_id, ts, clear, whose rows come no later than delay after later ones (see LastClear).
 
-    Rows without a user are one user's. (Keys go as texts and event ids without nulls: a null would turn a batch's whole column into floats.)
+    Rows without a user are one user's and have a bucket of their own, -1. (Users and events go without nulls: a null would turn a batch's whole column into floats.)
     """
-    key = F.coalesce(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit(""))
-    timed = stream.withWatermark("ts", delay).select("ts", key.alias("key"), F.coalesce("event_id", F.lit(_NO_EVENT)).alias("event_id"), "clear", F.unix_micros("ts").alias("us"))
-    found = timed.groupBy("key").transformWithStateInPandas(LastClear(), "key string, event_id long, filled double", "Append", "EventTime")
-    user = F.when(F.col("key") != "", F.substring("key", 2, 20).cast("long"))
-    return found.select(user.alias("user_id"), F.when(F.col("event_id") != _NO_EVENT, F.col("event_id")).alias("event_id"), "filled")
+    bucket = F.when(F.col("user_id").isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col("user_id").cast("long")), F.lit(_BUCKETS)))
+    user = F.coalesce(F.col("user_id").cast("long"), F.lit(0).cast("long"))
+    timed = stream.withWatermark("ts", delay).select("ts", bucket.cast("long").alias("key"), user.alias("user_id"), F.coalesce("event_id", F.lit(_NO_EVENT)).alias("event_id"), "clear", F.unix_micros("ts").alias("us"))
+    found = timed.groupBy("key").transformWithStateInPandas(LastClear(), "key long, user_id long, event_id long, filled double", "Append", "EventTime")
+    return found.select(F.when(F.col("key") >= 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") != _NO_EVENT, F.col("event_id")).alias("event_id"), "filled")

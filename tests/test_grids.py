@@ -4,8 +4,10 @@ import math
 import random
 import shutil
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +211,54 @@ def test_late_rows_get_the_answer_of_a_batch(spark, tmp_path, monkeypatch):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
     found = {(r["user_id"], r["event_id"]): r["filled"] for r in got.where("user_id is not null").collect()}
     assert found == want
+
+
+class _Held:
+    """A key's states in memory, with the number of calls to them."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls, self.most = None, {}, set(), 0, 0
+
+    def _called(self, result=None):
+        self.calls += 1
+        return result
+
+    getMapState = getValueState = lambda self, *_: self
+    exists = lambda self: self._called(self.value is not None)
+    get = lambda self: self._called(self.value)
+    update = lambda self, value: self._called(setattr(self, "value", value))
+    getValue = lambda self, key: self._called(self.map[key])
+    removeKey = lambda self, key: self._called(self.map.pop(key))
+    registerTimer = lambda self, at: self._called(self.timers.add(at))
+    deleteTimer = lambda self, at: self._called(self.timers.remove(at))
+
+    def updateValue(self, key, value):
+        self.most = max(self.most, len(value[0]))
+        self.map[key] = self._called(value)
+
+
+@pytest.mark.parametrize("chunk", [100_000, 37])
+def test_users_of_a_bucket_share_the_calls_to_its_state(monkeypatch, chunk):
+    """1000 users in one bucket, two batches that overlap in time: a few calls in all where a chunk holds them, none for each user."""
+    monkeypatch.setattr(LastClear, "CHUNK", chunk)
+    rng = np.random.default_rng(7)
+    rows = pd.DataFrame({"us": rng.integers(0, 500, 4000) * 1000, "event_id": rng.permutation(4000), "user_id": rng.integers(0, 1000, 4000), "clear": np.where(rng.random(4000) < 0.4, rng.random(4000), np.nan)})
+    arrival = rows.iloc[np.argsort(rows["us"] + rng.integers(0, 100_000, 4000))]
+    held, processor, got = _Held(), LastClear(), []
+    processor.init(held)
+    for batch, passed in ((arrival[:2500], 150), (arrival[2500:], 300), (arrival[:0], 10_000)):
+        frames = [batch[i : i + 600].reset_index(drop=True) for i in range(0, len(batch), 600)]
+        if frames:
+            list(processor.handleInputRows((5,), iter(frames), None))
+        assert len(held.timers) == 1
+        held.timers.clear()
+        got += processor.handleExpiredTimer((5,), SimpleNamespace(getCurrentWatermarkInMs=lambda p=passed: p), None)
+    assert not held.map and not held.timers and held.most <= chunk * 40
+    assert chunk < 4000 or held.calls < 60
+    found = pd.concat(got)
+    assert set(found["key"]) == {5} and len(found) == 4000
+    inorder = rows.sort_values(["us", "event_id"])
+    want = dict(zip(inorder["event_id"], inorder.groupby("user_id")["clear"].ffill(), strict=True))
+    assert all(found.groupby("event_id").size() == 1)
+    for event, value in zip(found["event_id"], found["filled"], strict=True):
+        assert value == want[event] or (np.isnan(value) and np.isnan(want[event]))
