@@ -135,3 +135,15 @@ def test_places_of_points_in_boxes_are_looked_at_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "points_in_boxes", lambda p, *rest: (seen.append(p.count()), held(p, *rest))[1])
     QUERIES["point_in_polygon_join"](spark, "/root/testdata/sf0.1").count()
     assert seen == [1000]
+
+
+@pytest.mark.parametrize("name", ["overlay_intersection", "spatial_join", "clip_vector", "box_iou", "grid_semi_join"])
+def test_boxes_are_dealt_out_before_they_become_rows(spark, name):
+    """Between the explode of a box's cells and its file there is a shuffle, so that the rows of a small file aren't made in one task."""
+    lines, seen = plan(QUERIES[name](spark, DATA)).splitlines(), 0
+    for scan in (i for i, line in enumerate(lines) if "FileScan" in line and "part.parquet" in line):
+        branch = next((lines[i:scan] for i in range(scan - 1, -1, -1) if "Generate explode" in lines[i] or "FileScan" in lines[i]), [])
+        if branch and "Generate explode" in branch[0]:
+            seen += 1
+            assert any("Exchange hashpartitioning(id" in line for line in branch)
+    assert seen
