@@ -99,3 +99,18 @@ def test_links_with_registered_settings(spark):
 def test_large_integers_stay_exact():
     q, x = np.array([[2.0**30, 3.0]]), np.array([[2.0**30, 1.0], [2.0**30, 2.0]])
     assert voronoi._products(q, x).tolist() == [[2**60 + 3, 2**60 + 6]]
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 20])
+def test_no_worker_holds_a_vector_for_each_group(spark, monkeypatch, at_once):
+    monkeypatch.setattr(voronoi, "SENT_AT_ONCE", at_once)
+    asked = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, v array<double>")
+    every = np.arange(50)
+    summary = voronoi.Summary(every, np.ones(50, int), np.tile([1.0, 0.0], (50, 1)), *(np.full(50, x) for x in (-9.0, 9.0, 9.0, 9.0)))
+    floors = spark.createDataFrame([(0, 10**6)], "query_id long, floor long")
+    sent = voronoi._sent_on(asked, floors, summary, 2, 1)
+    first = voronoi._sent_first(asked, summary, 2, 1)
+    assert sorted((r["id"], tuple(r["v"]), r["cell"]) for r in sent.union(first).where("id > 0").collect()) == [(i, (float(i), 1.0), c) for i in range(1, 9) for c in every.tolist()]
+    assert sent.where("id = 0").isEmpty()
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(cells" in plan  # the rows of a query are made in the JVM, one at a time
