@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..scratch import written
-from . import ringpairs, spatial
+from . import ringcells, ringpairs, spatial
 
 #: A contact's place along an edge is told from the next one above this share of the edge.
 _NEAR = 1e-12
@@ -87,7 +87,7 @@ def _inside(rings: Column, x: Column, y: Column) -> Column:
     return F.aggregate(rings, F.lit(False), lambda odd, ring: odd != g.contains(ring, x, y))
 
 
-def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False) -> DataFrame:
+def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False, match: str | None = None, flags: bool = True) -> DataFrame:
     """l, r, contact, l_in, l_out, r_in, r_out, same: how every two features whose bounds touch lie to each other, in one row.
 
     left and right: key (one row each) and ring, or rings instead: an array of a shell and its holes, which lie within it and
@@ -95,30 +95,33 @@ def relate(left: DataFrame, right: DataFrame, size: float, lines: bool = False)
     boundary (or line) lies strictly inside or outside the other feature, same that both boundaries share a part with their insides
     on one side. Rings without an area take no part; rings that cross themselves have no defined result.
 
-    Pairs of features of at most _FEW corners are told in batches, a row each (ringpairs). Others go by their edges, so
-    that only near edges meet.
+    match: only pairs that fit it (see matches). flags: whether the flags are wanted, or l and r alone.
+
+    Pairs of features of at most _FEW corners are told where they meet, and rings go to no row of a pair (ringcells). Others
+    go by their edges, so that only near edges meet.
     """
     prepared, holes = [], "rings" in left.columns or "rings" in right.columns
     for layer, open_paths in ((left, lines), (right, False)):
-        paths = F.col("rings") if "rings" in layer.columns else F.array("ring")
-        first = F.get(paths, F.lit(0))
+        # Dealt out before anything is computed of a ring: a small file is one task's.
+        layer = spatial.dealt(layer.select("key", (F.col("rings") if "rings" in layer.columns else F.array("ring")).alias("rings")), "key")
+        paths, first = F.col("rings"), F.get("rings", F.lit(0))
         good = (F.size(F.coalesce(edges(first), F.array())) > 0) if open_paths else g.valid(first)
         kept = layer.where(good).select("key", (paths if open_paths else _turned(paths)).alias("rings"))
         xs, ys = F.transform(F.get("rings", F.lit(0)), lambda p: p["x"]), F.transform(F.get("rings", F.lit(0)), lambda p: p["y"])
         sides = [f(v).alias(n) for f, v, n in ((F.array_min, xs, "xmin"), (F.array_min, ys, "ymin"), (F.array_max, xs, "xmax"), (F.array_max, ys, "ymax"))]
         few = F.size(F.flatten("rings")) <= _FEW
-        prepared.append(written(spatial.dealt(kept.select("key", "rings", *sides, few.alias("few")), "key"), "rings"))
+        prepared.append(written(kept.select("key", "rings", *sides, few.alias("few")), "rings"))
     (l, l_few, l_many), (r, r_few, r_many) = [(p.drop("few"), p.where("few").drop("few"), p.where("not few").drop("few")) for p in prepared]
-    pairs = spatial.mixed_box_pairs(l_few, r_few, size, touching=True)
-
-    def told(a: pa.Array, b: pa.Array) -> pa.Array:
-        return ringpairs.related(a, b, _NEAR, lines)
-
-    flags = F.arrow_udf(told, f"struct<{', '.join(f'{f}: boolean' for f in ringpairs.FLAGS)}>")("l.rings", "r.rings")
-    found = pairs.select(F.col("l.key").alias("l"), F.col("r.key").alias("r"), flags.alias("_told")).select("l", "r", "_told.*")
+    keep = None if match is None else lambda flags: _matched(flags, match, lines, np.zeros(1, bool))
+    told = ringcells.related(_NEAR, lines, keep, flags, touching=match == "intersects")
+    bounds = {"contains": "contain", "within": "within"}.get(match, "touch") if not lines else "touch"
+    small = [d.withColumnRenamed("rings", "paths") for d in (l_few, r_few)]
+    found = ringcells.pairs(*small, size, told, ringcells.FLAG_COLUMNS if flags else [], not lines, bounds)
     for a, b in ((l_many, r), (l_few, r_many)):
         if not (l_many if a is l_many else r_many).isEmpty():
-            found = found.unionByName(_by_edges(a, b, size, lines, holes))
+            more = _by_edges(a, b, size, lines, holes)
+            more = more if match is None else more.where(matches(match, lines))
+            found = found.unionByName(more if flags else more.select("l", "r"))
     return found
 
 
@@ -187,10 +190,15 @@ def matches(match: str, lines: bool = False) -> Column:
     A feature that meets another's inside is within it if the other's boundary, that of holes included, has no part inside.
     Two areas never cross; a line crosses an area if it has parts inside and outside, and is within if it has one inside and none outside.
     """
-    l_in, l_out, r_in, r_out = (F.col(c) for c in ("l_in", "l_out", "r_in", "r_out"))
-    shared = F.col("contact") | l_in | r_in
-    inner = l_in if lines else l_in | r_in | F.col("same")
-    never = F.lit(False)
+    return _matched({c: F.col(c) for c in ringpairs.FLAGS}, match, lines, F.lit(False))
+
+
+def _matched(flags: dict, match: str, lines: bool, never):
+    """matches for flags that are columns or arrays; never is one that doesn't hold."""
+    l_in, l_out, r_in, r_out = (flags[c] for c in ("l_in", "l_out", "r_in", "r_out"))
+    shared = flags["contact"] | l_in | r_in
+    inner = l_in if lines else l_in | r_in | flags["same"]
+    never = never & shared
     return {
         "intersects": shared,
         "disjoint": ~shared,
@@ -211,7 +219,7 @@ def join(left: DataFrame, right: DataFrame, on: tuple[str, str], match: str = "i
     if how not in ("inner", "left"):
         raise ValueError(f"how is inner or left, not {how}")
     keyed = [d.select(F.col(k).alias("key"), "rings" if "rings" in d.columns else "ring") for d, k in zip((left, right), on, strict=True)]
-    pairs = relate(*keyed, size, lines).where(matches(match, lines)).select(F.col("l").alias("_l"), F.col("r").alias("_r"))
+    pairs = relate(*keyed, size, lines, match, flags=False).select(F.col("l").alias("_l"), F.col("r").alias("_r"))
     l, r = left.select(F.struct(*left.columns).alias("l")), right.select(F.struct(*right.columns).alias("r"))
     found = pairs.join(r, F.col("_r") == F.col(f"r.{on[1]}"))
     return l.join(found, F.col(f"l.{on[0]}") == F.col("_l"), how).select("l", "r")
