@@ -92,16 +92,28 @@ def _of(corners: Pairs, at: np.ndarray, most: int) -> Pairs:
     return np.take(corners[0][: most + 1], at, axis=1), np.take(corners[1][: most + 1], at, axis=1)
 
 
-def _apart(l: Pairs, r: Pairs) -> np.ndarray:
-    """Which pairs of convex rings share no point: all corners of one lie beyond an edge of the other."""
+def _apart(l: Pairs, r: Pairs, least: float = 0.0) -> np.ndarray:
+    """Which pairs of convex rings share no point: all corners of one lie beyond an edge of the other (its far side below least)."""
     apart = np.zeros(l[0].shape[1], bool)
     for own, other in ((l, r), (r, l)):
         x, y = other[0][:-1], other[1][:-1]
         for k in range(len(own[0]) - 1):
-            apart |= _sides(*own, k, x, y).max(axis=0) < 0
+            apart |= _sides(*own, k, x, y).max(axis=0) < least
     return apart
 
 
+def _all_apart(f: Features, i: np.ndarray, j: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """_apart for the shells of pairs of plain features."""
+    most = [int(f.corners[v].max(initial=3)) for v in (i, j)]
+    cut = lambda v, n, at: _of(f.shells, v[at : at + _PAIRS], n)
+    return np.concatenate([np.zeros(0, bool), *[_apart(cut(i, most[0], at), cut(j, most[1], at), least) for at in range(0, len(i), _PAIRS)]])
+
+
+def beside(f: Features, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of plain features share no area (a tiny side counts as none, so that rings that touch are beside each other)."""
+    return _all_apart(f, i, j, np.finfo(float).tiny)
+
+
 def _told_by_sides(l: Pairs, r: Pairs) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """ringpairs.FLAGS of pairs of convex rings, and which pairs have edges on one line and so aren't told by this.
 
@@ -157,10 +169,6 @@ def _plain(f: Features, i: np.ndarray, j: np.ndarray) -> tuple[dict[str, np.ndar
 def related(near: float, lines: bool, kept: Callable[[dict[str, np.ndarray]], np.ndarray] | None, with_flags: bool, touching: bool = False) -> Told:
     """Flags of ringpairs for all pairs, or those that kept takes by their flags. touching: kept takes all that share a point."""
 
-    def shared(f: Features, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        most = [int(f.corners[v].max(initial=3)) for v in (i, j)]
-        return np.flatnonzero(~np.concatenate([_apart(_of(f.shells, i[at : at + _PAIRS], most[0]), _of(f.shells, j[at : at + _PAIRS], most[1])) for at in range(0, len(i), _PAIRS)]))
-
     def plain_ones(f: Features, i: np.ndarray, j: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         parts = [_plain(f, i[at : at + _PAIRS], j[at : at + _PAIRS]) for at in range(0, len(i), _PAIRS)]
         return {n: np.concatenate([p[0][n] for p in parts]) for n in ringpairs.FLAGS}, np.concatenate([p[1] for p in parts])
@@ -169,7 +177,7 @@ def related(near: float, lines: bool, kept: Callable[[dict[str, np.ndarray]], np
         if lines:
             flags, rest = {n: np.zeros(len(i), bool) for n in ringpairs.FLAGS}, np.arange(len(i))
         elif f.all_plain and not f.any_holed and touching and not with_flags:
-            return shared(f, i, j), []
+            return np.flatnonzero(~_all_apart(f, i, j)), []
         elif f.all_plain and not (f.any_holed and (f.holed[i] & f.holed[j]).any()):
             flags, along = plain_ones(f, i, j)
             rest = np.flatnonzero(along)

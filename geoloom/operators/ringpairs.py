@@ -34,7 +34,7 @@ class _Edges:
         self.begin = np.cumsum(self.n) - self.n
 
 
-def _each(n: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def each(n: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For item i the numbers begin[i] .. begin[i] + n[i] - 1: which item, which number."""
     item = np.repeat(np.arange(len(n)), n)
     return item, np.arange(len(item)) + np.repeat(begin - (np.cumsum(n) - n), n)
@@ -66,7 +66,7 @@ def _contacts(e: tuple, o: tuple) -> np.ndarray:
 
 def _inside(of: _Edges, row: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether an odd number of the edges of row's feature lie right of the point."""
-    p, e = _each(of.n[row], of.begin[row])
+    p, e = each(of.n[row], of.begin[row])
     y1, y2, py = of.y1[e], of.y2[e], y[p]
     level = (y1 > py) != (y2 > py)
     p, e, y1, y2, py = p[level], e[level], y1[level], y2[level], py[level]
@@ -89,7 +89,7 @@ def _pieces(own: _Edges, other: _Edges, edge: np.ndarray, at: np.ndarray, along:
         order = np.argsort(of, kind="stable")
         low, high, of = low[order], high[order], of[order]
         begin = np.searchsorted(of, e)
-        piece, on = _each(np.searchsorted(of, e, side="right") - begin, begin)
+        piece, on = each(np.searchsorted(of, e, side="right") - begin, begin)
         free = np.bincount(piece[(low[on] <= t[piece]) & (high[on] >= t[piece])], minlength=len(e)) == 0
         e, t = e[free], t[free]
     x, y = own.x1[e] + t * (own.x2[e] - own.x1[e]), own.y1[e] + t * (own.y2[e] - own.y1[e])
@@ -110,7 +110,7 @@ def related(left: pa.Array, right: pa.Array, near: float, lines: bool) -> pa.Arr
 def _related(left: pa.Array, right: pa.Array, near: float, lines: bool) -> np.ndarray:
     l, r = _Edges(left), _Edges(right)
     flags = dict(zip(FLAGS, np.zeros((len(FLAGS), len(left)), bool), strict=True))
-    a, b = _each(r.n[l.row], r.begin[l.row])
+    a, b = each(r.n[l.row], r.begin[l.row])
     corners = lambda s, i: (s.x1[i], s.y1[i], s.x2[i], s.y2[i])
     e, o = corners(l, a), corners(r, b)
     close = (np.minimum(e[0], e[2]) <= np.maximum(o[0], o[2])) & (np.minimum(o[0], o[2]) <= np.maximum(e[0], e[2])) & (np.minimum(e[1], e[3]) <= np.maximum(o[1], o[3])) & (np.minimum(o[1], o[3]) <= np.maximum(e[1], e[3]))

@@ -235,23 +235,25 @@ def reprojected(ring: Column, project) -> Column:
 
 def _half_plane(x: np.ndarray, y: np.ndarray, n: np.ndarray, e: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The parts of open paths of n corners each, one after the other in x and y, left of the line of their edge e (x1, y1, x2, y2), cut where they cross."""
-    own, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-    x1, y1, x2, y2 = (v[own] for v in e)
-    d = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    x1, y1, x2, y2 = e
+    first = np.cumsum(n) - n
+    d = np.repeat(x2 - x1, n) * (y - np.repeat(y1, n)) - np.repeat(y2 - y1, n) * (x - np.repeat(x1, n))
     after = np.arange(1, len(x) + 1)
     some = n > 0
     after[(first + n - 1)[some]] = first[some]
-    qx, qy, qd = x[after], y[after], d[after]
-    inside, stays = d >= 0, qd >= 0
-    cut = ((d > 0) & ~stays) | (~inside & (qd > 0))
-    out = cut.astype(np.int64) + stays
-    ends = np.cumsum(out)
-    xs, ys = np.empty(out.sum()), np.empty(out.sum())
+    qd = d[after]
+    stays = qd >= 0
+    crossed = ((d > 0) & ~stays) | ((d < 0) & (qd > 0))
+    out = np.add(crossed, stays, dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(out)])
+    xs, ys = np.empty(ends[-1]), np.empty(ends[-1])
+    cut, kept = np.flatnonzero(crossed), np.flatnonzero(stays)
+    q = after[cut]
     t = d[cut] / (d[cut] - qd[cut])
-    at = (ends - out)[cut]
-    xs[at], ys[at] = x[cut] + t * (qx[cut] - x[cut]), y[cut] + t * (qy[cut] - y[cut])
-    xs[ends[stays] - 1], ys[ends[stays] - 1] = qx[stays], qy[stays]
-    return xs, ys, np.bincount(own, weights=out, minlength=len(n)).astype(np.int64)
+    xs[ends[cut]], ys[ends[cut]] = x[cut] + t * (x[q] - x[cut]), y[cut] + t * (y[q] - y[cut])
+    q, at = after[kept], ends[kept + 1] - 1
+    xs[at], ys[at] = x[q], y[q]
+    return xs, ys, ends[first + n] - ends[first]
 
 
 def _flat(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -324,6 +326,48 @@ def overlay(left: DataFrame, right: DataFrame, size: float = 64, least_area: flo
     return cut.where((F.col("area") > 0) & (F.col("area") > least_area)).select("l", "r", "rings" if holes else "ring", "area")
 
 
+def _area_within(f: ringcells.Features, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The area of ring i of each pair within the convex mask j, by the cuts of _clipped; 0 where nothing is left."""
+    first, mask = f.first_part[i], f.first_part[j]
+    n, begin, sides = f.n[first] - 1, f.first[mask], f.n[mask]
+    _, at = ringpairs.each(n, f.first[first])
+    x, y = f.x[at], f.y[at]
+    for k in range(int(sides.max(initial=1)) - 1):
+        has = k + 1 < sides
+        at, to = begin + np.where(has, k, 0), begin + np.where(has, k + 1, 0)
+        x, y, n = _half_plane(x, y, n, (f.x[at], f.y[at], f.x[to], f.y[to]))
+    some, after = n > 0, np.arange(1, len(x) + 1)
+    last = np.cumsum(n)
+    after[last[some] - 1] = (last - n)[some]
+    total = np.bincount(np.repeat(np.arange(len(n)), n), weights=x * y[after] - x[after] * y, minlength=len(n))  # in order, as a fold has it
+    return np.where(n > 2, np.abs(total / 2), 0.0)
+
+
+def shared_areas(left: DataFrame, right: DataFrame, on: tuple[str, str], size: float = 64, least_area: float = 0.0) -> DataFrame:
+    """l, r (the keys), area: overlay where only the areas are wanted, of rings (column ring) with convex ones, told where both meet."""
+    layers = []
+    for layer, k in zip((left, right), on, strict=True):
+        layer = spatial.dealt(layer.select(F.col(k).alias("key"), "ring"), "key")
+        path = F.col("ring") if not layers else counter_clockwise(F.col("ring"))
+        sides = dict(zip(spatial.SIDES, g.bounds(F.col("ring")), strict=True))
+        layers.append(written(layer.where(g.valid(F.col("ring"))).select("key", F.array(path).alias("paths"), *[v.alias(c) for c, v in sides.items()]), "rings"))
+
+    def told(f: ringcells.Features, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+        which = np.arange(len(i))
+        if least_area > 0:  # else the last digits of rings that only touch decide
+            x0, y0, x1, y1 = f.bounds
+            wide, high = np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j]), np.minimum(y1[i], y1[j]) - np.maximum(y0[i], y0[j])
+            which = np.flatnonzero(wide * high * (1 + 1e-9) > least_area)
+            if f.all_plain:
+                which = which[~ringcells.beside(f, i[which], j[which])]
+        steps = range(0, len(which), ringcells._PAIRS)
+        areas = np.concatenate([np.zeros(0), *[_area_within(f, *(v[which[at : at + ringcells._PAIRS]] for v in (i, j))) for at in steps]])
+        kept = (areas > 0) & (areas > least_area)
+        return which[kept], [pa.array(areas[kept])]
+
+    return ringcells.pairs(*layers, size, told, ringcells.AREA_COLUMNS, bounds="overlap")
+
+
 def clip(layer: DataFrame, masks: DataFrame, size: float = 64) -> DataFrame:
     """layer's columns with their rings (ring, or shell and holes in rings) cut to convex masks, a row for each mask that a feature meets. An empty layer and an empty result are errors."""
     if layer.isEmpty():

@@ -48,3 +48,19 @@ def test_no_pair_carries_its_rings(spark):
     layer = spark.createDataFrame([(1, closed([(0, 0), (4, 0), (0, 4)]))], LAYER)
     plan = rings.relate(layer, layer, 4)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+@pytest.mark.parametrize("least", [0.0, 1.5])
+def test_shared_areas_are_those_of_overlays(spark, least):
+    rng = random.Random(9)
+    made = []
+    for i in range(80):
+        x, y, w, h = rng.randint(0, 14), rng.randint(0, 14), rng.choice([2, 3, 5]), rng.choice([2, 4, 6])
+        shape = [[(0, 0), (w, 0), (0, h)], [(0, h), (w, h), (w, 0), (0, 0)], [(0, 0), (w, 0), (1, 1), (0, h)], [(1, 0), (w, 1), (w, 2), (1, h), (0, 1)]][i % 4]
+        made.append((i, closed([(x + a, y + b) for a, b in shape])))
+    left, right = spark.createDataFrame(made, LAYER), spark.createDataFrame([m for m in made if m[0] % 4 != 2] + [(90, closed([(-50, -50), (50, -50), (0, 70)])), (91, None)], LAYER)
+    shared = rings.shared_areas(left, right, ("key", "key"), 4, least)
+    want = sorted(map(tuple, rings.overlay(left, right, 4, least).selectExpr("l.key", "r.key", "area").collect()))
+    assert sorted(map(tuple, shared.collect())) == want and len(want) > 80
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
