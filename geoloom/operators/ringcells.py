@@ -153,7 +153,7 @@ def _plain(f: Features, i: np.ndarray, j: np.ndarray) -> tuple[dict[str, np.ndar
     l, r = _of(f.shells, i, most[0]), _of(f.shells, j, most[1])
     flags, along = _told_by_sides(l, r)
     for own, other, holed in (("l", "r", f.holed[j]), ("r", "l", f.holed[i])) if f.any_holed else ():
-        s = np.flatnonzero(holed)
+        s = np.flatnonzero(holed & (flags["contact"] | flags["l_in"] | flags["r_in"]))  # to others a hole adds nothing
         if len(s):
             sides = [(_of(f.holes, v[s], n) if one == other else tuple(c[:, s] for c in shell)) for one, v, n, shell in zip("lr", (i, j), most, (l, r), strict=True)]
             of_hole, hole_along = _told_by_sides(*sides)
